@@ -79,23 +79,30 @@ def first_n(df: DataFrame, n: int, topic_col: str = "dest_topic", order: Sequenc
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def check_order(df: DataFrame, expected: Mapping[str, Sequence[str]], topic_col: str = "dest_topic", order: Sequence[str] = ("partition", "offset")) -> DataFrame:
+def check_order(df: DataFrame, expected, topic_col: str = "dest_topic", order: Sequence[str] = ("partition", "offset")) -> DataFrame:
     """V-04: the first messages of each topic arrive in the expected order.
 
-    Compares the payload texts of the first ``len(expected[topic])`` messages
-    (by ``order``) with the expected list.
+    ``expected`` maps topic -> list of payload texts, or is a DataFrame
+    ``(topic, expected array<string>)`` (one row per checked topic). The first
+    ``len(expected)`` messages of each topic by ``order`` are compared with it.
     """
-    n = max((len(v) for v in expected.values()), default=0)
-    head = first_n(df.filter(F.col(topic_col).isin(list(expected))), n, topic_col, order)
+    if isinstance(expected, DataFrame):
+        exp = expected.select("topic", "expected")
+        n = exp.select(F.max(F.size("expected"))).first()[0] or 0
+    else:
+        n = max((len(v) for v in expected.values()), default=0)
+        exp = df.sparkSession.createDataFrame(
+            [(t, list(v)) for t, v in expected.items()], "topic string, expected array<string>"
+        )
+    head = first_n(df, int(n), topic_col, order)
     got = head.groupBy(F.col(topic_col).alias("topic")).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", utf8_text("payload").alias("v")))), lambda s: s["v"]
         ).alias("actual")
     )
-    exp_rows = [(t, list(v)) for t, v in expected.items()]
-    exp = df.sparkSession.createDataFrame(exp_rows, "topic string, expected array<string>")
+    # One row per checked topic on both sides: small, so broadcast the expectations.
     j = F.broadcast(exp).join(got, "topic", "left")
-    actual = F.slice(F.coalesce("actual", F.array().cast("array<string>")), 1, F.size("expected"))
+    actual = F.slice(F.coalesce("actual", F.array().cast("array<string>")), 1, F.greatest(F.size("expected"), F.lit(1)))
     return j.select("topic", "expected", actual.alias("actual"), (actual == F.col("expected")).alias("ok"))
 
 

@@ -697,7 +697,7 @@ def egress_kafka_q(spark, sf_dir):
         F.col("key").cast("string").alias("msg_key"),
         F.col("value").cast("string").alias("value_text"),
         F.size("headers").alias("header_count"),
-        F.element_at(dest, 1)["value"].cast("string").alias("h_dest"),
+        F.try_element_at(dest, F.lit(1))["value"].cast("string").alias("h_dest"),
     )
 
 
@@ -886,7 +886,12 @@ def check_order_q(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
-    raw = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    raw = (
+        spark.readStream.schema(EVENTS_SCHEMA)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
     return events_to_messages(raw)
 
 
