@@ -2,6 +2,7 @@
 
 from relayspark.functions.message import (
     message_size,
+    header_bytes,
     header_get,
     header_put,
     utf8_text,
@@ -18,6 +19,7 @@ from relayspark.functions.strict_json import (
 
 __all__ = [
     "message_size",
+    "header_bytes",
     "header_get",
     "header_put",
     "utf8_text",

@@ -65,19 +65,31 @@ def delivered(routed: DataFrame) -> Column:
     return ok
 
 
+def _destination_agg(processed: DataFrame, keys: list) -> DataFrame:
+    """Destination-side aggregate without a row filter.
+
+    Rows with a source error carry a NULL ``dest_topic`` and add nothing; a
+    group made only of them has zero messages and zero errors and is dropped
+    after the aggregate. Not filtering first keeps Catalyst from pushing the
+    filter below the message projection, where it would evaluate the payload
+    and size expressions a second time.
+    """
+    ok = delivered(processed)
+    failed = F.col("error").isNull() & ~ok
+    agg = processed.groupBy(*keys).agg(
+        F.count_if(ok).alias("message_count"),
+        F.coalesce(F.sum(F.when(ok, message_size())), F.lit(0)).cast("bigint").alias("total_bytes"),
+        F.count_if(failed).alias("error_count"),
+        F.max(F.when(ok, F.col("timestamp"))).alias("last_message_time"),
+    )
+    return agg.filter((F.col("message_count") + F.col("error_count")) > 0)
+
+
 def destination_metrics(processed: DataFrame, elapsed=None) -> DataFrame:
     """M-02, M-03: per destination topic, measured after processing and only on
     delivery. A NULL destination (Q-02) or a processor that returned nothing is
     a destination error under that destination."""
-    live = processed.filter(F.col("error").isNull())
-    ok = delivered(processed)
-    sized = live.withColumn("__ok", ok).withColumn("__dsize", F.when(ok, message_size()))
-    agg = sized.groupBy(F.col("dest_topic").alias("topic")).agg(
-        F.count_if(F.col("__ok")).alias("message_count"),
-        F.coalesce(F.sum("__dsize"), F.lit(0)).cast("bigint").alias("total_bytes"),
-        F.count_if(~F.col("__ok")).alias("error_count"),
-        F.max(F.when(F.col("__ok"), F.col("timestamp"))).alias("last_message_time"),
-    )
+    agg = _destination_agg(processed, [F.col("dest_topic").alias("topic")])
     if elapsed is None:
         elapsed = elapsed_seconds(processed)
     return agg.withColumn("rate_per_second", _rate(F.col("message_count"), elapsed))
@@ -118,19 +130,7 @@ def batch_deltas(routed: DataFrame, batch_col: str = "batch_id") -> DataFrame:
         F.count("error").alias("error_count"),
         F.max(F.when(counted, F.col("timestamp"))).alias("last_message_time"),
     )
-    live = routed.filter(F.col("error").isNull())
-    ok = delivered(routed)
-    dst = (
-        live.withColumn("__ok", ok)
-        .withColumn("__dsize", F.when(ok, message_size()))
-        .groupBy(batch_col, F.col("dest_topic").alias("topic"))
-        .agg(
-            F.count_if(F.col("__ok")).alias("message_count"),
-            F.coalesce(F.sum("__dsize"), F.lit(0)).cast("bigint").alias("total_bytes"),
-            F.count_if(~F.col("__ok")).alias("error_count"),
-            F.max(F.when(F.col("__ok"), F.col("timestamp"))).alias("last_message_time"),
-        )
-    )
+    dst = _destination_agg(routed, [batch_col, F.col("dest_topic").alias("topic")])
     cols = ["topic", "message_count", "total_bytes", "error_count", "last_message_time"]
     return src.select(batch_col, F.lit("source").alias("side"), *cols).unionByName(
         dst.select(batch_col, F.lit("destination").alias("side"), *cols)
@@ -201,8 +201,10 @@ def windowed_throughput(routed: DataFrame, window: str = "5 minutes", slide: str
 def windowed_volume(processed: DataFrame, window: str = "5 minutes", slide: str | None = None, watermark: str | None = None) -> DataFrame:
     """M-10: delivered bytes per second per destination topic."""
     df = processed.withWatermark("timestamp", watermark) if watermark else processed
-    df = df.filter(delivered(processed)).withColumn("__dsize", message_size())
-    return _windowed(df, "dest_topic", F.sum("__dsize"), "bytes_per_second", window, slide, _seconds(window))
+    size = F.sum(F.when(delivered(processed), message_size()))
+    # Groups without a delivered row (only the NULL destination) are dropped after the aggregate.
+    out = _windowed(df, "dest_topic", size, "bytes_per_second", window, slide, _seconds(window))
+    return out.filter(F.col("bytes_per_second").isNotNull())
 
 
 def windowed_errors(routed: DataFrame, window: str = "5 minutes", slide: str | None = None, watermark: str | None = None) -> DataFrame:

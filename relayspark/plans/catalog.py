@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relayspark.functions.message import message_size, utf8_text
+from relayspark.functions.message import header_bytes, message_size, utf8_text
 from relayspark.operators import checks
 from relayspark.operators.metrics import (
     batch_deltas,
@@ -364,9 +364,7 @@ def message_size_q(spark, sf_dir):
     """X-01 / X-10: message size and its parts per topic."""
     m = events_messages(spark, sf_dir, topic=None).withColumn("size", message_size())
     ok = F.col("size").isNotNull()
-    hdr = F.aggregate(
-        F.map_entries("headers"), F.lit(0).cast("bigint"), lambda a, e: a + F.octet_length(e["key"]) + F.octet_length(e["value"])
-    )
+    hdr = header_bytes("headers")
     return m.groupBy("topic").agg(
         F.count("size").alias("messages"),
         F.sum("size").cast("bigint").alias("total_bytes"),

@@ -80,3 +80,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if "://" not in path or path.startswith("file:"):
         os.makedirs(path.replace("file:", ""), exist_ok=True)
     return path
+
+
+def plan_text(df, mode: str = "formatted") -> str:
+    """The physical plan as text (for checks on pushdown, joins and shuffles)."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode)
+    return buf.getvalue()
