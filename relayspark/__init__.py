@@ -23,6 +23,7 @@ from relayspark.operators.metrics import (
     source_metrics,
     destination_metrics,
     metrics_report,
+    topic_report,
     report_dict,
     counter_rows,
     windowed_throughput,
@@ -53,6 +54,7 @@ __all__ = [
     "source_metrics",
     "destination_metrics",
     "metrics_report",
+    "topic_report",
     "report_dict",
     "counter_rows",
     "windowed_throughput",

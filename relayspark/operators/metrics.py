@@ -8,7 +8,7 @@ costs one row per task on the wire, not a third of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relayspark.functions.message import message_size
@@ -24,14 +24,28 @@ METRIC_COLUMNS = [
 
 
 def elapsed_seconds(df: DataFrame, ts: str = "timestamp") -> Column:
-    """M-04 replay uptime: max - min event time of the whole input, in seconds,
-    as a scalar subquery (computed once, no join)."""
+    """M-04 replay uptime of a DataFrame: max - min event time in seconds, as
+    a scalar subquery (reads ``ts`` of ``df`` once more; the metric functions
+    use ``_with_rate`` instead, which needs no extra read)."""
     span = df.select(
         ((F.max(F.unix_micros(ts)) - F.min(F.unix_micros(ts))) / F.lit(1e6)).alias("elapsed")
     )
     return span.scalar()
 
 
+def _with_rate(agg: DataFrame, elapsed) -> DataFrame:
+    """Add ``rate_per_second``. Without ``elapsed`` the replayed event-time
+    span comes from the per-group ``__tmin`` / ``__tmax`` already in the
+    aggregate, through a window over the aggregated rows: one row per
+    (side, topic), bounded by the number of topics, never by messages; the
+    input is not read again."""
+    if elapsed is None:
+        w = Window.partitionBy()
+        elapsed = (F.max(F.unix_micros("__tmax")).over(w) - F.min(F.unix_micros("__tmin")).over(w)) / F.lit(1e6)
+    out = agg.withColumn("rate_per_second", _rate(F.col("message_count"), elapsed))
+    return out.drop("__tmin", "__tmax")
+
+
 def _rate(count: Column, elapsed) -> Column:
     e = elapsed if isinstance(elapsed, Column) else F.lit(float(elapsed))
     return F.when(e > 0, count / e).otherwise(F.lit(0.0)).cast("double")
@@ -51,10 +65,10 @@ def source_metrics(routed: DataFrame, elapsed=None) -> DataFrame:
         F.coalesce(F.sum("source_size"), F.lit(0)).cast("bigint").alias("total_bytes"),
         F.count("error").alias("error_count"),
         F.max(F.when(counted, F.col("timestamp"))).alias("last_message_time"),
+        F.min("timestamp").alias("__tmin"),
+        F.max("timestamp").alias("__tmax"),
     )
-    if elapsed is None:
-        elapsed = elapsed_seconds(routed)
-    return agg.withColumn("rate_per_second", _rate(F.col("message_count"), elapsed))
+    return _with_rate(agg, elapsed)
 
 
 def delivered(routed: DataFrame) -> Column:
@@ -81,8 +95,10 @@ def _destination_agg(processed: DataFrame, keys: list) -> DataFrame:
         F.coalesce(F.sum(F.when(ok, message_size())), F.lit(0)).cast("bigint").alias("total_bytes"),
         F.count_if(failed).alias("error_count"),
         F.max(F.when(ok, F.col("timestamp"))).alias("last_message_time"),
+        F.min("timestamp").alias("__tmin"),
+        F.max("timestamp").alias("__tmax"),
     )
-    return agg.filter((F.col("message_count") + F.col("error_count")) > 0)
+    return agg
 
 
 def destination_metrics(processed: DataFrame, elapsed=None) -> DataFrame:
@@ -90,18 +106,78 @@ def destination_metrics(processed: DataFrame, elapsed=None) -> DataFrame:
     delivery. A NULL destination (Q-02) or a processor that returned nothing is
     a destination error under that destination."""
     agg = _destination_agg(processed, [F.col("dest_topic").alias("topic")])
-    if elapsed is None:
-        elapsed = elapsed_seconds(processed)
-    return agg.withColumn("rate_per_second", _rate(F.col("message_count"), elapsed))
+    # Groups of source-error rows only (NULL topic, 0 / 0) are dropped after the
+    # rate, so that the span still covers every input row.
+    out = _with_rate(agg, elapsed)
+    return out.filter((F.col("message_count") + F.col("error_count")) > 0)
 
 
 def metrics_report(source: DataFrame, destination: DataFrame) -> DataFrame:
-    """M-06: both sides in one table with a ``side`` column."""
+    """M-06: both sides in one table with a ``side`` column (from separately
+    computed sides; ``topic_report`` computes both in one pass)."""
     return source.select(F.lit("source").alias("side"), *METRIC_COLUMNS).unionByName(
         destination.select(F.lit("destination").alias("side"), *METRIC_COLUMNS)
     )
 
 
+def _two_sided(routed: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides of the metrics from one read of the routed rows.
+
+    Each row yields a source entry (keyed by ``topic``, sized before
+    processing) and a destination entry (keyed by ``dest_topic``, sized after
+    processing, only when delivered). Only small columns are doubled, never
+    the payload, and one partial + final aggregate serves both sides, so the
+    input is read once.
+    """
+    ok = delivered(routed)
+    failed = F.col("error").isNull() & ~ok
+    ts = F.col("timestamp")
+    src = F.struct(
+        F.lit("source").alias("side"),
+        F.col("topic").alias("topic"),
+        F.col("source_size").isNotNull().alias("counted"),
+        F.col("source_size").alias("size"),
+        F.col("error").isNotNull().alias("failed"),
+        ts.alias("ts"),
+    )
+    dst = F.struct(
+        F.lit("destination").alias("side"),
+        F.col("dest_topic").alias("topic"),
+        ok.alias("counted"),
+        F.when(ok, message_size()).alias("size"),
+        failed.alias("failed"),
+        ts.alias("ts"),
+    )
+    entries = routed.select(*keys, F.inline(F.array(src, dst)))
+    agg = entries.groupBy(*keys, "side", "topic").agg(
+        F.count_if(F.col("counted")).alias("message_count"),
+        F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("total_bytes"),
+        F.count_if(F.col("failed")).alias("error_count"),
+        F.max(F.when(F.col("counted"), F.col("ts"))).alias("last_message_time"),
+        F.min("ts").alias("__tmin"),
+        F.max("ts").alias("__tmax"),
+    )
+    return agg
+
+
+def _drop_empty(agg: DataFrame) -> DataFrame:
+    """Destination groups made only of source-error rows (NULL topic, 0 / 0) go."""
+    return agg.filter((F.col("side") == "source") | ((F.col("message_count") + F.col("error_count")) > 0))
+
+
+def topic_report(routed: DataFrame, elapsed=None) -> DataFrame:
+    """M-06 in one pass: ``(side, topic, message_count, total_bytes,
+    error_count, last_message_time, rate_per_second)``.
+
+    Without ``elapsed`` the rate uses the replayed event-time span, taken from
+    the per-topic min/max already in the aggregate (no second read of the
+    input).
+    """
+    agg = _two_sided(routed, [])
+    out = _drop_empty(_with_rate(agg, elapsed))
+    return out.select("side", *METRIC_COLUMNS)
+
+
 def report_dict(report: DataFrame, uptime_seconds: float) -> dict:
     """The nested report ``{uptime_seconds, source_metrics, destination_metrics}``.
 
@@ -122,19 +198,10 @@ def report_dict(report: DataFrame, uptime_seconds: float) -> dict:
 
 
 def batch_deltas(routed: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """Per-batch metric deltas of both sides (what the stream writer stores)."""
-    counted = F.col("source_size").isNotNull()
-    src = routed.groupBy(batch_col, "topic").agg(
-        F.count("source_size").alias("message_count"),
-        F.coalesce(F.sum("source_size"), F.lit(0)).cast("bigint").alias("total_bytes"),
-        F.count("error").alias("error_count"),
-        F.max(F.when(counted, F.col("timestamp"))).alias("last_message_time"),
-    )
-    dst = _destination_agg(routed, [batch_col, F.col("dest_topic").alias("topic")])
+    """Per-batch metric deltas of both sides (what the stream writer stores),
+    from one read of the batch."""
     cols = ["topic", "message_count", "total_bytes", "error_count", "last_message_time"]
-    return src.select(batch_col, F.lit("source").alias("side"), *cols).unionByName(
-        dst.select(batch_col, F.lit("destination").alias("side"), *cols)
-    )
+    return _drop_empty(_two_sided(routed, [batch_col])).select(batch_col, "side", *cols)
 
 
 def metrics_since_batch(deltas: DataFrame, after_batch: int, batch_col: str = "batch_id") -> DataFrame:

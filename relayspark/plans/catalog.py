@@ -20,8 +20,8 @@ from relayspark.operators.metrics import (
     counter_rows,
     destination_metrics,
     loss_check,
-    metrics_report,
     metrics_since_batch,
+    topic_report,
     source_metrics,
     windowed_errors,
     windowed_throughput,
@@ -209,7 +209,7 @@ def funnel_union(spark, sf_dir):
         [events_messages(spark, sf_dir), documents_messages(spark, sf_dir), conversations_messages(spark, sf_dir)],
         "funnel-destination",
     )
-    rep = metrics_report(source_metrics(routed, elapsed=1.0), destination_metrics(routed, elapsed=1.0))
+    rep = topic_report(routed, elapsed=1.0)
     return rep.select("side", "topic", "message_count", "total_bytes", "error_count")
 
 
@@ -347,7 +347,7 @@ def processor_errors(spark, sf_dir):
     message is counted and adds one source error, and is not delivered."""
     routed = fan(events_messages(spark, sf_dir), HEADER)
     out = process(routed, load_processor("relayspark.plans.examples.ParityProcessor"))
-    rep = metrics_report(source_metrics(out, elapsed=1.0), destination_metrics(out, elapsed=1.0))
+    rep = topic_report(out, elapsed=1.0)
     return rep.select("side", "topic", "message_count", "total_bytes", "error_count")
 
 
@@ -409,20 +409,26 @@ def destination_metrics_q(spark, sf_dir):
 
 REPORT_SQL = f"""WITH {EV},
 src AS (SELECT event_type AS topic, count(size)::BIGINT AS message_count, coalesce(sum(size), 0)::BIGINT AS total_bytes,
-  count(error)::BIGINT AS error_count, max(CASE WHEN size IS NOT NULL THEN ts END) AS last_message_time
-  FROM evs GROUP BY event_type),
+  count(error)::BIGINT AS error_count, max(CASE WHEN size IS NOT NULL THEN ts END) AS last_message_time, {RATE} AS rate_per_second
+  FROM evs, el GROUP BY event_type, el.elapsed),
 dst AS (SELECT dest_topic AS topic, count(*)::BIGINT AS message_count, sum(size)::BIGINT AS total_bytes,
-  0::BIGINT AS error_count, max(ts) AS last_message_time FROM evs WHERE error IS NULL GROUP BY dest_topic)
+  0::BIGINT AS error_count, max(ts) AS last_message_time, {RATE} AS rate_per_second
+  FROM evs, el WHERE error IS NULL GROUP BY dest_topic, el.elapsed)
 SELECT 'source' AS side, * FROM src UNION ALL SELECT 'destination' AS side, * FROM dst"""
 
 
 @register("metrics_report", REPORT_SQL)
 def metrics_report_q(spark, sf_dir):
-    """M-06: both sides keyed by topic."""
-    routed = _fan_by_type(spark, sf_dir)
-    rep = metrics_report(source_metrics(routed, elapsed=1.0), destination_metrics(routed, elapsed=1.0))
+    """M-06: both sides keyed by topic, from one read of the routed rows."""
+    rep = topic_report(_fan_by_type(spark, sf_dir))
     return rep.select(
-        "side", "topic", "message_count", "total_bytes", "error_count", _ts("last_message_time").alias("last_message_time")
+        "side",
+        "topic",
+        "message_count",
+        "total_bytes",
+        "error_count",
+        _ts("last_message_time").alias("last_message_time"),
+        "rate_per_second",
     )
 
 
@@ -465,9 +471,7 @@ SELECT metric, topic, value FROM u WHERE value <> 0""",
 )
 def counter_rows_q(spark, sf_dir):
     """M-08: exported counters as (metric, topic, value) rows."""
-    routed = _fan_by_type(spark, sf_dir)
-    rep = metrics_report(source_metrics(routed, elapsed=1.0), destination_metrics(routed, elapsed=1.0))
-    return counter_rows(rep)
+    return counter_rows(topic_report(_fan_by_type(spark, sf_dir), elapsed=1.0))
 
 
 def _bucket_sql(value: str, topic: str, name: str, where: str = "") -> str:
@@ -850,10 +854,11 @@ def bounded_read_q(spark, sf_dir):
 @register(
     "check_order",
     """WITH c AS (SELECT role AS topic, text, conv_id % 4 AS p, conv_id * 1000 + turn AS o, conv_id, turn FROM conversations),
-a AS (SELECT topic, string_agg(text, '|' ORDER BY p, o) AS actual, count(*) AS n
-  FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY p, o) AS rk FROM c) WHERE rk <= 3 GROUP BY topic),
-x AS (SELECT topic, string_agg(text, '|' ORDER BY conv_id, turn) AS expected
-  FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY conv_id, turn) AS rk FROM c WHERE p = 0) WHERE rk <= 3 GROUP BY topic)
+x AS (SELECT topic, string_agg(text, '|' ORDER BY conv_id, turn) AS expected, count(*) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY conv_id, turn) AS rk FROM c WHERE p = 0) WHERE rk <= 3 GROUP BY topic),
+a AS (SELECT r.topic, string_agg(r.text, '|' ORDER BY r.p, r.o) AS actual
+  FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY p, o) AS rk FROM c) r JOIN x ON r.topic = x.topic
+  WHERE r.rk <= x.n GROUP BY r.topic)
 SELECT x.topic, md5(x.expected) AS expected_digest, md5(a.actual) AS actual_digest, x.expected = a.actual AS ok
 FROM x LEFT JOIN a ON a.topic = x.topic""",
 )

@@ -18,8 +18,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, parallelism: int | None = None, key: str | None = None) -> DataFrame:
+    """Widen a scan that yields fewer splits than the session has task slots.
+
+    A table stored as one small file with one row group is read by one task,
+    which would run every per-message expression (JSON parsing, sizes) on one
+    core. Only then is it re-split round-robin over ``parallelism`` tasks;
+    a scan with enough splits (any large table) is returned unchanged, so
+    this adds no shuffle at scale. Filters and column pruning still reach the
+    scan below the exchange. With a unique ``key`` the rows are hashed on it
+    (no pre-sort needed for a retry-stable split); otherwise round-robin.
+    """
+    n = parallelism or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
+# Unique id column per driver table, used to split under-split scans.
+TABLE_KEYS = {"events": "event_id", "documents": "doc_id", "conversations": "conv_id"}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, key=TABLE_KEYS.get(name)) if widen else df
 
 
 EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

@@ -123,9 +123,9 @@ def test_one_to_one_literal_routes_have_no_join_and_push_filter(spark, make, tmp
     path = str(tmp_path / "t")
     make([msg("x", topic="a"), msg("y", topic="b")]).write.parquet(path)
     df = spark.read.parquet(path)
-    plan = plan_text(one_to_one(df, {"a": "A"}))
+    plan = plan_text(one_to_one(df, {"a": "A", "c": "C"}))
     assert "Join" not in plan and "Exchange" not in plan
-    assert "In(topic, [a])" in plan
+    assert "In(topic, [a,c])" in plan
 
 
 def test_route_before_process(spark, make):
