@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from relayspark.functions.message import utf8_text
 from relayspark.functions.strict_json import with_strict_json
+from relayspark.session import materialize
 
 # Up to this n, ``row_number() <= n`` is planned with a partial per-task group
 # limit before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -79,18 +80,28 @@ def first_n(df: DataFrame, n: int, topic_col: str = "dest_topic", order: Sequenc
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def check_order(df: DataFrame, expected, topic_col: str = "dest_topic", order: Sequence[str] = ("partition", "offset")) -> DataFrame:
+def check_order(
+    df: DataFrame,
+    expected,
+    topic_col: str = "dest_topic",
+    order: Sequence[str] = ("partition", "offset"),
+    n: int | None = None,
+) -> DataFrame:
     """V-04: the first messages of each topic arrive in the expected order.
 
     ``expected`` maps topic -> list of payload texts, or is a DataFrame
     ``(topic, expected array<string>)`` (one row per checked topic). The first
     ``len(expected)`` messages of each topic by ``order`` are compared with it.
+    ``n`` bounds the expected lengths; for a DataFrame without it, the
+    expectations are materialized once and their longest list is read.
     """
     if isinstance(expected, DataFrame):
         exp = expected.select("topic", "expected")
-        n = exp.select(F.max(F.size("expected"))).first()[0] or 0
+        if n is None:
+            exp = materialize(exp)
+            n = exp.select(F.max(F.size("expected"))).first()[0] or 0
     else:
-        n = max((len(v) for v in expected.values()), default=0)
+        n = n or max((len(v) for v in expected.values()), default=0)
         exp = df.sparkSession.createDataFrame(
             [(t, list(v)) for t, v in expected.items()], "topic string, expected array<string>"
         )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from relayspark.functions.message import message_size, utf8_text
 from relayspark.functions.strict_json import json_key, json_key_route, with_strict_json
 from relayspark.schema import MESSAGE_COLUMNS
+from relayspark.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -145,7 +146,7 @@ def one_to_one(df: DataFrame, routes, broadcast_limit: int = BROADCAST_ROUTE_LIM
         kept = subscribe(df, table.keys())
         return _finish(prepare(kept), F.element_at(lookup, F.col("topic")))
 
-    table = _route_table_df(routes)
+    table = materialize(_route_table_df(routes))
     n_routes = table.count()
     if n_routes <= broadcast_limit:
         joined = df.join(

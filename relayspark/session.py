@@ -69,6 +69,15 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
+    session's shared checkpoint folder (never a machine-local copy), so that
+    a size check and the query that uses the result do not both recompute it,
+    and a lost executor does not force a recompute from the source."""
+    _checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's shared checkpoint root.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relayspark.session import materialize
+
 # Start tables up to this many rows (one per topic partition) are broadcast.
 BROADCAST_START_LIMIT = 1_000_000
 
@@ -22,7 +24,13 @@ def replay_from(df: DataFrame, starts, default: str = "earliest") -> DataFrame:
         spark = df.sparkSession
         rows = [(t, int(p), int(o)) for (t, p), o in dict(starts).items()]
         starts = spark.createDataFrame(rows, "topic string, partition int, start_offset bigint")
+    else:
+        # Computed once into the shared checkpoint folder: the size check and
+        # the join then read the small result instead of recomputing it.
+        starts = materialize(starts.select("topic", "partition", "start_offset"))
     n = starts.count()
+    # One row per (topic, partition): broadcast when that is within the limit,
+    # else a shuffle join (AQE splits a skewed partition key).
     side = F.broadcast(starts) if n <= BROADCAST_START_LIMIT else starts
     joined = df.join(side, ["topic", "partition"], how)
     keep = F.col("start_offset").isNull() | (F.col("offset") >= F.col("start_offset"))
