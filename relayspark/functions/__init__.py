@@ -8,6 +8,7 @@ from relayspark.functions.message import (
     utf8_text,
     encode_utf8,
     iso_time,
+    message_size_sql,
 )
 from relayspark.functions.strict_json import (
     with_strict_json,
@@ -15,6 +16,7 @@ from relayspark.functions.strict_json import (
     json_key_route,
     json_set_keys,
     python_number_text,
+    python_number_text_sql,
 )
 
 __all__ = [
@@ -25,9 +27,11 @@ __all__ = [
     "utf8_text",
     "encode_utf8",
     "iso_time",
+    "message_size_sql",
     "with_strict_json",
     "json_key",
     "json_key_route",
     "json_set_keys",
     "python_number_text",
+    "python_number_text_sql",
 ]

@@ -11,6 +11,14 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _header_bytes_sql(h: str) -> str:
+    values = f"array_join(map_values({h}), '')"
+    return (
+        f"CASE WHEN octet_length({values}) = octet_length(array_join(map_values({h}), '', '?')) "
+        f"THEN CAST(octet_length(array_join(map_keys({h}), '')) AS BIGINT) + octet_length({values}) END"
+    )
+
+
 def header_bytes(headers: str | Column = "headers") -> Column:
     """UTF-8 bytes of all header keys and values; NULL when a value is NULL.
 
@@ -19,7 +27,9 @@ def header_bytes(headers: str | Column = "headers") -> Column:
     lambda ``aggregate``, so the size stays inside whole-stage codegen. A NULL
     value is detected by joining again with a one-byte stand-in for NULLs.
     """
-    h = _c(headers)
+    if isinstance(headers, str):
+        return F.expr(_header_bytes_sql(headers))
+    h = headers
     values = F.map_values(h)
     plain = F.octet_length(F.array_join(values, ""))
     marked = F.octet_length(F.array_join(values, "", "?"))
@@ -27,6 +37,14 @@ def header_bytes(headers: str | Column = "headers") -> Column:
     return F.when(plain == marked, total)
 
 
+def message_size_sql(payload: str = "payload", headers: str = "headers", key: str = "key") -> str:
+    """X-01 as SQL text (one expression, parsed once on the JVM)."""
+    return (
+        f"CAST(CAST(octet_length({payload}) AS BIGINT) + ({_header_bytes_sql(headers)}) "
+        f"+ coalesce(octet_length({key}), 0) AS BIGINT)"
+    )
+
+
 def message_size(
     payload: str | Column = "payload", headers: str | Column = "headers", key: str | Column = "key"
 ) -> Column:
@@ -35,6 +53,8 @@ def message_size(
     A null payload (tombstone) or a null header value gives NULL: the message
     cannot be measured, which the routing step turns into a source error.
     """
+    if isinstance(payload, str) and isinstance(headers, str) and isinstance(key, str):
+        return F.expr(message_size_sql(payload, headers, key))
     key_bytes = F.coalesce(F.octet_length(_c(key)), F.lit(0))
     return (F.octet_length(_c(payload)).cast("bigint") + header_bytes(headers) + key_bytes).cast("bigint")
 

@@ -29,28 +29,28 @@ def with_strict_json(
     """X-04: add column ``out`` (VARIANT) holding the parsed text when the text is
     exactly one JSON value, else NULL.
 
-    With ``objects_only`` only texts that start like an object are parsed at all,
-    which is exact for callers that treat every non-object like invalid JSON
-    (payload-key routing, priority tagging) and spares the parse of large
-    non-JSON payloads.
+    ``text`` is a column or a SQL expression (for example
+    ``"try_validate_utf8(CAST(payload AS STRING))"``). With ``objects_only``
+    only texts that start like an object are parsed at all, which is exact for
+    callers that treat every non-object like invalid JSON (payload-key routing,
+    priority tagging) and spares the parse of large non-JSON payloads.
     """
-    t = F.col(text) if isinstance(text, str) else text
+    t = F.expr(text) if isinstance(text, str) else text
     arr, obj, src = f"__{out}_a", f"__{out}_o", f"__{out}_t"
-    if objects_only:
-        df = df.withColumn(src, F.when(t.rlike(_OBJECT_START), t))
-    else:
-        df = df.withColumn(src, t)
-    s = F.col(src)
-    df = df.withColumn(arr, F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))).withColumn(
-        obj, F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
+    df = df.withColumn(src, F.when(t.rlike(_OBJECT_START), t) if objects_only else t)
+    df = df.withColumns(
+        {
+            arr: F.expr(f"try_parse_json(concat('[', {src}, ']'))"),
+            obj: F.expr(f"""try_parse_json(concat('{{"v":', {src}, '}}'))"""),
+        }
     )
-    whole = (
-        F.col(obj).isNotNull()
-        & F.col(arr).isNotNull()
-        & F.try_variant_get(F.col(arr), "$[1]", "variant").isNull()
+    parsed = F.expr(
+        f"CASE WHEN {obj} IS NOT NULL AND {arr} IS NOT NULL "
+        f"AND try_variant_get({arr}, '$[1]', 'variant') IS NULL "
+        f"THEN try_variant_get({arr}, '$[0]', 'variant') END"
     )
-    df = df.withColumn(out, F.when(whole, F.try_variant_get(F.col(arr), "$[0]", "variant")))
-    return df.drop(arr, obj, src)
+    keep = [c for c in df.columns if c not in (arr, obj, src, out)]
+    return df.select(*keep, parsed.alias(out))
 
 
 def json_key(value: str | Column, key: str) -> Column:
@@ -84,6 +84,14 @@ def json_set_keys(obj: str | Column, entries: dict[str, str]) -> Column:
     return F.to_json(F.map_concat(F.variant_get(o, "$", "map<string,variant>"), F.create_map(*kv)))
 
 
+def python_number_text_sql(x: str) -> str:
+    """SQL form of ``python_number_text`` for a double expression ``x``."""
+    return (
+        f"CASE WHEN abs({x}) < 1e16 AND {x} = floor({x}) "
+        f"THEN concat(CAST(CAST({x} AS DECIMAL(17,0)) AS STRING), '.0') ELSE CAST({x} AS STRING) END"
+    )
+
+
 def python_number_text(x: Column) -> Column:
     """Text of a double the way Python's ``str(float)`` prints it for the usual
     range: integral values below 1e16 as ``n.0``, others in shortest form."""

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relayspark.functions.message import message_size, utf8_text
+from relayspark.functions.message import message_size_sql
 from relayspark.functions.strict_json import json_key, json_key_route, with_strict_json
 from relayspark.schema import MESSAGE_COLUMNS
 from relayspark.session import materialize
@@ -36,29 +36,26 @@ def prepare(df: DataFrame) -> DataFrame:
     measured: a null payload (Q-05), a null header value, or an ingest error
     already set by a normaliser (Q-08).
     """
-    size = message_size()
-    prior = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
-    df = df.withColumn("__size", size).withColumn("__prior", prior)
-    error = F.coalesce(
-        F.col("__prior"),
-        F.when(F.col("payload").isNull(), F.lit("null payload")).when(
-            F.col("__size").isNull(), F.lit("invalid header")
-        ),
+    prior = "error" if "error" in df.columns else "CAST(NULL AS STRING)"
+    df = df.withColumns({"__size": F.expr(message_size_sql()), "__prior": F.expr(prior)})
+    error = F.expr(
+        "coalesce(__prior, CASE WHEN payload IS NULL THEN 'null payload' "
+        "WHEN __size IS NULL THEN 'invalid header' END)"
     )
     skip = set(MESSAGE_COLUMNS) | {"__size", "__prior", "error", "source_size", "dest_topic", "delivery_error"}
     extra = [c for c in df.columns if c not in skip]
     return df.select(
         *MESSAGE_COLUMNS,
         *extra,
-        F.when(F.col("__prior").isNull(), F.col("__size")).alias("source_size"),
+        F.expr("CASE WHEN __prior IS NULL THEN __size END").alias("source_size"),
         error.alias("error"),
     )
 
 
 def _finish(df: DataFrame, dest: Column) -> DataFrame:
     """Attach the destination; errored rows get none (they are never delivered)."""
-    return df.withColumn("dest_topic", F.when(F.col("error").isNull(), dest)).withColumn(
-        "delivery_error", F.lit(None).cast("string")
+    return df.withColumns(
+        {"dest_topic": F.when(F.col("error").isNull(), dest), "delivery_error": F.lit(None).cast("string")}
     )
 
 
@@ -82,7 +79,7 @@ def resolver_expr(df: DataFrame, resolver: Mapping[str, str]) -> tuple[DataFrame
     if kind == "header":
         return df, F.coalesce(F.col("headers").getItem(key), F.lit("default"))
     if kind == "payload_key":
-        df = with_strict_json(df, utf8_text("payload"), "__route_json", objects_only=True)
+        df = with_strict_json(df, "try_validate_utf8(CAST(payload AS STRING))", "__route_json", objects_only=True)
         df = df.withColumn("__route_member", json_key("__route_json", key))
         return df, json_key_route("__route_member")
     log.warning("Unknown resolver type %r: every message goes to 'default'", kind)

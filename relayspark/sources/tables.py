@@ -39,42 +39,52 @@ def spread(df: DataFrame, parallelism: int | None = None, key: str | None = None
 TABLE_KEYS = {"events": "event_id", "documents": "doc_id", "conversations": "conv_id"}
 
 
+# Declared schemas of the driver tables: no footer-inference job per read.
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+EVENTS_SCHEMA = TABLE_SCHEMAS["events"]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
+    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df, key=TABLE_KEYS.get(name)) if widen else df
 
 
-EVENTS_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_payload_text(faults: bool = True) -> Column:
-    props = F.col("props")
+def event_payload_sql(faults: bool = True) -> str:
     if not faults:
-        return props
-    r = F.pmod(F.col("event_id"), F.lit(10))
+        return "props"
     return (
-        F.when(r == 0, F.substring(props, 2, 1 << 30))
-        .when(r == 1, F.lit("[1]"))
-        .when(r == 3, F.lit(None).cast("string"))
-        .otherwise(props)
+        "CASE pmod(event_id, 10) WHEN 0 THEN substring(props, 2) WHEN 1 THEN '[1]' "
+        "WHEN 3 THEN CAST(NULL AS STRING) ELSE props END"
     )
 
 
+def event_payload_text(faults: bool = True) -> Column:
+    return F.expr(event_payload_sql(faults))
+
+
 def events_to_messages(events: DataFrame, topic: str | None = "events", faults: bool = True) -> DataFrame:
     """``events`` rows as messages. ``topic=None`` uses ``event_type`` as the
     topic (a multi-topic source for one-to-one routing)."""
-    r = F.pmod(F.col("event_id"), F.lit(10))
-    header = F.create_map(F.lit("destination_topic"), F.col("event_type"))
-    empty = F.create_map().cast("map<string,string>")
-    headers = F.when(r == 2, empty).otherwise(header) if faults else header
-    return events.select(
-        F.encode(event_payload_text(faults), "UTF-8").alias("payload"),
-        headers.alias("headers"),
-        (F.lit(topic) if topic else F.col("event_type")).alias("topic"),
-        F.col("user_id").cast("string").alias("key"),
-        F.pmod(F.col("event_id"), F.lit(4)).cast("int").alias("partition"),
-        F.col("event_id").alias("offset"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+    header = "map('destination_topic', event_type)"
+    headers = f"CASE WHEN pmod(event_id, 10) = 2 THEN CAST(map() AS MAP<STRING, STRING>) ELSE {header} END" if faults else header
+    topic_sql = f"'{topic}'" if topic else "event_type"
+    return events.selectExpr(
+        f"encode({event_payload_sql(faults)}, 'UTF-8') AS payload",
+        f"{headers} AS headers",
+        f"{topic_sql} AS topic",
+        "CAST(user_id AS STRING) AS key",
+        "CAST(pmod(event_id, 4) AS INT) AS partition",
+        "event_id AS offset",
+        "CAST(ts AS TIMESTAMP) AS timestamp",
     )
 
 
