@@ -934,3 +934,20 @@ def stream_metrics(spark, sf_dir):
     return m.select(
         "side", "topic", "message_count", "total_bytes", "error_count", _ts("last_message_time").alias("last_message_time")
     )
+
+
+@register("stream_windowed_throughput", _bucket_sql("count(size)", "event_type", "messages_per_second"))
+def stream_windowed_throughput(spark, sf_dir):
+    """M-09 streamed: 5-minute message rate per source topic with a 10-minute
+    watermark, update mode, folded to the latest value per window."""
+    from relayspark.streaming.runner import read_latest, run_update_stream
+
+    raw = (
+        spark.readStream.schema(EVENTS_SCHEMA)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+    routed = fan(events_to_messages(raw, topic=None), HEADER)
+    _, out = run_update_stream(windowed_throughput(routed, watermark="10 minutes"))
+    return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "messages_per_second")

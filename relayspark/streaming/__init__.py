@@ -2,10 +2,12 @@
 
 from relayspark.streaming.runner import (
     run_stream,
+    run_update_stream,
+    read_latest,
     read_topic_table,
     read_stream_metrics,
     with_totals,
     TOTALS_NAME,
 )
 
-__all__ = ["run_stream", "read_topic_table", "read_stream_metrics", "with_totals", "TOTALS_NAME"]
+__all__ = ["run_stream", "run_update_stream", "read_latest", "read_topic_table", "read_stream_metrics", "with_totals", "TOTALS_NAME"]

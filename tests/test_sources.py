@@ -97,3 +97,15 @@ def test_events_view_keeps_every_row(spark):
     raw = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     assert m.count() == raw.count()
     assert m.filter(F.col("payload").isNull()).count() == raw.filter(F.pmod("event_id", F.lit(10)) == 3).count()
+
+
+def test_kafka_binding_needs_connector(spark):
+    """The binding is wired to format("kafka"); without the connector jar on
+    the classpath Spark refuses to resolve the source."""
+    import pytest
+
+    from relayspark.sources import read_topics
+
+    with pytest.raises(Exception) as exc:
+        read_topics(spark, "kafka", kafka_reader_options("localhost:9", ["t"]), streaming=False)
+    assert "kafka" in str(exc.value).lower()
