@@ -22,12 +22,15 @@ def kafka_reader_options(
     starting: str | dict | None = None,
     max_per_trigger: int | None = None,
     extra: dict[str, str] | None = None,
+    min_partitions: int | None = None,
 ) -> dict[str, str]:
     """S-01, S-07, S-08, T-05 as Kafka source options.
 
     ``starting``: ``"earliest"``, ``"latest"``, an offsets dict
     ``{topic: {partition: offset}}`` or ``{"timestamp": ms}``.
-    ``max_per_trigger`` bounds each micro-batch (the back-pressure knob).
+    ``max_per_trigger`` bounds each micro-batch (the back-pressure knob);
+    ``min_partitions`` splits large topic partitions over more tasks than the
+    topic has partitions.
     """
     import json
 
@@ -47,6 +50,8 @@ def kafka_reader_options(
         )
     if max_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(int(max_per_trigger))
+    if min_partitions:
+        opts["minPartitions"] = str(int(min_partitions))
     opts.update(extra or {})
     return opts
 

@@ -119,3 +119,32 @@ def test_loss_check(spark, make):
     dst = destination_metrics(r.filter(F.col("payload") != F.lit(b"b")), elapsed=1.0)
     got = {x["dest_topic"]: (x["source_count"], x["dest_count"], x["lost"]) for x in loss_check(source_metrics(r, elapsed=1.0), dst, routes).collect()}
     assert got == {"d1": (2, 1, 1), "d2": (1, 1, 0)}
+
+
+def test_source_and_destination_sizes_differ_after_processing(spark, make):
+    """Q-10: source bytes before processing, destination bytes after."""
+    from relayspark.operators.processors import header_stamp
+    from relayspark.operators.metrics import topic_report
+
+    df = header_stamp(fan(make([sized(100, "s", "d")]), HEADER), "x", "yz")
+    rep = {(r["side"], r["topic"]): r["total_bytes"] for r in topic_report(df, elapsed=1.0).collect()}
+    assert rep == {("source", "s"): 100, ("destination", "d"): 103}
+
+
+def test_eventhubs_metrics_keep_resolved_topic(spark, make):
+    """Q-18: the Event Hubs projection drops the topic; metrics still use it."""
+    from relayspark.sinks import to_eventhubs
+
+    df = fan(make([sized(10, "s", "resolved")]), HEADER)
+    assert "topic" not in to_eventhubs(df).columns
+    assert destination_metrics(df, elapsed=1.0).first()["topic"] == "resolved"
+
+
+def test_topic_report_equals_separate_sides(spark, make):
+    rows = [sized(50, "a", "x"), sized(70, "b", "y"), msg(None, topic="a"), msg('{"k": null}', topic="b")]
+    df = fan(make(rows), HEADER)
+    from relayspark.operators.metrics import topic_report
+
+    one = sorted(tuple(r) for r in topic_report(df, elapsed=2.0).collect())
+    two = sorted(tuple(r) for r in metrics_report(source_metrics(df, elapsed=2.0), destination_metrics(df, elapsed=2.0)).collect())
+    assert one == two

@@ -128,3 +128,15 @@ def test_windowed_stream_drops_late_data(spark, tmp_path):
     got = read_latest(spark, out, ["window_start", "window_end", "topic"])
     assert got.filter("day(window_start) < 10").count() == 0
     assert got.filter("day(window_start) >= 20").count() > 0
+
+
+def test_one_to_one_stream_matches_batch(spark, tmp_path):
+    from relayspark.operators.routing import one_to_one
+
+    src = split_events(spark, tmp_path)
+    routes = {"purchase": "orders", "click": "clicks"}
+    raw = spark.readStream.schema(EVENTS_SCHEMA).parquet(src)
+    _, out = run_stream(one_to_one(events_to_messages(raw, topic=None), routes), out_dir=str(tmp_path / "o"))
+    got = read_topic_table(spark, out).groupBy("dest_topic").count()
+    want = one_to_one(events_messages(spark, SF_SMALL, topic=None), routes).filter("error IS NULL").groupBy("dest_topic").count()
+    assert sorted(got.collect()) == sorted(want.collect())
