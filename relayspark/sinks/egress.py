@@ -65,9 +65,12 @@ def to_pubsub(routed: DataFrame, project: str) -> DataFrame:
 
 
 def topic_rows(routed: DataFrame) -> DataFrame:
-    """Delivered rows in (partition, offset) order within each task (T-04); a
-    per-task sort, no shuffle."""
-    return deliverable(routed).select(*MESSAGE_COLUMNS, "dest_topic").sortWithinPartitions("partition", "offset")
+    """Delivered rows in (partition, offset) order within each task and topic
+    (T-04); a per-task sort, no shuffle. The destination leads the sort so the
+    partitioned writer finds its required order and does not re-sort."""
+    return deliverable(routed).select(*MESSAGE_COLUMNS, "dest_topic").sortWithinPartitions(
+        "dest_topic", "partition", "offset"
+    )
 
 
 def write_topics(routed: DataFrame, path: str, mode: str = "append") -> None:

@@ -2,7 +2,7 @@
 
 from relayspark.sources.normalise import from_kafka, from_pulsar, from_eventhubs, from_pubsub
 from relayspark.sources.bindings import read_topics, kafka_reader_options, eventhubs_reader_options
-from relayspark.sources.synthetic import synthetic_topics, given_messages
+from relayspark.sources.synthetic import synthetic_topics, synthetic_stream, given_messages
 from relayspark.sources.replay import replay_from
 
 __all__ = [
@@ -14,6 +14,7 @@ __all__ = [
     "kafka_reader_options",
     "eventhubs_reader_options",
     "synthetic_topics",
+    "synthetic_stream",
     "given_messages",
     "replay_from",
 ]

@@ -38,6 +38,18 @@ def synthetic_topics(spark: SparkSession, n: int, topics: Sequence[str]) -> Data
     return synthetic_messages(spark.range(1, n + 1), topics)
 
 
+def synthetic_stream(spark: SparkSession, topics: Sequence[str], rows_per_batch: int = 1000) -> DataFrame:
+    """S-05 as a stream: ``rate-micro-batch`` numbers each row (from 0), so
+    message *n* = value + 1 follows the same round-robin rule."""
+    rate = (
+        spark.readStream.format("rate-micro-batch")
+        .option("rowsPerBatch", int(rows_per_batch))
+        .option("numPartitions", spark.sparkContext.defaultParallelism)
+        .load()
+    )
+    return synthetic_messages(rate.select((F.col("value") + 1).alias("id")), topics)
+
+
 def given_messages(spark: SparkSession, rows: Iterable) -> DataFrame:
     """S-06: a supplied list of messages (tuples or dicts in MESSAGE order)."""
     return spark.createDataFrame(list(rows), MESSAGE)

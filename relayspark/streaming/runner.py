@@ -43,7 +43,10 @@ def _write_batch(out_dir: str):
             rows = (
                 b.filter(delivered(b))
                 .select(*MESSAGE_COLUMNS, "dest_topic", "batch_id")
-                .sortWithinPartitions("partition", "offset")
+                # Partition columns first: the writer's required order is a
+                # prefix of this one, so it adds no sort of its own and each
+                # file keeps (partition, offset) order (T-04).
+                .sortWithinPartitions("batch_id", "dest_topic", "partition", "offset")
             )
             (
                 rows.write.mode("overwrite")

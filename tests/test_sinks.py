@@ -44,3 +44,22 @@ def test_write_topics_partitioned(spark, make, tmp_path):
     back = spark.read.parquet(path)
     assert sorted(r["dest_topic"] for r in back.collect()) == ["t1", "t2"]
     assert back.filter(F.col("dest_topic") == "t2").count() == 1
+
+
+def test_written_topic_files_keep_order(spark, make, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    rows = [msg(f"m{i}", {"d": "t1" if i % 2 else "t2"}, partition=(7 * i) % 3, offset=(13 * i) % 50) for i in range(50)]
+    path = str(tmp_path / "ordered")
+    write_topics(fan(make(rows), HEADER), path)
+    n = 0
+    for root, _, files in os.walk(path):
+        for f in files:
+            if f.endswith(".parquet"):
+                t = pq.read_table(os.path.join(root, f), columns=["partition", "offset"]).to_pylist()
+                keys = [(r["partition"], r["offset"]) for r in t]
+                assert keys == sorted(keys)
+                n += 1
+    assert n > 0
