@@ -37,6 +37,7 @@ HEADLINE = [
     "fan_documents_payload",  # strict JSON pre-check over whole documents
     "bounded_read",  # V-06 top-n per topic
     "stream_fan_drain",  # T-01/T-02 streamed with availableNow
+    "stream_windowed_throughput",  # M-09 streamed, update mode + watermark
 ]
 
 
