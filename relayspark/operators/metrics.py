@@ -280,28 +280,30 @@ def windowed_errors(routed: DataFrame, window: str = "5 minutes", slide: str | N
     return _windowed(df, "topic", F.count("error"), "errors_per_second", window, slide, _seconds(window))
 
 
-def loss_check(source: DataFrame, destination: DataFrame, routes) -> DataFrame:
-    """M-12: per destination topic, messages counted at the source(s) routed to
-    it against messages delivered; ``lost > 0`` means loss.
-
-    Both sides are per-topic aggregates (one row per topic), so the full outer
-    join is small whatever the message volume.
+def loss_check(report: DataFrame, routes) -> DataFrame:
+    """M-12: per destination topic, messages counted at the source topic(s)
+    routed to it against messages delivered; ``lost > 0`` means loss.
+
+    Takes a ``topic_report`` (both sides from one read of the routed rows):
+    source rows are re-keyed to their destination through the route table and
+    summed with the destination rows, so the messages are read once and no
+    join touches them. A DataFrame route table joins the report (one row per
+    topic), broadcast.
     """
+    src = F.col("side") == "source"
     if isinstance(routes, DataFrame):
-        table = routes.select(F.col("source_topic").alias("topic"), F.col("destination_topic").alias("dest_topic"))
-        expected = source.join(F.broadcast(table), "topic", "inner")
+        table = routes.select(F.col("source_topic").alias("__src"), F.col("destination_topic").alias("__dst"))
+        report = report.join(F.broadcast(table), src & (F.col("topic") == F.col("__src")), "left")
+        mapped = F.col("__dst")
     else:
         pairs = dict(routes)
-        lookup = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-        expected = source.withColumn("dest_topic", F.element_at(lookup, F.col("topic"))).filter(
-            F.col("dest_topic").isNotNull()
-        )
-    exp = expected.groupBy("dest_topic").agg(F.sum("message_count").cast("bigint").alias("source_count"))
-    got = destination.select(F.col("topic").alias("dest_topic"), F.col("message_count").alias("dest_count"))
-    joined = exp.join(got, "dest_topic", "full_outer")
-    return joined.select(
-        "dest_topic",
-        F.coalesce("source_count", F.lit(0)).cast("bigint").alias("source_count"),
-        F.coalesce("dest_count", F.lit(0)).cast("bigint").alias("dest_count"),
-        (F.coalesce("source_count", F.lit(0)) - F.coalesce("dest_count", F.lit(0))).cast("bigint").alias("lost"),
+        mapped = F.element_at(F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv]), F.col("topic"))
+    keyed = report.select(
+        F.when(src, mapped).otherwise(F.col("topic")).alias("dest_topic"),
+        F.when(src, F.col("message_count")).otherwise(F.lit(0)).alias("__s"),
+        F.when(src, F.lit(0)).otherwise(F.col("message_count")).alias("__d"),
+    )
+    out = keyed.filter(F.col("dest_topic").isNotNull()).groupBy("dest_topic").agg(
+        F.sum("__s").cast("bigint").alias("source_count"), F.sum("__d").cast("bigint").alias("dest_count")
     )
+    return out.withColumn("lost", (F.col("source_count") - F.col("dest_count")).cast("bigint"))

@@ -519,7 +519,7 @@ def loss_check_q(spark, sf_dir):
     failures show up as loss."""
     routed = one_to_one(events_messages(spark, sf_dir, topic=None), LOSS_ROUTES)
     out = process(routed, "relayspark.plans.examples.ParityProcessor")
-    return loss_check(source_metrics(out, elapsed=1.0), destination_metrics(out, elapsed=1.0), LOSS_ROUTES)
+    return loss_check(topic_report(out, elapsed=1.0), LOSS_ROUTES)
 
 
 # --------------------------------------------------------------------------

@@ -29,8 +29,12 @@ def spread(df: DataFrame, parallelism: int | None = None, key: str | None = None
     scan below the exchange. With a unique ``key`` the rows are hashed on it
     (no pre-sort needed for a retry-stable split); otherwise round-robin.
     """
-    n = parallelism or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
+    try:
+        n = parallelism or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as it is
+        return df
+    if splits >= n:
         return df
     return df.repartition(n, key) if key else df.repartition(n)
 

@@ -116,9 +116,20 @@ def test_loss_check(spark, make):
     rows = [msg("a", topic="s1"), msg("b", topic="s1"), msg("c", topic="s2")]
     routes = {"s1": "d1", "s2": "d2"}
     r = one_to_one(make(rows), routes)
-    dst = destination_metrics(r.filter(F.col("payload") != F.lit(b"b")), elapsed=1.0)
-    got = {x["dest_topic"]: (x["source_count"], x["dest_count"], x["lost"]) for x in loss_check(source_metrics(r, elapsed=1.0), dst, routes).collect()}
+    from relayspark.operators.metrics import topic_report
+    from relayspark.operators.processors import row_processor
+
+    def drop_b(m):
+        if m.payload == b"b":
+            raise ValueError("b")
+        return m
+
+    out = row_processor(drop_b)(r)
+    got = {x["dest_topic"]: (x["source_count"], x["dest_count"], x["lost"]) for x in loss_check(topic_report(out, elapsed=1.0), routes).collect()}
     assert got == {"d1": (2, 1, 1), "d2": (1, 1, 0)}
+    table = spark.createDataFrame(list(routes.items()), "source_topic string, destination_topic string")
+    got2 = {x["dest_topic"]: (x["source_count"], x["dest_count"], x["lost"]) for x in loss_check(topic_report(out, elapsed=1.0), table).collect()}
+    assert got2 == got
 
 
 def test_source_and_destination_sizes_differ_after_processing(spark, make):
