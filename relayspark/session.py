@@ -20,12 +20,42 @@ REQUIRED_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings the operators rely on (all are session-settable)."""
+    """Apply the runtime SQL settings the operators rely on (all are
+    session-settable) and make the package importable by Python workers."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Add this package to the Python workers' path once per SparkContext
+    (what ``--py-files`` does), so that row processors and their helpers
+    unpickle on executors that do not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_relayspark_shipped", False):
+        return
+    import zipfile
+
+    import relayspark
+
+    pkg_dir = os.path.dirname(os.path.abspath(relayspark.__file__))
+    root = spark.conf.get("spark.checkpoint.dir", None) or ""
+    local_root = root.replace("file:", "") if root and ("://" not in root or root.startswith("file:")) else ""
+    base = os.path.join(local_root, "relayspark", "pyfiles") if local_root else tempfile.mkdtemp(prefix="relayspark-pyfiles-")
+    target = os.path.join(base, uuid.uuid4().hex[:12])
+    os.makedirs(target, exist_ok=True)
+    zpath = os.path.join(target, "relayspark.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    sc._relayspark_shipped = True
+
+
 def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
