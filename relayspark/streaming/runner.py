@@ -151,3 +151,44 @@ def read_stream_metrics(spark: SparkSession, out_dir: str, after_batch: int = -1
     """Fold the stored deltas into per-(side, topic) metrics (M-07 epoch by
     ``after_batch``)."""
     return metrics_since_batch(spark.read.parquet(f"{out_dir}/metrics"), after_batch)
+
+
+def run_broker_stream(
+    projected: DataFrame,
+    fmt: str,
+    options: dict[str, str],
+    checkpoint: str | None = None,
+    processing_time: str | None = None,
+) -> StreamingQuery:
+    """Stream an egress projection (``to_kafka`` etc.) to a broker connector.
+
+    The checkpoint commits source offsets after the sink accepted the batch:
+    at-least-once into the broker (a replayed batch may be sent again),
+    never the at-most-once of committing before processing.
+    """
+    spark = projected.sparkSession
+    checkpoint = checkpoint or shared_dir(spark, f"{fmt}-sink") + "/_checkpoint"
+    writer = projected.writeStream.format(fmt).options(**options).option("checkpointLocation", checkpoint)
+    if processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def stream_report(spark: SparkSession, query: StreamingQuery, out_dir: str) -> dict:
+    """M-13: the report at stop: uptime (first to last progress of the run)
+    and both sides folded from the stored deltas, keyed by topic."""
+    from datetime import datetime
+
+    from relayspark.operators.metrics import report_dict
+
+    progress = query.recentProgress
+    uptime = 0.0
+    if progress:
+        fmt = "%Y-%m-%dT%H:%M:%S.%fZ"
+        first = datetime.strptime(progress[0]["timestamp"], fmt)
+        last = datetime.strptime(progress[-1]["timestamp"], fmt)
+        uptime = (last - first).total_seconds() + progress[-1]["batchDuration"] / 1000.0
+    m = read_stream_metrics(spark, out_dir).withColumn("rate_per_second", F.lit(None).cast("double"))
+    if uptime > 0:
+        m = m.withColumn("rate_per_second", F.col("message_count") / F.lit(uptime))
+    return report_dict(m, uptime)

@@ -179,3 +179,29 @@ def test_topic_files_in_partition_offset_order(spark, tmp_path):
                 assert keys == sorted(keys)
                 checked += 1
     assert checked > 0
+
+
+def test_stream_report_at_stop(spark, tmp_path):
+    """M-13: uptime and both sides after the stream ends."""
+    from relayspark.streaming import stream_report
+
+    src = split_events(spark, tmp_path, parts=2)
+    q, out = run_stream(fan(event_stream(spark, src), HEADER), out_dir=str(tmp_path / "rep"))
+    rep = stream_report(spark, q, out)
+    assert rep["uptime_seconds"] > 0
+    total = spark.read.parquet(src).count()
+    src_side = rep["source_metrics"]["events"]
+    assert src_side["message_count"] + src_side["error_count"] == total
+    assert sum(v["message_count"] for v in rep["destination_metrics"].values()) == src_side["message_count"]
+
+
+def test_broker_stream_needs_connector(spark, tmp_path):
+    import pytest
+
+    from relayspark.sinks import to_kafka
+    from relayspark.streaming import run_broker_stream
+
+    src = split_events(spark, tmp_path, parts=1)
+    with pytest.raises(Exception) as exc:
+        run_broker_stream(to_kafka(fan(event_stream(spark, src), HEADER)), "kafka", {"kafka.bootstrap.servers": "localhost:9"}, checkpoint=str(tmp_path / "k"))
+    assert "kafka" in str(exc.value).lower()
