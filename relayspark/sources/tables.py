@@ -54,10 +54,28 @@ TABLE_SCHEMAS = {
 EVENTS_SCHEMA = TABLE_SCHEMAS["events"]
 
 
+# Split counts already looked up, per (path, task slots). A stale entry can
+# only cost speed (a missed or extra re-split), never change a result.
+_SPLITS: dict[tuple[str, int], int] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True) -> DataFrame:
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
-    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, key=TABLE_KEYS.get(name)) if widen else df
+    df = reader.parquet(path)
+    if not widen:
+        return df
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        cache_key = (path, slots)
+        if cache_key not in _SPLITS:
+            _SPLITS[cache_key] = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as it is
+        return df
+    if _SPLITS[cache_key] >= slots:
+        return df
+    key = TABLE_KEYS.get(name)
+    return df.repartition(slots, key) if key else df.repartition(slots)
 
 
 
