@@ -36,8 +36,14 @@ def with_strict_json(
     priority tagging) and spares the parse of large non-JSON payloads.
     """
     t = F.expr(text) if isinstance(text, str) else text
-    arr, obj, src = f"__{out}_a", f"__{out}_o", f"__{out}_t"
-    df = df.withColumn(src, F.when(t.rlike(_OBJECT_START), t) if objects_only else t)
+    arr, obj, src, raw = f"__{out}_a", f"__{out}_o", f"__{out}_t", f"__{out}_r"
+    if objects_only:
+        # The decoded text is staged first so that the object test and the
+        # parse input share one decode.
+        df = df.withColumn(raw, t)
+        df = df.withColumn(src, F.when(F.col(raw).rlike(_OBJECT_START), F.col(raw)))
+    else:
+        df = df.withColumn(src, t)
     df = df.withColumns(
         {
             arr: F.expr(f"try_parse_json(concat('[', {src}, ']'))"),
@@ -49,7 +55,7 @@ def with_strict_json(
         f"AND try_variant_get({arr}, '$[1]', 'variant') IS NULL "
         f"THEN try_variant_get({arr}, '$[0]', 'variant') END"
     )
-    keep = [c for c in df.columns if c not in (arr, obj, src, out)]
+    keep = [c for c in df.columns if c not in (arr, obj, src, raw, out)]
     return df.select(*keep, parsed.alias(out))
 
 

@@ -147,3 +147,11 @@ def test_cross_system(spark, make):
     out = cross_system(df, lambda d: fan(d, {"type": "header", "key": "d"}), to_kafka)
     r = out.first()
     assert r["topic"] == "t1" and bytes(r["value"]) == b"x" and bytes(r["key"]) == b"k"
+
+
+def test_payload_routing_decodes_once_and_parses_twice(spark, make):
+    """SURVEY §4: staged strict JSON; Catalyst must not repeat the parses."""
+    df = fan(make([msg('{"k":"a"}'), msg("x")]), {"type": "payload_key", "key": "k"})
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 2
+    assert plan.count("tryValidateUTF8") == 1
