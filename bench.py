@@ -36,6 +36,7 @@ HEADLINE = [
     "egress_kafka",  # K-01
     "fan_documents_lang",  # whole documents, skewed topic
     "fan_documents_payload",  # strict JSON pre-check over whole documents
+    "json_enrich_documents",  # P-04 over whole documents, sizes after processing
     "bounded_read",  # V-06 top-n per topic
     "stream_fan_drain",  # T-01/T-02 streamed with availableNow
     "stream_windowed_throughput",  # M-09 streamed, update mode + watermark

@@ -17,6 +17,7 @@ from relayspark.functions.message import header_bytes, message_size, utf8_text
 from relayspark.operators import checks
 from relayspark.operators.metrics import (
     batch_deltas,
+    delivered,
     counter_rows,
     destination_metrics,
     loss_check,
@@ -952,3 +953,25 @@ def stream_windowed_throughput(spark, sf_dir):
     routed = fan(events_to_messages(raw, topic=None), HEADER)
     _, out = run_update_stream(windowed_throughput(routed, watermark="10 minutes"))
     return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "messages_per_second")
+
+
+@register(
+    "json_enrich_documents",
+    """SELECT lang AS topic, count(*)::BIGINT AS message_count,
+  sum(strlen(text) + 4 + strlen(lang) + 6 + strlen(source) + strlen(CAST(doc_id AS VARCHAR)) + 16 + 12)::BIGINT AS total_bytes,
+  count(*)::BIGINT AS invalid_json
+FROM documents WHERE text IS NOT NULL GROUP BY lang""",
+)
+def json_enrich_documents(spark, sf_dir):
+    """P-04 over whole documents: prose is not JSON, so every message keeps its
+    payload and gains header enrichment_error; destination bytes are measured
+    after processing (Q-10)."""
+    routed = fan(documents_messages(spark, sf_dir), {"type": "header", "key": "lang"})
+    out = json_enrich(routed)
+    ok = delivered(out)
+    agg = out.groupBy(F.col("dest_topic").alias("topic")).agg(
+        F.count_if(ok).alias("message_count"),
+        F.coalesce(F.sum(F.when(ok, message_size())), F.lit(0)).cast("bigint").alias("total_bytes"),
+        F.count_if(ok & (F.col("headers")["enrichment_error"] == F.lit("invalid JSON"))).alias("invalid_json"),
+    )
+    return agg.filter(F.col("message_count") > 0)
