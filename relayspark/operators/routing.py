@@ -150,11 +150,13 @@ def one_to_one(df: DataFrame, routes, broadcast_limit: int = BROADCAST_ROUTE_LIM
             F.broadcast(table.withColumnRenamed("source_topic", "topic")), on="topic", how="inner"
         )
     else:
-        # Salt: replicate each route S times and give every message a stable salt
-        # from its position, so a hot topic is split over S join tasks.
+        # Salt: replicate each route S times and give every message a stable
+        # salt, so a hot topic is split over S join tasks. The salt is a hash
+        # of the message itself (deterministic, so a retried task routes the
+        # same way); the payload is included for sources without offsets or keys.
         salts = F.explode(F.sequence(F.lit(0), F.lit(ROUTE_SALTS - 1)))
         salted_routes = table.withColumnRenamed("source_topic", "topic").withColumn("__salt", salts)
-        salt = F.pmod(F.xxhash64("partition", "offset", "key", "timestamp"), F.lit(ROUTE_SALTS))
+        salt = F.pmod(F.xxhash64("partition", "offset", "key", "timestamp", "payload"), F.lit(ROUTE_SALTS))
         joined = (
             df.withColumn("__salt", salt)
             .join(salted_routes, on=["topic", "__salt"], how="inner")
