@@ -95,6 +95,8 @@ def _checkpoint_root(spark: SparkSession) -> str:
     if not root:
         # Only reached where the cluster names no shared folder (local tests).
         root = tempfile.mkdtemp(prefix="relayspark-state-")
+    if not sc.getCheckpointDir():
+        # Named only as a session setting: register it for checkpoint() too.
         sc.setCheckpointDir(root)
     return root
 
