@@ -64,8 +64,19 @@ def main() -> None:
         if os.path.isdir(warm_dir):
             run(spark, name, warm_dir)
         times[name] = round(min(run(spark, name, sf_dir) for _ in range(3)), 3)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    rows = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("events", "documents", "conversations")}
+    events, docs = rows["events"], rows["documents"]
+    # Input rows each query reads.
+    inputs = {name: rows["events"] for name in HEADLINE}
+    inputs.update(
+        {
+            "funnel_union": rows["events"] + rows["documents"] + rows["conversations"],
+            "fan_documents_lang": rows["documents"],
+            "fan_documents_payload": rows["documents"],
+            "json_enrich_documents": rows["documents"],
+        }
+    )
+    rates = {name: round(inputs[name] / t, 1) for name, t in times.items() if t > 0}
     sf = sf_dir.rsplit("sf", 1)[-1]
     total = round(sum(times.values()), 3)
     print(
@@ -77,7 +88,8 @@ def main() -> None:
                 "queries": times,
                 "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
                 "cores": cpus,
-                "input_rows": {"events": events, "documents": docs},
+                "input_rows": rows,
+                "rows_per_second": rates,
                 "events_per_second_flagship": round(events / times["fan_header_metrics"], 1),
             }
         )
