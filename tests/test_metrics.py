@@ -159,3 +159,14 @@ def test_topic_report_equals_separate_sides(spark, make):
     one = sorted(tuple(r) for r in topic_report(df, elapsed=2.0).collect())
     two = sorted(tuple(r) for r in metrics_report(source_metrics(df, elapsed=2.0), destination_metrics(df, elapsed=2.0)).collect())
     assert one == two
+
+
+def test_metrics_aggregate_partially_before_the_shuffle(spark, make):
+    from relayspark.operators.metrics import topic_report
+    from relayspark.session import plan_text
+
+    df = fan(make([sized(10, "a", "d")]), HEADER)
+    for m in (source_metrics(df, elapsed=1.0), destination_metrics(df, elapsed=1.0), topic_report(df, elapsed=1.0)):
+        plan = plan_text(m)
+        assert "partial_count" in plan
+        assert plan.index("partial_count") > 0

@@ -205,3 +205,19 @@ def test_broker_stream_needs_connector(spark, tmp_path):
     with pytest.raises(Exception) as exc:
         run_broker_stream(to_kafka(fan(event_stream(spark, src), HEADER)), "kafka", {"kafka.bootstrap.servers": "localhost:9"}, checkpoint=str(tmp_path / "k"))
     assert "kafka" in str(exc.value).lower()
+
+
+def test_funnel_of_two_streams_matches_batch(spark, tmp_path):
+    """F-01 streamed: a union of two file streams into one topic."""
+    from relayspark.operators.routing import funnel
+
+    src = split_events(spark, tmp_path)
+    raw = spark.readStream.schema(EVENTS_SCHEMA).parquet(src)
+    a = events_to_messages(raw.filter("event_type IN ('click', 'view')"), topic="ui")
+    b = events_to_messages(raw.filter("event_type NOT IN ('click', 'view')"), topic="backend")
+    _, out = run_stream(funnel([a, b], "all-events"), out_dir=str(tmp_path / "f"))
+    got = read_topic_table(spark, out)
+    batch = funnel([events_messages(spark, SF_SMALL)], "all-events").filter("error IS NULL")
+    assert got.count() == batch.count()
+    assert {r[0] for r in got.select("dest_topic").distinct().collect()} == {"all-events"}
+    assert {r[0] for r in got.select("topic").distinct().collect()} == {"ui", "backend"}
