@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relayspark.functions.message import header_bytes, message_size, utf8_text
+from relayspark.functions.message import header_bytes, message_size
 from relayspark.operators import checks
 from relayspark.operators.metrics import (
     batch_deltas,
