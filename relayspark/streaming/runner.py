@@ -33,27 +33,32 @@ def with_totals(routed: DataFrame, name: str = TOTALS_NAME) -> DataFrame:
     )
 
 
-def _write_batch(out_dir: str):
+def _write_batch(out_dir: str, sink=None):
     topics_path = f"{out_dir}/topics"
     metrics_path = f"{out_dir}/metrics"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
         try:
-            rows = (
-                b.filter(delivered(b))
-                .select(*MESSAGE_COLUMNS, "dest_topic", "batch_id")
-                # Partition columns first: the writer's required order is a
-                # prefix of this one, so it adds no sort of its own and each
-                # file keeps (partition, offset) order (T-04).
-                .sortWithinPartitions("batch_id", "dest_topic", "partition", "offset")
-            )
-            (
-                rows.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id", "dest_topic")
-                .parquet(topics_path)
-            )
+            if sink is not None:
+                # A broker: the projection of this batch is sent; a replayed
+                # batch is sent again (at-least-once), its deltas overwritten.
+                sink(b.drop("batch_id"))
+            else:
+                rows = (
+                    b.filter(delivered(b))
+                    .select(*MESSAGE_COLUMNS, "dest_topic", "batch_id")
+                    # Partition columns first: the writer's required order is a
+                    # prefix of this one, so it adds no sort of its own and each
+                    # file keeps (partition, offset) order (T-04).
+                    .sortWithinPartitions("batch_id", "dest_topic", "partition", "offset")
+                )
+                (
+                    rows.write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("batch_id", "dest_topic")
+                    .parquet(topics_path)
+                )
             (
                 batch_deltas(b)
                 .write.mode("overwrite")
@@ -74,14 +79,19 @@ def run_stream(
     drain: bool = True,
     processing_time: str | None = None,
     query_name: str | None = None,
+    sink=None,
 ) -> tuple[StreamingQuery, str]:
     """T-01 / T-02 / T-06: start the stream; with ``drain`` read what is
     available, then stop (``availableNow``) and wait. Returns the query and
-    the output folder (under the shared checkpoint root unless given)."""
+    the output folder (under the shared checkpoint root unless given).
+
+    ``sink``: a function given each routed micro-batch (for example a broker
+    write of ``to_kafka(batch)``) used instead of the topic table; the metric
+    deltas are stored either way."""
     spark = routed.sparkSession
     out_dir = out_dir or shared_dir(spark, "stream-out")
     checkpoint = checkpoint or f"{out_dir}/_checkpoint"
-    writer = routed.writeStream.foreachBatch(_write_batch(out_dir)).option("checkpointLocation", checkpoint)
+    writer = routed.writeStream.foreachBatch(_write_batch(out_dir, sink)).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
     if drain:
