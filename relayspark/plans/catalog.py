@@ -975,3 +975,41 @@ def json_enrich_documents(spark, sf_dir):
         F.count_if(ok & (F.col("headers")["enrichment_error"] == F.lit("invalid JSON"))).alias("invalid_json"),
     )
     return agg.filter(F.col("message_count") > 0)
+
+
+@register(
+    "config_one_to_one",
+    f"""WITH {EV}
+SELECT r.dst AS dest_topic, count(*)::BIGINT AS message_count, sum(size)::BIGINT AS total_bytes
+FROM evs JOIN (VALUES ('purchase','orders-processed'), ('signup','signups-processed'), ('view','views-processed')) AS r(src, dst)
+  ON evs.event_type = r.src
+WHERE error IS NULL GROUP BY r.dst""",
+)
+def config_one_to_one(spark, sf_dir):
+    """A relay configuration run as is (mode one_to_one, table source and
+    destination, rate limit from queue_size) over the events stored as a topic
+    table in the shared folder."""
+    from relayspark.plans.config import start_from_config
+    from relayspark.session import shared_dir
+    from relayspark.streaming.runner import read_topic_table
+
+    stored = shared_dir(spark, "events-topic-table")
+    events_messages(spark, sf_dir, topic=None).write.mode("overwrite").parquet(stored)
+    cfg = {
+        "mode": "one_to_one",
+        "thread_pool": {"max_workers": 20, "queue_size": 2000},
+        "back_pressure": {"enabled": True, "queue_high_watermark": 0.8, "queue_low_watermark": 0.5},
+        "one_to_one": {
+            "source": {"type": "table", "connection": {"path": stored}},
+            "destination": {"type": "table", "connection": {}},
+            "mappings": [
+                {"source_topic": "purchase", "destination_topic": "orders-processed"},
+                {"source_topic": "signup", "destination_topic": "signups-processed"},
+                {"source_topic": "view", "destination_topic": "views-processed"},
+            ],
+        },
+    }
+    _, out = start_from_config(spark, cfg, drain=True)
+    return read_topic_table(spark, out).groupBy("dest_topic").agg(
+        F.count(F.lit(1)).alias("message_count"), F.sum(message_size()).cast("bigint").alias("total_bytes")
+    )

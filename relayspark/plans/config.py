@@ -12,7 +12,8 @@ meaning on Spark and are ignored.
 
 Source and destination ``type``: ``kafka``, ``eventhubs``, ``pulsar``,
 ``google_pubsub``, ``mock`` (synthetic messages) and ``table`` (a stored
-topic table at ``connection.path``, MESSAGE schema).
+topic table at ``connection.path``, MESSAGE schema; optional
+``connection.max_files_per_trigger``).
 """
 
 from __future__ import annotations
@@ -78,9 +79,11 @@ def read_source(spark: SparkSession, system: Mapping, topics: list[str], max_per
     if kind == "mock":
         return synthetic_stream(spark, topics, rows_per_batch=max_per_trigger or 100)
     if kind == "table":
+        # A message count does not translate to files: a stored table is
+        # limited by ``connection.max_files_per_trigger`` when given.
         reader = spark.readStream.schema(MESSAGE)
-        if max_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", 1)
+        if conn.get("max_files_per_trigger"):
+            reader = reader.option("maxFilesPerTrigger", int(conn["max_files_per_trigger"]))
         return subscribe(reader.parquet(conn["path"]), topics)
     raise ValueError(f"unsupported source type {kind!r}")
 

@@ -23,7 +23,7 @@ def test_one_to_one_config(spark, tmp_path, topic_table):
         "thread_pool": {"max_workers": 20, "queue_size": 2000},
         "back_pressure": {"enabled": True},
         "one_to_one": {
-            "source": {"type": "table", "connection": {"path": topic_table}},
+            "source": {"type": "table", "connection": {"path": topic_table, "max_files_per_trigger": 1}},
             "destination": {"type": "table", "connection": {}},
             "mappings": [
                 {"source_topic": "purchase", "destination_topic": "orders-processed"},
