@@ -73,7 +73,7 @@ def funnel(sources: Iterable[DataFrame], destination_topic: str) -> DataFrame:
 def resolver_expr(df: DataFrame, resolver: Mapping[str, str]) -> tuple[DataFrame, Column]:
     """Column expression for a fan resolver ``{type, key}`` (F-02 .. F-04)."""
     if "type" not in resolver or "key" not in resolver:
-        # Q-07: the reference fails per message; a missing field is a plan error here.
+        # Q-07: a missing field is a plan-time error, not a per-message failure.
         raise ValueError(f"resolver needs 'type' and 'key': {dict(resolver)!r}")
     kind, key = resolver["type"], resolver["key"]
     if kind == "header":
