@@ -170,3 +170,20 @@ def test_metrics_aggregate_partially_before_the_shuffle(spark, make):
         plan = plan_text(m)
         assert "partial_count" in plan
         assert plan.index("partial_count") > 0
+
+
+def test_sliding_windows(spark, make):
+    """M-09 with a slide: a message counts in every window that covers it."""
+    rows = [sized(10, "a", "d", ts=T0 + timedelta(minutes=7))]
+    df = fan(make(rows), HEADER)
+    got = sorted(r["window_start"] for r in windowed_throughput(df, window="10 minutes", slide="5 minutes").collect())
+    assert got == [T0, T0 + timedelta(minutes=5)]
+
+
+def test_counter_rows_keep_zeros(spark, make):
+    from relayspark.operators.metrics import topic_report
+
+    df = fan(make([sized(10, "a", "d")]), HEADER)
+    rows = counter_rows(topic_report(df, elapsed=1.0), prefix="svc", drop_zero=False).collect()
+    assert len(rows) == 6
+    assert {r["metric"] for r in rows} == {f"svc.{s}.{m}" for s in ("source", "destination") for m in ("messages", "bytes", "errors")}
