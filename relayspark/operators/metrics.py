@@ -288,12 +288,16 @@ def loss_check(report: DataFrame, routes) -> DataFrame:
     source rows are re-keyed to their destination through the route table and
     summed with the destination rows, so the messages are read once and no
     join touches them. A DataFrame route table joins the report (one row per
-    topic), broadcast.
+    topic), broadcast when its row count is within the route limit.
     """
     src = F.col("side") == "source"
     if isinstance(routes, DataFrame):
-        table = routes.select(F.col("source_topic").alias("__src"), F.col("destination_topic").alias("__dst"))
-        report = report.join(F.broadcast(table), src & (F.col("topic") == F.col("__src")), "left")
+        from relayspark.operators.routing import BROADCAST_ROUTE_LIMIT
+        from relayspark.session import materialize
+
+        table = materialize(routes.select(F.col("source_topic").alias("__src"), F.col("destination_topic").alias("__dst")))
+        side = F.broadcast(table) if table.count() <= BROADCAST_ROUTE_LIMIT else table
+        report = report.join(side, src & (F.col("topic") == F.col("__src")), "left")
         mapped = F.col("__dst")
     else:
         pairs = dict(routes)

@@ -23,7 +23,8 @@ from relayspark.session import materialize
 
 log = logging.getLogger(__name__)
 
-# Route tables up to this many rows are broadcast; larger ones are joined with a
+# Route tables up to this many rows (two topic names each, a few MB in all) are
+# broadcast; larger ones are joined with a
 # salted shuffle join so that a hot topic is spread over many tasks.
 BROADCAST_ROUTE_LIMIT = 100_000
 ROUTE_SALTS = 32

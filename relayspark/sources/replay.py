@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from relayspark.session import materialize
 
-# Start tables up to this many rows (one per topic partition) are broadcast.
-BROADCAST_START_LIMIT = 1_000_000
+# Start tables up to this many rows (one per topic partition, about 100 bytes
+# each, so about 20 MB) are broadcast.
+BROADCAST_START_LIMIT = 200_000
 
 
 def replay_from(df: DataFrame, starts, default: str = "earliest") -> DataFrame:
