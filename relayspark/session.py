@@ -105,7 +105,14 @@ def materialize(df):
     """Compute ``df`` once and cut its lineage with a reliable checkpoint in the
     session's shared checkpoint folder (never a machine-local copy), so that
     a size check and the query that uses the result do not both recompute it,
-    and a lost executor does not force a recompute from the source."""
+    and a lost executor does not force a recompute from the source. Data
+    already held on the driver (a local relation, e.g. a route table built
+    from a dict) has no lineage to cut and is returned as it is."""
+    try:
+        if df.isLocal():
+            return df
+    except Exception:  # noqa: BLE001 - not decidable here: checkpoint
+        pass
     _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
