@@ -3,7 +3,7 @@
 from relayspark.sources.normalise import from_kafka, from_pulsar, from_eventhubs, from_pubsub
 from relayspark.sources.bindings import read_topics, kafka_reader_options, eventhubs_reader_options
 from relayspark.sources.synthetic import synthetic_topics, synthetic_stream, given_messages
-from relayspark.sources.replay import replay_from
+from relayspark.sources.replay import read_topic_table_source, replay_from
 
 __all__ = [
     "from_kafka",
@@ -17,4 +17,5 @@ __all__ = [
     "synthetic_stream",
     "given_messages",
     "replay_from",
+    "read_topic_table_source",
 ]

@@ -36,3 +36,24 @@ def replay_from(df: DataFrame, starts, default: str = "earliest") -> DataFrame:
     joined = df.join(side, ["topic", "partition"], how)
     keep = F.col("start_offset").isNull() | (F.col("offset") >= F.col("start_offset"))
     return joined.filter(keep).drop("start_offset")
+
+
+def read_topic_table_source(spark, path: str, topics=None, streaming: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
+    """A stored topic table (written by ``write_topics``, partitioned by
+    ``dest_topic``) read back as MESSAGE rows whose ``topic`` is the stored
+    destination. ``topics`` subscribes (S-07); the filter is on the partition
+    column, so only those topics' folders are listed and read."""
+    from relayspark.schema import MESSAGE, MESSAGE_COLUMNS
+
+    if streaming:
+        schema = MESSAGE.add("dest_topic", "string")
+        reader = spark.readStream.schema(schema)
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+        df = reader.parquet(path)
+    else:
+        df = spark.read.parquet(path)
+    if topics is not None:
+        df = df.filter(F.col("dest_topic").isin(list(topics)))
+    cols = [F.col("dest_topic").alias("topic") if c == "topic" else F.col(c) for c in MESSAGE_COLUMNS]
+    return df.select(*cols)

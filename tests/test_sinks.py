@@ -63,3 +63,18 @@ def test_written_topic_files_keep_order(spark, make, tmp_path):
                 assert keys == sorted(keys)
                 n += 1
     assert n > 0
+
+
+def test_topic_table_read_back_prunes_partitions(spark, make, tmp_path):
+    """S-07 on stored topics: subscribing to a stored topic reads only its folder."""
+    from relayspark.session import plan_text
+    from relayspark.sources import read_topic_table_source
+
+    path = str(tmp_path / "stored")
+    write_topics(routed(make), path)
+    df = read_topic_table_source(spark, path, ["t2"])
+    plan = plan_text(df)
+    line = next(x for x in plan.splitlines() if x.startswith("PartitionFilters"))
+    assert "dest_topic" in line and "= t2)" in line
+    rows = df.collect()
+    assert [(r["topic"], bytes(r["payload"])) for r in rows] == [("t2", b"p2")]
