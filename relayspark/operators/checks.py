@@ -67,6 +67,12 @@ def first_n(df: DataFrame, n: int, topic_col: str = "dest_topic", order: Sequenc
     explicitly. Either way the result is exact.
     """
     ordering = [F.col(c).asc_nulls_first() for c in order]
+    # Ties (sources without partitions or offsets) are broken by the message
+    # itself, so that a retried task ranks the same rows first.
+    ties = [c for c in ("timestamp", "key") if c in df.columns and c not in order]
+    ordering += [F.col(c).asc_nulls_first() for c in ties]
+    if "payload" in df.columns:
+        ordering.append(F.xxhash64("payload").asc())
     if n > GROUP_LIMIT_THRESHOLD:
         salt = F.pmod(F.xxhash64(*order), F.lit(TOP_N_SALTS))
         w1 = Window.partitionBy(topic_col, "__salt").orderBy(*ordering)
