@@ -15,7 +15,6 @@ from relayspark.functions.strict_json import (
     json_key,
     json_key_route,
     json_set_keys,
-    python_number_text,
     python_number_text_sql,
 )
 
@@ -32,6 +31,5 @@ __all__ = [
     "json_key",
     "json_key_route",
     "json_set_keys",
-    "python_number_text",
     "python_number_text_sql",
 ]

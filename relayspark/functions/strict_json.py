@@ -91,17 +91,28 @@ def json_set_keys(obj: str | Column, entries: dict[str, str]) -> Column:
 
 
 def python_number_text_sql(x: str) -> str:
-    """SQL form of ``python_number_text`` for a double expression ``x``."""
+    """Text of a double expression ``x`` as Python's ``repr`` prints it.
+
+    Spark prints the shortest round-trip digits like Python does, but in
+    plain notation only for 1e-3 <= |x| < 1e7 and as ``d.dddEn`` otherwise;
+    Python uses plain notation for exponents -4 .. 15 and ``d.ddde-05`` /
+    ``d.ddde+16`` beyond. The ``E`` form is rewritten: in Python's plain range
+    with as many fraction digits as the shortest mantissa needs (at least
+    one), else as Python's exponent form.
+    """
+    j = f"CAST({x} AS STRING)"
+    m = f"substring_index({j}, 'E', 1)"
+    e = f"CAST(substring_index({j}, 'E', -1) AS INT)"
+    frac = f"length(TRIM(TRAILING '0' FROM substring_index({m}, '.', -1)))"
+    plain = f"format_string(concat('%.', CAST(greatest({frac} - {e}, 1) AS STRING), 'f'), {x})"
+    mant = f"CASE WHEN endswith({m}, '.0') THEN substring({m}, 1, length({m}) - 2) ELSE {m} END"
+    exp = (
+        f"concat(CASE WHEN {e} < 0 THEN '-' ELSE '+' END, "
+        f"CASE WHEN abs({e}) < 10 THEN concat('0', CAST(abs({e}) AS STRING)) ELSE CAST(abs({e}) AS STRING) END)"
+    )
     return (
-        f"CASE WHEN abs({x}) < 1e16 AND {x} = floor({x}) "
-        f"THEN concat(CAST(CAST({x} AS DECIMAL(17,0)) AS STRING), '.0') ELSE CAST({x} AS STRING) END"
+        f"CASE WHEN NOT contains({j}, 'E') THEN {j} "
+        f"WHEN {e} >= -4 AND {e} < 16 THEN {plain} "
+        f"ELSE concat({mant}, 'e', {exp}) END"
     )
 
-
-def python_number_text(x: Column) -> Column:
-    """Text of a double the way Python's ``str(float)`` prints it for the usual
-    range: integral values below 1e16 as ``n.0``, others in shortest form."""
-    integral = (F.abs(x) < F.lit(1e16)) & (x == F.floor(x))
-    return F.when(integral, F.concat(x.cast("decimal(17,0)").cast("string"), F.lit(".0"))).otherwise(
-        x.cast("string")
-    )
