@@ -29,6 +29,7 @@ HEADLINE = [
     "funnel_union",  # F-01 over events, documents, conversations
     "priority_tag",  # P-05
     "json_enrich",  # P-04
+    "json_enrich_exact",  # P-04 byte-exact (Arrow-batched Python json)
     "processor_errors",  # P-02/P-07 Python row processor (Arrow batches)
     "metrics_report",  # M-01 + M-02
     "windowed_throughput",  # M-09

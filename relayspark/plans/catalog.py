@@ -1013,3 +1013,26 @@ def config_one_to_one(spark, sf_dir):
     return read_topic_table(spark, out).groupBy("dest_topic").agg(
         F.count(F.lit(1)).alias("message_count"), F.sum(message_size()).cast("bigint").alias("total_bytes")
     )
+
+
+@register(
+    "json_enrich_exact",
+    f"""WITH {EV}
+SELECT msg_offset,
+  CASE WHEN is_obj THEN substr(payload, 1, strlen(payload) - 1) || ', "enriched": true, "processor_version": "1.0"}}'
+       ELSE payload END AS payload_text,
+  CASE WHEN is_obj THEN NULL
+       WHEN payload = '[1]' THEN 'list indices must be integers or slices, not str'
+       ELSE 'Extra data: line 1 column 4 (char 3)' END AS enrichment_error
+FROM evs WHERE error IS NULL""",
+)
+def json_enrich_exact(spark, sf_dir):
+    """P-04 byte-exact (Arrow-batched Python json): payloads as json.dumps
+    writes them and Python's own error texts."""
+    routed = fan(events_messages(spark, sf_dir), HEADER)
+    out = deliverable(json_enrich(routed, exact=True))
+    return out.select(
+        F.col("offset").alias("msg_offset"),
+        F.col("payload").cast("string").alias("payload_text"),
+        F.col("headers")["enrichment_error"].alias("enrichment_error"),
+    )
