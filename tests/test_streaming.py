@@ -60,6 +60,15 @@ def test_restart_no_duplicates(spark, tmp_path):
     assert 0 < n_first < expected
     assert total.count() == expected
     assert total.select("offset").distinct().count() == expected
+    # Metric deltas are exactly-once too: folded, they equal the batch metrics.
+    from relayspark.operators.metrics import topic_report
+
+    folded = {(r["side"], r["topic"]): (r["message_count"], r["total_bytes"], r["error_count"]) for r in read_stream_metrics(spark, out).collect()}
+    batch = {
+        (r["side"], r["topic"]): (r["message_count"], r["total_bytes"], r["error_count"])
+        for r in topic_report(fan(events_messages(spark, SF_SMALL), HEADER), elapsed=1.0).collect()
+    }
+    assert folded == batch
 
 
 def test_replayed_batch_overwrites(spark, tmp_path):
