@@ -23,8 +23,18 @@ def _path(key: str) -> str:
     raise ValueError(f"JSON key holds both quote characters: {key!r}")
 
 
+# First byte of a payload that may hold a JSON object: "{" or JSON whitespace.
+OBJECT_GATE_SQL = "substring({payload}, 1, 1) IN (X'7B', X'20', X'09', X'0A', X'0D')"
+
+
+def object_gate(payload: str = "payload") -> str:
+    """SQL test on the raw payload bytes, O(1): false means the payload cannot
+    be a JSON object, so it need not be decoded at all."""
+    return OBJECT_GATE_SQL.format(payload=payload)
+
+
 def with_strict_json(
-    df: DataFrame, text: str | Column, out: str, objects_only: bool = True
+    df: DataFrame, text: str | Column, out: str, objects_only: bool = True, gate: str | None = None
 ) -> DataFrame:
     """X-04: add column ``out`` (VARIANT) holding the parsed text when the text is
     exactly one JSON value, else NULL.
@@ -34,8 +44,12 @@ def with_strict_json(
     only texts that start like an object are parsed at all, which is exact for
     callers that treat every non-object like invalid JSON (payload-key routing,
     priority tagging) and spares the parse of large non-JSON payloads.
+    ``gate`` (SQL, see ``object_gate``) skips even the decode of ``text`` for
+    rows where it is false.
     """
     t = F.expr(text) if isinstance(text, str) else text
+    if gate is not None:
+        t = F.when(F.expr(gate), t)
     arr, obj, src, raw = f"__{out}_a", f"__{out}_o", f"__{out}_t", f"__{out}_r"
     if objects_only:
         # The decoded text is staged first so that the object test and the

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relayspark.functions.message import message_size_sql
-from relayspark.functions.strict_json import json_key, json_key_route, with_strict_json
+from relayspark.functions.strict_json import json_key, json_key_route, object_gate, with_strict_json
 from relayspark.schema import MESSAGE_COLUMNS
 from relayspark.session import materialize
 
@@ -80,7 +80,9 @@ def resolver_expr(df: DataFrame, resolver: Mapping[str, str]) -> tuple[DataFrame
     if kind == "header":
         return df, F.coalesce(F.col("headers").getItem(key), F.lit("default"))
     if kind == "payload_key":
-        df = with_strict_json(df, "try_validate_utf8(CAST(payload AS STRING))", "__route_json", objects_only=True)
+        df = with_strict_json(
+            df, "try_validate_utf8(CAST(payload AS STRING))", "__route_json", objects_only=True, gate=object_gate()
+        )
         df = df.withColumn("__route_member", json_key("__route_json", key))
         return df, json_key_route("__route_member")
     log.warning("Unknown resolver type %r: every message goes to 'default'", kind)
