@@ -27,6 +27,20 @@ def _path(key: str) -> str:
 OBJECT_GATE_SQL = "substring({payload}, 1, 1) IN (X'7B', X'20', X'09', X'0A', X'0D')"
 
 
+# First byte of a payload that may hold any JSON value: { [ " - digits t f n
+# or JSON whitespace.
+VALUE_GATE_SQL = (
+    "substring({payload}, 1, 1) IN (X'7B', X'5B', X'22', X'2D', X'30', X'31', X'32', X'33', X'34', "
+    "X'35', X'36', X'37', X'38', X'39', X'74', X'66', X'6E', X'20', X'09', X'0A', X'0D')"
+)
+
+
+def value_gate(payload: str = "payload") -> str:
+    """SQL test on the raw payload bytes, O(1): false means the payload cannot
+    be any JSON text."""
+    return VALUE_GATE_SQL.format(payload=payload)
+
+
 def object_gate(payload: str = "payload") -> str:
     """SQL test on the raw payload bytes, O(1): false means the payload cannot
     be a JSON object, so it need not be decoded at all."""
