@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,9 @@ REQUIRED_CONF = {
 }
 
 
+_SHIP_LOCK = threading.Lock()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the operators rely on (all are
     session-settable) and make the package importable by Python workers."""
@@ -35,6 +39,13 @@ def ship_package(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_relayspark_shipped", False):
         return
+    with _SHIP_LOCK:
+        if getattr(sc, "_relayspark_shipped", False):
+            return
+        _ship(spark, sc)
+
+
+def _ship(spark: SparkSession, sc) -> None:
     import zipfile
 
     import relayspark
