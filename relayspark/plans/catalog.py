@@ -1036,3 +1036,20 @@ def json_enrich_exact(spark, sf_dir):
         F.col("payload").cast("string").alias("payload_text"),
         F.col("headers")["enrichment_error"].alias("enrichment_error"),
     )
+
+
+@register("stream_windowed_errors", _bucket_sql("count(error)", "event_type", "errors_per_second"))
+def stream_windowed_errors(spark, sf_dir):
+    """M-11 streamed: 5-minute source error rate per source topic with a
+    10-minute watermark, update mode, folded to the latest value per window."""
+    from relayspark.streaming.runner import read_latest, run_update_stream
+
+    raw = (
+        spark.readStream.schema(EVENTS_SCHEMA)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+    routed = fan(events_to_messages(raw, topic=None), HEADER)
+    _, out = run_update_stream(windowed_errors(routed, watermark="10 minutes"))
+    return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "errors_per_second")
