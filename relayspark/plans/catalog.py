@@ -1053,3 +1053,20 @@ def stream_windowed_errors(spark, sf_dir):
     routed = fan(events_to_messages(raw, topic=None), HEADER)
     _, out = run_update_stream(windowed_errors(routed, watermark="10 minutes"))
     return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "errors_per_second")
+
+
+@register("stream_windowed_volume", _bucket_sql("sum(size)", "dest_topic", "bytes_per_second", "WHERE error IS NULL"))
+def stream_windowed_volume(spark, sf_dir):
+    """M-10 streamed: 5-minute delivered byte rate per destination topic with
+    a 10-minute watermark, update mode, folded to the latest value per window."""
+    from relayspark.streaming.runner import read_latest, run_update_stream
+
+    raw = (
+        spark.readStream.schema(EVENTS_SCHEMA)
+        .option("pathGlobFilter", "events.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(sf_dir)
+    )
+    routed = fan(events_to_messages(raw, topic=None), HEADER)
+    _, out = run_update_stream(windowed_volume(routed, watermark="10 minutes"))
+    return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "bytes_per_second")
