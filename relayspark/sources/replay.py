@@ -43,10 +43,13 @@ def read_topic_table_source(spark, path: str, topics=None, streaming: bool = Fal
     ``dest_topic``) read back as MESSAGE rows whose ``topic`` is the stored
     destination. ``topics`` subscribes (S-07); the filter is on the partition
     column, so only those topics' folders are listed and read."""
+    from pyspark.sql import types as T
+
     from relayspark.schema import MESSAGE, MESSAGE_COLUMNS
 
     if streaming:
-        schema = MESSAGE.add("dest_topic", "string")
+        # A new struct: StructType.add would change the shared MESSAGE in place.
+        schema = T.StructType(MESSAGE.fields + [T.StructField("dest_topic", T.StringType(), True)])
         reader = spark.readStream.schema(schema)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))

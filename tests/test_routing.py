@@ -155,3 +155,9 @@ def test_payload_routing_decodes_once_and_parses_twice(spark, make):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson") == 2
     assert plan.count("tryValidateUTF8") == 1
+
+
+def test_one_to_one_empty_routes(spark, make):
+    out = one_to_one(make([msg("x", topic="a")]), {})
+    assert out.count() == 0
+    assert "dest_topic" in out.columns

@@ -250,3 +250,20 @@ def test_replayed_kafka_rows_stream_matches_batch(spark, tmp_path):
     errors = from_kafka(spark.read.parquet(raw_dir)).groupBy("topic").agg(F.count("error").alias("e")).collect()
     for r in errors:
         assert m[("source", r["topic"])] >= r["e"]
+
+
+def test_chained_relay_from_stored_topic_table(spark, tmp_path):
+    """A second relay streams from the first one's topic table, subscribed to
+    one stored topic (partition-pruned), and re-routes it one-to-one."""
+    from relayspark.operators.routing import one_to_one
+    from relayspark.sinks import write_topics
+    from relayspark.sources import read_topic_table_source
+
+    stored = str(tmp_path / "stage1")
+    write_topics(fan(events_messages(spark, SF_SMALL), HEADER), stored)
+    src = read_topic_table_source(spark, stored, ["purchase"], streaming=True, max_files_per_trigger=2)
+    _, out = run_stream(one_to_one(src, {"purchase": "orders"}), out_dir=str(tmp_path / "stage2"))
+    got = read_topic_table(spark, out)
+    want = fan(events_messages(spark, SF_SMALL), HEADER).filter("error IS NULL AND dest_topic = 'purchase'").count()
+    assert got.count() == want
+    assert {r[0] for r in got.select("dest_topic").distinct().collect()} == {"orders"}
