@@ -34,3 +34,14 @@ def make(spark):
 
 
 T0 = datetime(2024, 1, 1, 0, 0, 0)
+
+
+@pytest.fixture(autouse=True)
+def shared_schemas_unchanged():
+    """No operator may change the shared schema objects in place."""
+    from relayspark import schema
+
+    before = {n: getattr(schema, n).simpleString() for n in ("MESSAGE", "ROUTED", "KAFKA_RAW", "DELIVERED")}
+    yield
+    after = {n: getattr(schema, n).simpleString() for n in before}
+    assert after == before
