@@ -97,3 +97,14 @@ def test_nan_is_rejected(spark, make):
     """Q-17: Python accepts NaN; the strict parser does not (documented deviation)."""
     df = make([msg(b'{"p":NaN}')])
     assert fan(df, {"type": "payload_key", "key": "p"}).first()["dest_topic"] == "default"
+
+
+def test_payload_keys_with_path_characters(spark, make):
+    """X-05: member names with path characters are one key each."""
+    import pytest
+
+    df = make([msg('{"a]b":"x","it\'s":"y","q\\"k":"z","a":{"b":"no"}}')])
+    for key, want in (("a]b", "x"), ("it's", "y"), ('q"k', "z")):
+        assert fan(df, {"type": "payload_key", "key": key}).first()["dest_topic"] == want, key
+    with pytest.raises(ValueError):
+        fan(df, {"type": "payload_key", "key": "a'\"b"})
