@@ -187,3 +187,13 @@ def test_counter_rows_keep_zeros(spark, make):
     rows = counter_rows(topic_report(df, elapsed=1.0), prefix="svc", drop_zero=False).collect()
     assert len(rows) == 6
     assert {r["metric"] for r in rows} == {f"svc.{s}.{m}" for s in ("source", "destination") for m in ("messages", "bytes", "errors")}
+
+
+def test_metrics_without_event_time(spark):
+    """Messages without timestamps (documents): rate 0.0, no last time."""
+    from relayspark.operators.metrics import topic_report
+    from relayspark.sources.tables import documents_messages
+    from tests.conftest import SF_SMALL
+
+    rep = topic_report(fan(documents_messages(spark, SF_SMALL), {"type": "header", "key": "lang"})).collect()
+    assert rep and all(r["rate_per_second"] == 0.0 and r["last_message_time"] is None for r in rep)
