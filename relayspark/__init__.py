@@ -6,6 +6,8 @@ partial + final hash aggregates keyed by topic; streaming runs through
 ``foreachBatch`` with idempotent per-batch writes.
 """
 
+__version__ = "0.1.0"
+
 from relayspark.schema import MESSAGE, MESSAGE_COLUMNS
 from relayspark.session import build_session, configure, shared_dir
 from relayspark.operators.routing import fan, funnel, one_to_one, subscribe, prepare
@@ -33,6 +35,7 @@ from relayspark.operators.metrics import (
 )
 
 __all__ = [
+    "__version__",
     "MESSAGE",
     "MESSAGE_COLUMNS",
     "build_session",
