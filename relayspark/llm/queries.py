@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import read
-from relayspark.llm.secrets import BASE_KINDS, base_digest, scan_secrets
+from relayspark.llm import language
+from relayspark.llm.common import fold, read
+from relayspark.llm.decontaminate import find_benchmark
+from relayspark.llm.pieces import decode_pieces, encode_pieces
+from relayspark.llm.secret_scan import BASE_KINDS, base_digest, scan_secrets
 from relayspark.llm.token_files import token_table
 from relayspark.llm.topk import top_k
 from relayspark.llm.url_filter import filter_urls
@@ -33,6 +36,20 @@ def register(oracle: str | None = None):
     return wrap
 
 
+@register()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.fit(docs, fold("id", 4) != 2)
+    return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@register()
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_benchmark(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), "contaminated")
+
+
 # Fixed values of the contract: host, path and verdict of each rule.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -87,3 +104,17 @@ def tokenizer_path(name: str) -> str:
 @register()
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+
+
+@register()
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text (count and hash), and whether they decode to it."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode_pieces(encode_pieces(docs, model), model)
+    return back.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_ids"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
+        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
+    )
