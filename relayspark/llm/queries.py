@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relayspark.llm import language, toxicity
 from relayspark.llm.common import fold, read
 from relayspark.llm.decontaminate import find_benchmark
+from relayspark.llm.ngram_join import jaccard_components
 from relayspark.llm.pieces import decode_pieces, encode_pieces
 from relayspark.llm.secret_scan import BASE_KINDS, base_digest, scan_secrets
 from relayspark.llm.token_files import token_table
@@ -43,6 +44,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@register()
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 @register()
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
