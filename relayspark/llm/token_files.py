@@ -18,7 +18,9 @@ equal id are ordered by text; no rows: no files, no result rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,34 +36,89 @@ from relayspark.llm.common import shared_dir, slices, split_words, text_rows, wo
 
 #: Ids in a sequence, sequences in a record batch.
 SEQUENCE, BATCH_SEQUENCES = 1024, 64
-#: Words whose ids a task keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 600_000
 #: Documents in one batch of a document list.
 LIST_ROWS = 4096
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 
 
+# The normalizer and pre-tokenizer of the tokenizer file for which
+# plain words need only its merge model.
+_PLAIN_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Words of Latin letters, digits and signs: no apostrophe (contractions), none
+#: of the signs that special tokens hold, nothing that normalization changes.
+_PLAIN = re.compile(r"[A-Za-z0-9\xC0-\xD6\xD8-\xF6\xF8-\xFF!-&(-;=?@\[-`{}~]+")
+_PART = re.compile(r"[a-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable
+    Latin-1 characters for themselves, the others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+_LETTER = _byte_letters()
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer of the ``tokenizers`` library, word by word."""
+    """Ids of texts by a tokenizer of the ``tokenizers`` library, word by word.
+
+    Plain words go straight to the tokenizer's merge model, cut into the parts
+    that its pre-tokenizer would make; all other words, and all words of other
+    kinds of tokenizers, go through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        missing = [w for w in words if w not in self.known]
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known = {}
-            missing = words
-        for begin in range(0, len(missing), 8192):
-            part = missing[begin : begin + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype=np.uint32)
-        return [self.known[w] for w in words]
+        self.vocab_size = self.tokenizer.get_vocab_size()
+        self.model = self.tokenizer.model
+        with open(tokenizer_file, encoding="utf-8") as f:
+            kind = json.load(f)
+        splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.plain = [n.get("type") for n in (kind.get("normalizer") or {}).get("normalizers", [])] == _PLAIN_NORMALIZERS and (
+            splits[0].get("pattern") == {"Regex": _PLAIN_SPLIT} and [x.get("type") for x in splits] == ["Split", "ByteLevel"]
+        )
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no word known."""
+        self.code: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            text = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTER)
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(text)]
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        each: list[list[int] | None] = [None] * len(words)
+        other = []
+        for i, w in enumerate(words):
+            if self.plain and _PLAIN.fullmatch(w):
+                each[i] = [t for p in _PART.findall(w.lower()) for t in self._part(p)]
+            else:
+                other.append(i)
+        for begin in range(0, len(other), 8192):
+            part = other[begin : begin + 8192]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
+                each[i] = e.ids
+        size = np.fromiter(map(len, each), np.int64, len(each))
+        self.code.update(zip(words, range(len(self.code), len(self.code) + len(words))))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in each for i in x), np.uint32, int(size.sum()))])
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -69,12 +126,29 @@ class WordEncoder:
         if len(words) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         distinct, codes = word_codes(words)
-        each = self.words(distinct.to_pylist())
-        size = np.array([len(x) for x in each])
-        flat, first = np.concatenate(each), np.cumsum(size) - size
-        n = size[codes]
-        ids = flat[np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        return ids, np.bincount(rows, weights=n, minlength=len(texts)).astype(np.int64)
+        listed = distinct.to_pylist()
+        missing = [w for w in listed if w not in self.code]
+        if len(self.code) + len(missing) > CACHE_WORDS:
+            self.forget()
+            missing = listed
+        self._learn(missing)
+        code = np.fromiter(map(self.code.__getitem__, listed), np.int64, len(listed))[codes]
+        n = self.size[code]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.first[code] - (ends - n), n) + np.arange(ends[-1])]
+        total = np.concatenate([[0], ends])
+        begin = np.searchsorted(rows, np.arange(len(texts) + 1))
+        return ids, np.diff(total[begin])
+
+
+_LOADED: dict[str, WordEncoder] = {}
+
+
+def loaded(tokenizer_file: str) -> WordEncoder:
+    """The encoder, made once per worker; it keeps the words of earlier tasks."""
+    if tokenizer_file not in _LOADED:
+        _LOADED[tokenizer_file] = WordEncoder(tokenizer_file)
+    return _LOADED[tokenizer_file]
 
 
 def _file_system(url: str) -> tuple[pafs.FileSystem, str]:
@@ -108,8 +182,8 @@ def write_token_files(
     texts = text_rows(docs, id_col, text_col).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer_file), TaskContext.get().partitionId()
-        schema = _token_schema(max(encoder.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16)
+        encoder, part = loaded(tokenizer_file), TaskContext.get().partitionId()
+        schema = _token_schema(max(encoder.vocab_size, end_id + 1) > 1 << 16)
         fs, folder = _file_system(out_dir)
         name = f"{folder}/tokens-{part:06d}"
         scratch = f"{folder}/_writing-{part:06d}-{TaskContext.get().taskAttemptId()}"
