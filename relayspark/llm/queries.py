@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relayspark.llm import language, toxicity
 from relayspark.llm.common import fold, read
 from relayspark.llm.decontaminate import find_benchmark
+from relayspark.llm.lm_score import lm_scores
 from relayspark.llm.ngram_join import jaccard_components
 from relayspark.llm.pieces import decode_pieces, encode_pieces
 from relayspark.llm.secret_scan import BASE_KINDS, base_digest, scan_secrets
@@ -63,6 +64,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@register()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    # The tokenizer's own marks of start and end of a text.
+    return lm_scores(docs, fold("id", 7) == 2, tokenizer_path("word_bpe_49k.json"), start_id=49406, end_id=49407)
+
+
 # Fixed values of the contract: host, path and verdict of each rule.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 

@@ -108,8 +108,9 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """(id, spans) per document; spans: array of kind, start and end in code
-    points (end exclusive), by start, then kind, then end."""
+    """(id, text_hash, spans) per document; spans: array of kind, start and end
+    in code points (end exclusive), by start, then kind, then end; the hash
+    (xxhash64) tells texts of one id apart."""
     texts = text_rows(docs, id_col, text_col)
     rank = F.array_position(F.array(*map(F.lit, KIND_ORDER)), F.col("kind"))
     span = F.struct(F.col("start").cast("long").alias("start"), rank.alias("rank"), F.col("end").cast("long").alias("end"), F.col("kind"))
@@ -122,7 +123,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = keyed.join(spans, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("text_hash")), "left")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     ordered = F.transform("ranked", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.select(F.col("id").alias(id_col), F.coalesce(ordered, none).alias("spans"))
+    return joined.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), F.coalesce(ordered, none).alias("spans"))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
