@@ -26,7 +26,6 @@ from relayspark.operators.metrics import (
     destination_metrics,
     metrics_report,
     topic_report,
-    report_dict,
     counter_rows,
     windowed_throughput,
     windowed_volume,
@@ -58,7 +57,6 @@ __all__ = [
     "destination_metrics",
     "metrics_report",
     "topic_report",
-    "report_dict",
     "counter_rows",
     "windowed_throughput",
     "windowed_volume",

@@ -8,7 +8,7 @@ costs one row per task on the wire, not a third of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relayspark.functions.message import message_size
@@ -23,25 +23,13 @@ METRIC_COLUMNS = [
 ]
 
 
-def elapsed_seconds(df: DataFrame, ts: str = "timestamp") -> Column:
-    """M-04 replay uptime of a DataFrame: max - min event time in seconds, as
-    a scalar subquery (reads ``ts`` of ``df`` once more; the metric functions
-    use ``_with_rate`` instead, which needs no extra read)."""
-    span = df.select(
-        ((F.max(F.unix_micros(ts)) - F.min(F.unix_micros(ts))) / F.lit(1e6)).alias("elapsed")
-    )
-    return span.scalar()
-
-
 def _with_rate(agg: DataFrame, elapsed) -> DataFrame:
-    """Add ``rate_per_second``. Without ``elapsed`` the replayed event-time
-    span comes from the per-group ``__tmin`` / ``__tmax`` already in the
-    aggregate, through a window over the aggregated rows: one row per
-    (side, topic), bounded by the number of topics, never by messages; the
-    input is not read again."""
+    """Add ``rate_per_second``. Without ``elapsed``, it is the replayed event-time
+    span: the least and greatest time over all groups of the aggregate, as a
+    scalar (partial minima and maxima; no task sees all groups)."""
     if elapsed is None:
-        w = Window.partitionBy()
-        elapsed = (F.max(F.unix_micros("__tmax")).over(w) - F.min(F.unix_micros("__tmin")).over(w)) / F.lit(1e6)
+        span = (F.max(F.unix_micros("__tmax")) - F.min(F.unix_micros("__tmin"))) / F.lit(1e6)
+        elapsed = agg.agg(span.alias("elapsed")).scalar()
     out = agg.withColumn("rate_per_second", _rate(F.col("message_count"), elapsed))
     return out.drop("__tmin", "__tmax")
 
@@ -72,8 +60,9 @@ def source_metrics(routed: DataFrame, elapsed=None) -> DataFrame:
 
 
 def delivered(routed: DataFrame) -> Column:
-    """Rows the sink writes: no source error, a destination, no delivery error."""
-    ok = F.col("error").isNull() & F.col("dest_topic").isNotNull()
+    """Rows the sink writes: no source error, a destination, no delivery error,
+    and a message that can be measured (a payload, no null header value)."""
+    ok = F.col("error").isNull() & F.col("dest_topic").isNotNull() & message_size().isNotNull()
     if "delivery_error" in routed.columns:
         ok = ok & F.col("delivery_error").isNull()
     return ok
@@ -178,25 +167,6 @@ def topic_report(routed: DataFrame, elapsed=None) -> DataFrame:
     return out.select("side", *METRIC_COLUMNS)
 
 
-def report_dict(report: DataFrame, uptime_seconds: float) -> dict:
-    """The nested report ``{uptime_seconds, source_metrics, destination_metrics}``.
-
-    Collects one row per (side, topic) — bounded by the number of topics, never
-    by the number of messages.
-    """
-    out: dict = {"uptime_seconds": uptime_seconds, "source_metrics": {}, "destination_metrics": {}}
-    for r in report.collect():
-        side = "source_metrics" if r["side"] == "source" else "destination_metrics"
-        out[side][r["topic"]] = {
-            "message_count": r["message_count"],
-            "total_bytes": r["total_bytes"],
-            "error_count": r["error_count"],
-            "last_message_time": r["last_message_time"],
-            "rate_per_second": r["rate_per_second"],
-        }
-    return out
-
-
 def batch_deltas(routed: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """Per-batch metric deltas of both sides (what the stream writer stores),
     from one read of the batch."""
@@ -239,10 +209,28 @@ def counter_rows(report: DataFrame, prefix: str = DEFAULT_COUNTER_PREFIX, drop_z
     return out.filter(F.col("value") != 0) if drop_zero else out
 
 
+def _event_windows(df: DataFrame, window: str, slide: str | None) -> DataFrame:
+    """Rows with the event-time window(s) ``w`` that hold them; a row without a
+    time is in the NULL window. Streams use Spark's own window function, whose
+    state a watermark bounds; it leaves rows without a time out, and they count
+    in the per-batch metric deltas only."""
+    if df.isStreaming:
+        return df.withColumn("w", F.window("timestamp", window, slide) if slide else F.window("timestamp", window))
+    length = int(_seconds(window) * 1_000_000)
+    step = int(_seconds(slide) * 1_000_000) if slide else length
+    micros = F.unix_micros("timestamp")
+    last = (micros - F.pmod(micros, F.lit(step))).cast("bigint")
+    at = lambda start: F.struct(F.timestamp_micros(start).alias("start"), F.timestamp_micros(start + F.lit(length)).alias("end"))
+    if length == step:
+        return df.withColumn("w", F.when(micros.isNotNull(), at(last)))
+    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit((length - 1) // step)), lambda i: last - i * step), lambda start: start + length > micros)
+    return df.withColumn("w", F.explode_outer(F.when(micros.isNotNull(), F.transform(starts, at))))
+
+
 def _windowed(df: DataFrame, topic_col: str, value: Column, name: str, window: str, slide: str | None, seconds: float) -> DataFrame:
-    w = F.window("timestamp", window, slide) if slide else F.window("timestamp", window)
     return (
-        df.groupBy(w.alias("w"), F.col(topic_col).alias("topic"))
+        _event_windows(df, window, slide)
+        .groupBy("w", F.col(topic_col).alias("topic"))
         .agg(value.alias("__v"))
         .select(
             F.col("w.start").alias("window_start"),
@@ -288,16 +276,14 @@ def loss_check(report: DataFrame, routes) -> DataFrame:
     source rows are re-keyed to their destination through the route table and
     summed with the destination rows, so the messages are read once and no
     join touches them. A DataFrame route table joins the report (one row per
-    topic), broadcast when its row count is within the route limit.
+    topic) after the rule for repeated sources that routing has.
     """
     src = F.col("side") == "source"
     if isinstance(routes, DataFrame):
-        from relayspark.operators.routing import BROADCAST_ROUTE_LIMIT
-        from relayspark.session import materialize
+        from relayspark.operators.routing import route_table
 
-        table = materialize(routes.select(F.col("source_topic").alias("__src"), F.col("destination_topic").alias("__dst")))
-        side = F.broadcast(table) if table.count() <= BROADCAST_ROUTE_LIMIT else table
-        report = report.join(side, src & (F.col("topic") == F.col("__src")), "left")
+        table = route_table(routes).select(F.col("source_topic").alias("__src"), F.col("destination_topic").alias("__dst"))
+        report = report.join(table, src & (F.col("topic") == F.col("__src")), "left")
         mapped = F.col("__dst")
     else:
         pairs = dict(routes)

@@ -23,11 +23,13 @@ from relayspark.session import materialize
 
 log = logging.getLogger(__name__)
 
-# Route tables up to this many rows (two topic names each, a few MB in all) are
-# broadcast; larger ones are joined with a
-# salted shuffle join so that a hot topic is spread over many tasks.
+# Route tables (restricted to the topics that the messages have) up to this many
+# rows and bytes of topic names are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROUTE_LIMIT = 100_000
-ROUTE_SALTS = 32
+BROADCAST_ROUTE_BYTES = 16 << 20
+# A topic with at least one part in so many of all messages is hot: in the shuffle
+# join, its messages go to as many tasks as it has such parts.
+HOT_PARTS = 32
 
 
 def prepare(df: DataFrame) -> DataFrame:
@@ -118,14 +120,16 @@ def subscribe(df: DataFrame, topics: Iterable[str]) -> DataFrame:
     return df.filter(F.col("topic").isin(list(topics)))
 
 
-def _route_table_df(routes: DataFrame) -> DataFrame:
-    """F-06 for a DataFrame route table: with a ``pos`` column the last row per
-    source topic wins; without one the source topics must be unique."""
+def route_table(routes: DataFrame) -> DataFrame:
+    """F-06 for a DataFrame route table, computed once: with a ``pos`` column the
+    last row per source topic wins; without one a repeated source topic has no
+    defined winner and is refused."""
     if "pos" in routes.columns:
-        return routes.groupBy("source_topic").agg(
-            F.max_by("destination_topic", "pos").alias("destination_topic")
-        )
-    return routes.select("source_topic", "destination_topic")
+        return materialize(routes.groupBy("source_topic").agg(F.max_by("destination_topic", "pos").alias("destination_topic")))
+    table = materialize(routes.select("source_topic", "destination_topic").distinct())
+    if table.groupBy("source_topic").count().where("count > 1").limit(1).count():
+        raise ValueError("the route table repeats a source topic; give it a 'pos' column (the last one wins)")
+    return table
 
 
 def one_to_one(df: DataFrame, routes, broadcast_limit: int = BROADCAST_ROUTE_LIMIT) -> DataFrame:
@@ -135,8 +139,12 @@ def one_to_one(df: DataFrame, routes, broadcast_limit: int = BROADCAST_ROUTE_LIM
     ``routes`` is a mapping / list of pairs (compiled into a literal map and an
     ``IN`` filter, so there is no join and the filter reaches the scan) or a
     DataFrame ``(source_topic, destination_topic[, pos])``. A DataFrame table is
-    broadcast only when its row count is within ``broadcast_limit``; above it
-    the join is a shuffle join salted on the message side.
+    restricted to the topics that stored messages have (one aggregate over the
+    topic column) and broadcast when it is within ``broadcast_limit`` rows and
+    BROADCAST_ROUTE_BYTES; messages then stay in their partitions. Beyond that
+    it is a shuffle join in which hot topics are salted; messages of a partition
+    then spread over tasks, and only ``topic_rows`` restores their order within
+    each file.
     """
     if not isinstance(routes, DataFrame):
         table = _route_pairs(routes)
@@ -146,25 +154,30 @@ def one_to_one(df: DataFrame, routes, broadcast_limit: int = BROADCAST_ROUTE_LIM
         kept = subscribe(df, table.keys())
         return _finish(prepare(kept), F.element_at(lookup, F.col("topic")))
 
-    table = materialize(_route_table_df(routes))
-    n_routes = table.count()
-    if n_routes <= broadcast_limit:
-        joined = df.join(
-            F.broadcast(table.withColumnRenamed("source_topic", "topic")), on="topic", how="inner"
-        )
+    table = route_table(routes).withColumnsRenamed({"source_topic": "topic", "destination_topic": "__dest"})
+
+    def size() -> tuple[int, int]:
+        names = F.coalesce(F.sum(F.octet_length("topic") + F.octet_length("__dest")), F.lit(0))
+        return tuple(table.agg(F.count("*"), names).first())
+
+    within = lambda s: s[0] <= broadcast_limit and s[1] <= BROADCAST_ROUTE_BYTES
+    small = within(size())
+    hot: dict[str, int] = {}
+    if not small and not df.isStreaming:
+        counts = materialize(df.groupBy("topic").agg(F.count("*").alias("n")))
+        table = materialize(table.join(counts.select("topic"), "topic", "left_semi"))
+        small = within(size())
+        # At most HOT_PARTS topics have so large a share.
+        shares = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+        hot = {r["topic"]: r["parts"] for r in shares.select("topic", F.floor(F.col("n") * HOT_PARTS / F.col("total")).alias("parts")).where("parts > 1").collect()}
+    if small:
+        joined = df.join(F.broadcast(table), "topic", "inner")
     else:
-        # Salt: replicate each route S times and give every message a stable
-        # salt, so a hot topic is split over S join tasks. The salt is a hash
-        # of the message itself (deterministic, so a retried task routes the
-        # same way); the payload is included for sources without offsets or keys.
-        salts = F.explode(F.sequence(F.lit(0), F.lit(ROUTE_SALTS - 1)))
-        salted_routes = table.withColumnRenamed("source_topic", "topic").withColumn("__salt", salts)
-        salt = F.pmod(F.xxhash64("partition", "offset", "key", "timestamp", "payload"), F.lit(ROUTE_SALTS))
-        joined = (
-            df.withColumn("__salt", salt)
-            .join(salted_routes, on=["topic", "__salt"], how="inner")
-            .drop("__salt")
-        )
-    joined = joined.withColumnRenamed("destination_topic", "__dest")
-    routed = prepare(joined)
-    return _finish(routed, F.col("__dest")).drop("__dest")
+        parts = F.lit(1)
+        if hot:
+            parts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("topic")), F.lit(1))
+        # The part is a hash of the message itself, so that a retried task routes the same way.
+        part = F.pmod(F.xxhash64("partition", "offset", "key", "timestamp", "payload"), parts).cast("int")
+        copies = table.withColumn("__part", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+        joined = df.withColumn("__part", part).join(copies, ["topic", "__part"], "inner").drop("__part")
+    return _finish(prepare(joined), F.col("__dest")).drop("__dest")

@@ -43,7 +43,6 @@ from relayspark.sources.normalise import from_eventhubs, from_kafka, from_pubsub
 from relayspark.sources.replay import replay_from
 from relayspark.sources.synthetic import synthetic_messages
 from relayspark.sources.tables import (
-    EVENTS_SCHEMA,
     conversations_messages,
     documents_messages,
     events_messages,
@@ -53,6 +52,7 @@ from relayspark.sources.tables import (
     pubsub_raw_from_events,
     pulsar_raw_from_events,
     read_table,
+    stream_table,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -891,13 +891,7 @@ def check_order_q(spark, sf_dir):
 
 
 def _event_stream(spark, sf_dir) -> DataFrame:
-    raw = (
-        spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
-    return events_to_messages(raw)
+    return events_to_messages(stream_table(spark, sf_dir, "events"))
 
 
 @register(
@@ -944,13 +938,7 @@ def stream_windowed_throughput(spark, sf_dir):
     watermark, update mode, folded to the latest value per window."""
     from relayspark.streaming.runner import read_latest, run_update_stream
 
-    raw = (
-        spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
-    routed = fan(events_to_messages(raw, topic=None), HEADER)
+    routed = fan(events_to_messages(stream_table(spark, sf_dir, "events"), topic=None), HEADER)
     _, out = run_update_stream(windowed_throughput(routed, watermark="10 minutes"))
     return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "messages_per_second")
 
@@ -987,7 +975,7 @@ WHERE error IS NULL GROUP BY r.dst""",
 )
 def config_one_to_one(spark, sf_dir):
     """A relay configuration run as is (mode one_to_one, table source and
-    destination, rate limit from queue_size) over the events stored as a topic
+    destination) over the events stored as a topic
     table in the shared folder."""
     from relayspark.plans.config import start_from_config
     from relayspark.session import shared_dir
@@ -998,6 +986,7 @@ def config_one_to_one(spark, sf_dir):
     cfg = {
         "mode": "one_to_one",
         "thread_pool": {"max_workers": 20, "queue_size": 2000},
+        "max_per_trigger": 2000,
         "back_pressure": {"enabled": True, "queue_high_watermark": 0.8, "queue_low_watermark": 0.5},
         "one_to_one": {
             "source": {"type": "table", "connection": {"path": stored}},
@@ -1044,13 +1033,7 @@ def stream_windowed_errors(spark, sf_dir):
     10-minute watermark, update mode, folded to the latest value per window."""
     from relayspark.streaming.runner import read_latest, run_update_stream
 
-    raw = (
-        spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
-    routed = fan(events_to_messages(raw, topic=None), HEADER)
+    routed = fan(events_to_messages(stream_table(spark, sf_dir, "events"), topic=None), HEADER)
     _, out = run_update_stream(windowed_errors(routed, watermark="10 minutes"))
     return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "errors_per_second")
 
@@ -1061,12 +1044,6 @@ def stream_windowed_volume(spark, sf_dir):
     a 10-minute watermark, update mode, folded to the latest value per window."""
     from relayspark.streaming.runner import read_latest, run_update_stream
 
-    raw = (
-        spark.readStream.schema(EVENTS_SCHEMA)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
-    routed = fan(events_to_messages(raw, topic=None), HEADER)
+    routed = fan(events_to_messages(stream_table(spark, sf_dir, "events"), topic=None), HEADER)
     _, out = run_update_stream(windowed_volume(routed, watermark="10 minutes"))
     return _window_cols(read_latest(spark, out, ["window_start", "window_end", "topic"]), "bytes_per_second")

@@ -6,9 +6,15 @@ for example from YAML): ``mode`` (``funnel``, ``fan`` or ``one_to_one``),
 ``source``/``sources``, ``destination``, ``source_topic``,
 ``destination_resolver``, ``mappings`` or ``destination_topic``. Each part is
 mapped onto a read binding, a router, a processor and a sink; nothing else is
-interpreted. ``thread_pool.queue_size`` becomes the per-trigger rate limit
-(the bounded amount in flight); worker counts and queue fill marks have no
-meaning on Spark and are ignored.
+interpreted. Worker counts, queue sizes and fill marks describe threads and have
+no meaning on Spark; a rate limit is set with ``max_per_trigger`` (messages per
+micro-batch; no limit without it). ``state_path`` names the folder of the
+checkpoint, the metric deltas and, for stored destinations, the topic table; a
+relay that isn't drained needs it (or a table destination's path) to resume.
+
+Further entries of a Kafka or Event Hubs ``connection`` are client settings and
+are passed on under their Kafka names (``security_protocol`` becomes
+``kafka.security.protocol``); unknown starting positions are refused.
 
 Source and destination ``type``: ``kafka``, ``eventhubs``, ``pulsar``,
 ``google_pubsub``, ``mock`` (synthetic messages) and ``table`` (a stored
@@ -39,14 +45,43 @@ def _servers(conn: Mapping) -> str:
     return ",".join(s) if isinstance(s, (list, tuple)) else str(s)
 
 
-def _starting(value: str | None, default: str = "latest") -> str:
-    """``auto_offset_reset`` / ``starting_position`` as Spark's startingOffsets."""
-    if value in (None, ""):
-        return default
-    v = str(value).lower()
-    if v in ("earliest", "@earliest", "0", "-2"):
-        return "earliest"
-    return "latest"
+# Entries of a connection that are mapped by name; the rest are client settings.
+_MAPPED = {"bootstrap_servers", "group_id", "auto_offset_reset", "starting_position", "connection_string", "eventhub_name", "consumer_group", "sasl_plain_username", "sasl_plain_password", "fail_on_data_loss"}
+
+
+def _client_options(conn: Mapping) -> dict[str, str]:
+    """Client settings as options of Spark's Kafka connector."""
+    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    own = {k: text(v) for k, v in conn.items() if k not in _MAPPED and v is not None}
+    opts = {(k if k.startswith("kafka.") else f"kafka.{k.replace('_', '.')}"): v for k, v in own.items()}
+    if conn.get("sasl_plain_username"):
+        opts["kafka.sasl.jaas.config"] = (
+            "org.apache.kafka.common.security.plain.PlainLoginModule required "
+            f'username="{conn["sasl_plain_username"]}" password="{conn.get("sasl_plain_password", "")}";'
+        )
+    return opts
+
+
+# Starting positions by source type, as Spark's startingOffsets; None: not given.
+_STARTS = {
+    "kafka": {None: "latest", "earliest": "earliest", "latest": "latest"},
+    # An Event Hubs client starts at the start of a partition unless told otherwise.
+    "eventhubs": {None: "earliest", "-1": "earliest", "@latest": "latest", "earliest": "earliest", "latest": "latest"},
+    "pulsar": {None: "latest", "earliest": "earliest", "latest": "latest"},
+}
+
+
+def _starting(kind: str, value) -> str | dict:
+    """A configured position; a dict of offsets ``{topic: {partition: offset}}`` or
+    ``{"timestamp": ms}`` is passed on. Anything else is refused: guessing would
+    skip or repeat stored messages."""
+    if isinstance(value, Mapping):
+        return dict(value)
+    known = _STARTS[kind]
+    name = None if value in (None, "") else str(value).lower()
+    if name not in known:
+        raise ValueError(f"unknown starting position {value!r} for {kind}; known: {', '.join(k for k in known if k)}, or offsets")
+    return known[name]
 
 
 def _eventhubs_parts(conn: Mapping) -> tuple[str, str, str]:
@@ -58,23 +93,34 @@ def _eventhubs_parts(conn: Mapping) -> tuple[str, str, str]:
     return ns.group(1), cs, hub
 
 
+def _no_message_limit(kind: str):
+    raise ValueError(f"{kind} limits a micro-batch by bytes: set connection.max_bytes_per_trigger")
+
+
 def read_source(spark: SparkSession, system: Mapping, topics: list[str], max_per_trigger: int | None) -> DataFrame:
     """One configured source as a streaming MESSAGE DataFrame of ``topics``."""
     kind = system["type"]
     conn = system.get("connection", {}) or {}
     if kind == "kafka":
-        extra = {"kafka.group.id": conn["group_id"]} if conn.get("group_id") else None
-        opts = kafka_reader_options(_servers(conn), topics, _starting(conn.get("auto_offset_reset")), max_per_trigger, extra)
+        extra = _client_options(conn) | ({"kafka.group.id": conn["group_id"]} if conn.get("group_id") else {})
+        start = _starting(kind, conn.get("auto_offset_reset"))
+        opts = kafka_reader_options(_servers(conn), topics, start, max_per_trigger, extra, fail_on_data_loss=conn.get("fail_on_data_loss", True))
         return read_topics(spark, "kafka", opts)
     if kind == "eventhubs":
         ns, cs, hub = _eventhubs_parts(conn)
-        opts = eventhubs_reader_options(ns, cs, hub, _starting(conn.get("starting_position")), max_per_trigger)
+        opts = eventhubs_reader_options(ns, cs, hub, _starting(kind, conn.get("starting_position")), max_per_trigger, _client_options(conn))
         return read_topics(spark, "eventhubs", opts)
     if kind == "pulsar":
-        opts = {"service.url": conn["service_url"], "topics": ",".join(topics), "startingOffsets": "latest"}
+        opts = {"service.url": conn["service_url"], "topics": ",".join(topics), "startingOffsets": _starting(kind, conn.get("starting_position"))}
+        if conn.get("subscription_name"):
+            opts["predefinedSubscription"] = conn["subscription_name"]
+        if max_per_trigger:
+            opts["maxBytesPerTrigger"] = str(int(conn.get("max_bytes_per_trigger") or _no_message_limit(kind)))
         return read_topics(spark, "pulsar", opts)
     if kind == "google_pubsub":
         opts = {"projectId": conn["project_id"], "subscriptionId": conn["subscription_id"]}
+        if max_per_trigger:
+            opts["maxMessagesPerTrigger"] = str(int(max_per_trigger))
         return read_topics(spark, "pubsub", opts, fmt=conn.get("format", "pubsub"), project=conn["project_id"])
     if kind == "mock":
         return synthetic_stream(spark, topics, rows_per_batch=max_per_trigger or 100)
@@ -94,7 +140,7 @@ def broker_sink(system: Mapping):
     kind = system["type"]
     conn = system.get("connection", {}) or {}
     if kind == "kafka":
-        opts = {"kafka.bootstrap.servers": _servers(conn)}
+        opts = {"kafka.bootstrap.servers": _servers(conn), **_client_options(conn)}
         return lambda b: write_broker(to_kafka(b), "kafka", opts)
     if kind == "eventhubs":
         ns, cs, hub = _eventhubs_parts(conn)
@@ -114,7 +160,9 @@ def broker_sink(system: Mapping):
 
         def to_pulsar_rows(b: DataFrame) -> DataFrame:
             p = to_pulsar(b)
-            return p.select("value", F.col("partition_key").alias("__key"), F.col("topic").alias("__topic"))
+            return p.select(
+                "value", F.col("partition_key").alias("__key"), F.col("topic").alias("__topic"), F.col("properties").alias("__messageProperties")
+            )
 
         return lambda b: write_broker(to_pulsar_rows(b), "pulsar", opts)
     if kind == "google_pubsub":
@@ -131,13 +179,13 @@ def flow_from_config(spark: SparkSession, cfg: Mapping) -> tuple[DataFrame, Mapp
     if mode not in ("funnel", "fan", "one_to_one"):
         raise ValueError(f"unknown mode {mode!r}")
     section = cfg[mode]
-    limit = (cfg.get("thread_pool") or {}).get("queue_size")
+    limit = cfg.get("max_per_trigger")
     if mode == "funnel":
         sources = [read_source(spark, s, list(s.get("topics") or []), limit) for s in section["sources"]]
         routed = funnel(sources, section["destination_topic"])
     elif mode == "fan":
-        topic = section["source_topic"]
-        routed = fan(subscribe(read_source(spark, section["source"], [topic], limit), [topic]), section["destination_resolver"])
+        # The source reads this topic alone; its messages carry the broker's own topic names.
+        routed = fan(read_source(spark, section["source"], [section["source_topic"]], limit), section["destination_resolver"])
     else:
         routes = [(m["source_topic"], m["destination_topic"]) for m in section["mappings"]]
         topics = list(dict(routes))
@@ -151,6 +199,5 @@ def start_from_config(spark: SparkSession, cfg: Mapping, out_dir: str | None = N
     ``out_dir``."""
     routed, destination = flow_from_config(spark, cfg)
     conn = destination.get("connection", {}) or {}
-    if destination["type"] == "table" and conn.get("path") and out_dir is None:
-        out_dir = conn["path"]
+    out_dir = out_dir or cfg.get("state_path") or (conn.get("path") if destination["type"] == "table" else None)
     return run_stream(routed, out_dir=out_dir, drain=drain, processing_time=processing_time, sink=broker_sink(destination))

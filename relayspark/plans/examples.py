@@ -28,3 +28,21 @@ class StampProcessor:
 
     def apply(self, df: DataFrame) -> DataFrame:
         return header_stamp(df, "stamped_by", "relay")
+
+
+class BadOutputProcessor:
+    """Row processor whose results can't be sent, but for every fifth offset: a
+    header that is no text, a payload that is no bytes, none, a key that is no
+    text."""
+
+    def process(self, message):
+        kind = message.offset % 5
+        if kind == 0:
+            message.headers["n"] = 1
+        elif kind == 1:
+            message.payload = "text"
+        elif kind == 2:
+            message.payload = None
+        elif kind == 3:
+            message.key = 7
+        return message

@@ -87,13 +87,6 @@ PUBSUB_RAW = T.StructType(
     ]
 )
 
-ROUTE_TABLE = T.StructType(
-    [
-        T.StructField("source_topic", T.StringType(), False),
-        T.StructField("destination_topic", T.StringType(), False),
-    ]
-)
-
 # Delivered rows as the checks see them (a topic table).
 DELIVERED = T.StructType(
     [

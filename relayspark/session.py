@@ -104,7 +104,9 @@ def _checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        # Only reached where the cluster names no shared folder (local tests).
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: tables and checkpoints need a folder that all executors share")
+        # One machine only: its own temporary folder is shared by all tasks.
         root = tempfile.mkdtemp(prefix="relayspark-state-")
     if not sc.getCheckpointDir():
         # Named only as a session setting: register it for checkpoint() too.

@@ -2,28 +2,41 @@
 
 The brokers do not receive the same fields; each projection states exactly
 what its sink gets. Error rows are carried up to here (metrics need them) and
-are dropped only by ``deliverable``.
+are dropped only here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relayspark.operators.metrics import delivered
-from relayspark.schema import MESSAGE_COLUMNS
+from relayspark.schema import MESSAGE, MESSAGE_COLUMNS
+
+
+def _sent(routed: DataFrame, *columns: Column | str) -> DataFrame:
+    """The given columns of delivered rows.
+
+    A filter on ``dest_topic`` would be pushed below the routing projection and
+    evaluate the route (a JSON parse for payload routes) again for every place
+    the condition names it. Yielding one row or none from an array is a
+    generator, which no filter crosses: the route is evaluated once.
+    """
+    row = F.struct(*[F.col(c) if isinstance(c, str) else c for c in columns])
+    return routed.select(F.inline(F.when(delivered(routed), F.array(row))))
 
 
 def deliverable(routed: DataFrame) -> DataFrame:
     """Rows a sink sends: no source error, a destination, no delivery error."""
-    return routed.filter(delivered(routed))
+    return _sent(routed, *routed.columns)
 
 
 def to_kafka(routed: DataFrame) -> DataFrame:
     """K-01: value, key (empty -> NULL), headers as UTF-8 bytes, topic.
     Partition, offset and timestamp are not sent."""
-    d = deliverable(routed)
-    return d.select(
+    return _sent(
+        routed,
         F.when(F.col("key") != "", F.encode(F.col("key"), "UTF-8")).alias("key"),
         F.col("payload").alias("value"),
         F.transform(
@@ -36,8 +49,8 @@ def to_kafka(routed: DataFrame) -> DataFrame:
 
 def to_pulsar(routed: DataFrame) -> DataFrame:
     """K-02: payload, properties, partition key, topic."""
-    d = deliverable(routed)
-    return d.select(
+    return _sent(
+        routed,
         F.col("payload").alias("value"),
         F.col("headers").alias("properties"),
         F.col("key").alias("partition_key"),
@@ -49,33 +62,42 @@ def to_eventhubs(routed: DataFrame) -> DataFrame:
     """K-03: payload and properties only; the resolved topic and the key are
     not sent (the hub is fixed by the connection). Metrics still count the
     resolved topic (Q-18)."""
-    d = deliverable(routed)
-    return d.select(F.col("payload").alias("body"), F.col("headers").alias("properties"))
+    return _sent(routed, F.col("payload").alias("body"), F.col("headers").alias("properties"))
 
 
 def to_pubsub(routed: DataFrame, project: str) -> DataFrame:
     """K-04: payload and attributes to ``projects/<project>/topics/<topic>``;
     the key is not sent."""
-    d = deliverable(routed)
-    return d.select(
+    return _sent(
+        routed,
         F.col("payload").alias("data"),
         F.col("headers").alias("attributes"),
         F.format_string("projects/%s/topics/%s", F.lit(project), F.col("dest_topic")).alias("topic"),
     )
 
 
+# A topic table keeps the destination as an ordinary column, beside a folder
+# column that holds it in URL form after a letter: any name (empty, numeric, a
+# date, with slashes) is a folder name that reads back as the same text.
+TOPIC_FOLDER = "topic_folder"
+TOPIC_TABLE = T.StructType([*MESSAGE.fields, T.StructField("dest_topic", T.StringType()), T.StructField(TOPIC_FOLDER, T.StringType())])
+
+
+def topic_folder(topic: Column) -> Column:
+    return F.concat(F.lit("t"), F.url_encode(topic))
+
+
 def topic_rows(routed: DataFrame) -> DataFrame:
     """Delivered rows in (partition, offset) order within each task and topic
-    (T-04); a per-task sort, no shuffle. The destination leads the sort so the
+    (T-04); a per-task sort, no shuffle. The folder leads the sort so the
     partitioned writer finds its required order and does not re-sort."""
-    return deliverable(routed).select(*MESSAGE_COLUMNS, "dest_topic").sortWithinPartitions(
-        "dest_topic", "partition", "offset"
-    )
+    rows = _sent(routed, *MESSAGE_COLUMNS, "dest_topic", topic_folder(F.col("dest_topic")).alias(TOPIC_FOLDER))
+    return rows.sortWithinPartitions(TOPIC_FOLDER, "partition", "offset")
 
 
 def write_topics(routed: DataFrame, path: str, mode: str = "append") -> None:
     """K-05: store delivered rows as a topic table partitioned by destination."""
-    topic_rows(routed).write.mode(mode).partitionBy("dest_topic").parquet(path)
+    topic_rows(routed).write.mode(mode).partitionBy(TOPIC_FOLDER).parquet(path)
 
 
 def write_broker(projected: DataFrame, fmt: str, options: dict[str, str]) -> None:

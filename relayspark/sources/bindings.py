@@ -23,6 +23,7 @@ def kafka_reader_options(
     max_per_trigger: int | None = None,
     extra: dict[str, str] | None = None,
     min_partitions: int | None = None,
+    fail_on_data_loss: bool = True,
 ) -> dict[str, str]:
     """S-01, S-07, S-08, T-05 as Kafka source options.
 
@@ -30,7 +31,8 @@ def kafka_reader_options(
     ``{topic: {partition: offset}}`` or ``{"timestamp": ms}``.
     ``max_per_trigger`` bounds each micro-batch (the back-pressure knob);
     ``min_partitions`` splits large topic partitions over more tasks than the
-    topic has partitions.
+    topic has partitions. Offsets that aged out end the query, unless
+    ``fail_on_data_loss`` is given as False.
     """
     import json
 
@@ -38,7 +40,7 @@ def kafka_reader_options(
         "kafka.bootstrap.servers": bootstrap_servers,
         "subscribe": ",".join(topics),
         "includeHeaders": "true",
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if isinstance(starting, str):
         opts["startingOffsets"] = starting
@@ -62,6 +64,7 @@ def eventhubs_reader_options(
     eventhub: str,
     starting: str | dict | None = "latest",
     max_per_trigger: int | None = None,
+    extra: dict[str, str] | None = None,
 ) -> dict[str, str]:
     """S-03: Event Hubs through its Kafka-compatible endpoint."""
     jaas = (
@@ -77,6 +80,7 @@ def eventhubs_reader_options(
             "kafka.security.protocol": "SASL_SSL",
             "kafka.sasl.mechanism": "PLAIN",
             "kafka.sasl.jaas.config": jaas,
+            **(extra or {}),
         },
     )
 
@@ -103,7 +107,8 @@ def read_topics(
     if broker == "kafka":
         return from_kafka(raw)
     if broker == "eventhubs":
-        msg = from_kafka(raw)
+        # An Event Hubs message has no key, so none is read (and none can be undecodable).
+        msg = from_kafka(raw.withColumn("key", F.lit(None).cast("binary")))
         return msg.withColumn("topic", F.concat(F.lit("eventhub-"), F.col("partition").cast("string")))
     if broker == "pulsar":
         # Column names of the common Pulsar connector.

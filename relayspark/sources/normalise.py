@@ -85,7 +85,8 @@ def from_pulsar(raw: DataFrame) -> DataFrame:
 def from_eventhubs(raw: DataFrame) -> DataFrame:
     """S-03: Event Hubs rows -> MESSAGE. Null events (no body, properties,
     offset or time) are skipped; property keys and values are decoded (N-01);
-    topic is ``eventhub-<partition>`` (N-05); the text offset is cast."""
+    topic is ``eventhub-<partition>`` (N-05). A text offset or partition that is no
+    number makes an error row, not a failed job (Q-08)."""
     present = (
         F.col("body").isNotNull()
         | F.col("properties").isNotNull()
@@ -99,11 +100,13 @@ def from_eventhubs(raw: DataFrame) -> DataFrame:
         "headers": headers,
         "topic": F.concat(F.lit("eventhub-"), F.col("partition_id")),
         "key": F.lit(None).cast("string"),
-        "partition": F.col("partition_id").cast("int"),
-        "offset": F.col("offset").cast("bigint"),
+        "partition": F.col("partition_id").try_cast("int"),
+        "offset": F.col("offset").try_cast("bigint"),
         "timestamp": F.col("enqueued_time").cast("timestamp"),
     }
-    return _select_message(kept, cols, F.when(bad_h, F.lit("undecodable header")))
+    bad_number = (F.col("offset").isNotNull() & cols["offset"].isNull()) | (F.col("partition_id").isNotNull() & cols["partition"].isNull())
+    error = F.when(bad_h, F.lit("undecodable header")).when(bad_number, F.lit("undecodable position"))
+    return _select_message(kept, cols, error)
 
 
 def subscription_path(project: str | Column, subscription: str | Column) -> Column:

@@ -7,56 +7,50 @@ from pyspark.sql import functions as F
 
 from relayspark.session import materialize
 
-# Start tables up to this many rows (one per topic partition, about 100 bytes
-# each, so about 20 MB) are broadcast.
+# Start tables up to this many rows and bytes of topic names are broadcast.
 BROADCAST_START_LIMIT = 200_000
+BROADCAST_START_BYTES = 16 << 20
 
 
 def replay_from(df: DataFrame, starts, default: str = "earliest") -> DataFrame:
     """Keep messages at or after a start offset per ``(topic, partition)``.
 
     ``starts`` is a dict ``{(topic, partition): offset}`` or a DataFrame
-    ``(topic, partition, start_offset)``. Partitions without a start follow
-    ``default``: ``earliest`` keeps them whole, ``latest`` drops them (nothing
-    stored is newer than the end).
+    ``(topic, partition, start_offset)``; of repeated starts the greatest counts.
+    Partitions without a start follow ``default``: ``earliest`` keeps them whole,
+    ``latest`` drops them (nothing stored is newer than the end; refused for a
+    stream, whose new messages it would drop).
     """
-    how = "left" if default == "earliest" else "inner"
+    if default not in ("earliest", "latest"):
+        raise ValueError(f"default start must be 'earliest' or 'latest', not {default!r}")
+    if default == "latest" and df.isStreaming:
+        raise ValueError("default='latest' would drop a stream's new messages; use the source's starting position")
     if not isinstance(starts, DataFrame):
-        spark = df.sparkSession
         rows = [(t, int(p), int(o)) for (t, p), o in dict(starts).items()]
-        starts = spark.createDataFrame(rows, "topic string, partition int, start_offset bigint")
-    else:
-        # Computed once into the shared checkpoint folder: the size check and
-        # the join then read the small result instead of recomputing it.
-        starts = materialize(starts.select("topic", "partition", "start_offset"))
-    n = starts.count()
-    # One row per (topic, partition): broadcast when that is within the limit,
-    # else a shuffle join (AQE splits a skewed partition key).
-    side = F.broadcast(starts) if n <= BROADCAST_START_LIMIT else starts
-    joined = df.join(side, ["topic", "partition"], how)
+        starts = df.sparkSession.createDataFrame(rows, "topic string, partition int, start_offset bigint")
+    # Computed once into the shared checkpoint folder: the size check and the
+    # join then read the small result instead of recomputing it.
+    starts = materialize(starts.groupBy("topic", "partition").agg(F.max("start_offset").alias("start_offset")))
+    n, names = starts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("topic")), F.lit(0))).first()
+    small = n <= BROADCAST_START_LIMIT and names <= BROADCAST_START_BYTES
+    # Else a shuffle join; adaptive execution splits a skewed topic partition.
+    joined = df.join(F.broadcast(starts) if small else starts, ["topic", "partition"], "left" if default == "earliest" else "inner")
     keep = F.col("start_offset").isNull() | (F.col("offset") >= F.col("start_offset"))
-    return joined.filter(keep).drop("start_offset")
+    return joined.filter(keep).select(df.columns)
 
 
 def read_topic_table_source(spark, path: str, topics=None, streaming: bool = False, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A stored topic table (written by ``write_topics``, partitioned by
-    ``dest_topic``) read back as MESSAGE rows whose ``topic`` is the stored
-    destination. ``topics`` subscribes (S-07); the filter is on the partition
-    column, so only those topics' folders are listed and read."""
-    from pyspark.sql import types as T
-
-    from relayspark.schema import MESSAGE, MESSAGE_COLUMNS
-
-    if streaming:
-        # A new struct: StructType.add would change the shared MESSAGE in place.
-        schema = T.StructType(MESSAGE.fields + [T.StructField("dest_topic", T.StringType(), True)])
-        reader = spark.readStream.schema(schema)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-        df = reader.parquet(path)
-    else:
-        df = spark.read.parquet(path)
+    """A stored topic table (written by ``write_topics``) read back as MESSAGE rows
+    whose ``topic`` is the stored destination. ``topics`` subscribes (S-07); the
+    filter names the folders, so only those topics' are listed and read."""
+    from relayspark.schema import MESSAGE_COLUMNS
+    from relayspark.sinks.egress import TOPIC_FOLDER, TOPIC_TABLE, topic_folder
+
+    reader = (spark.readStream if streaming else spark.read).schema(TOPIC_TABLE)
+    if streaming and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    df = reader.parquet(path)
     if topics is not None:
-        df = df.filter(F.col("dest_topic").isin(list(topics)))
-    cols = [F.col("dest_topic").alias("topic") if c == "topic" else F.col(c) for c in MESSAGE_COLUMNS]
-    return df.select(*cols)
+        names = list(topics)
+        df = df.filter(F.col(TOPIC_FOLDER).isin([topic_folder(F.lit(t)) for t in names]) & F.col("dest_topic").isin(names))
+    return df.select(*[F.col("dest_topic").alias("topic") if c == "topic" else F.col(c) for c in MESSAGE_COLUMNS])

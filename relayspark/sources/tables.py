@@ -18,31 +18,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, parallelism: int | None = None, key: str | None = None) -> DataFrame:
-    """Widen a scan that yields fewer splits than the session has task slots.
-
-    A table stored as one small file with one row group is read by one task,
-    which would run every per-message expression (JSON parsing, sizes) on one
-    core. Only then is it re-split round-robin over ``parallelism`` tasks;
-    a scan with enough splits (any large table) is returned unchanged, so
-    this adds no shuffle at scale. Filters and column pruning still reach the
-    scan below the exchange. With a unique ``key`` the rows are hashed on it
-    (no pre-sort needed for a retry-stable split); otherwise round-robin.
-    """
-    try:
-        n = parallelism or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as it is
-        return df
-    if splits >= n:
-        return df
-    return df.repartition(n, key) if key else df.repartition(n)
-
-
-# Unique id column per driver table, used to split under-split scans.
-TABLE_KEYS = {"events": "event_id", "documents": "doc_id", "conversations": "conv_id"}
-
-
 # Declared schemas of the driver tables: no footer-inference job per read.
 TABLE_SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
@@ -54,30 +29,15 @@ TABLE_SCHEMAS = {
 EVENTS_SCHEMA = TABLE_SCHEMAS["events"]
 
 
-# Split counts already looked up, per (path, task slots). A stale entry can
-# only cost speed (a missed or extra re-split), never change a result.
-_SPLITS: dict[tuple[str, int], int] = {}
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, widen: bool = True) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read.schema(TABLE_SCHEMAS[name]) if name in TABLE_SCHEMAS else spark.read
-    df = reader.parquet(path)
-    if not widen:
-        return df
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        cache_key = (path, slots)
-        if cache_key not in _SPLITS:
-            _SPLITS[cache_key] = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (Spark Connect): leave the scan as it is
-        return df
-    if _SPLITS[cache_key] >= slots:
-        return df
-    key = TABLE_KEYS.get(name)
-    return df.repartition(slots, key) if key else df.repartition(slots)
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (a file, or a folder of part files) as a stream. The path is
+    written as a pattern because a stream takes a single file only that way."""
+    return spark.readStream.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parque[t]")
 
 
 def event_payload_sql(faults: bool = True) -> str:

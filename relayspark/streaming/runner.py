@@ -2,21 +2,25 @@
 
 ``run_stream`` takes a routed (and processed) streaming DataFrame and writes,
 per micro-batch, the delivered rows (a topic table partitioned by batch and
-destination) and the per-topic metric deltas of both sides. Both writes
-overwrite exactly the partitions of their ``batch_id``, so a batch replayed
-after a failure leaves no duplicate rows or deltas: exactly-once into files,
-with the checkpoint in the session's shared folder.
+destination), the per-topic metric deltas of both sides, and when the batch ran.
+Each write overwrites the whole folder of its ``batch_id``, so a batch replayed
+after a failure leaves neither duplicates nor rows of destinations that the
+replay no longer has: exactly-once into files, with the checkpoint beside them.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from relayspark.operators.metrics import batch_deltas, delivered, metrics_since_batch
-from relayspark.schema import MESSAGE_COLUMNS
+from relayspark.operators.metrics import batch_deltas, metrics_since_batch
 from relayspark.session import shared_dir
+from relayspark.sinks.egress import TOPIC_FOLDER, TOPIC_TABLE, topic_rows
 
 TOTALS_NAME = "relay_totals"
 
@@ -33,11 +37,15 @@ def with_totals(routed: DataFrame, name: str = TOTALS_NAME) -> DataFrame:
     )
 
 
+_DELTAS = "side string, topic string, message_count long, total_bytes long, error_count long, last_message_time timestamp, batch_id long"
+_RUNS = "run string, began double, ended double, batch_id long"
+
+
 def _write_batch(out_dir: str, sink=None):
-    topics_path = f"{out_dir}/topics"
-    metrics_path = f"{out_dir}/metrics"
+    run, began = uuid.uuid4().hex, time.time()
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        at = lambda name: f"{out_dir}/{name}/batch_id={batch_id}"
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
         try:
             if sink is not None:
@@ -45,27 +53,10 @@ def _write_batch(out_dir: str, sink=None):
                 # batch is sent again (at-least-once), its deltas overwritten.
                 sink(b.drop("batch_id"))
             else:
-                rows = (
-                    b.filter(delivered(b))
-                    .select(*MESSAGE_COLUMNS, "dest_topic", "batch_id")
-                    # Partition columns first: the writer's required order is a
-                    # prefix of this one, so it adds no sort of its own and each
-                    # file keeps (partition, offset) order (T-04).
-                    .sortWithinPartitions("batch_id", "dest_topic", "partition", "offset")
-                )
-                (
-                    rows.write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic")
-                    .partitionBy("batch_id", "dest_topic")
-                    .parquet(topics_path)
-                )
-            (
-                batch_deltas(b)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(metrics_path)
-            )
+                topic_rows(b).write.mode("overwrite").partitionBy(TOPIC_FOLDER).parquet(at("topics"))
+            batch_deltas(b).drop("batch_id").write.mode("overwrite").parquet(at("metrics"))
+            times = batch.sparkSession.createDataFrame([(run, began, time.time())], "run string, began double, ended double")
+            times.write.mode("overwrite").parquet(at("runs"))
         finally:
             b.unpersist()
 
@@ -85,10 +76,16 @@ def run_stream(
     available, then stop (``availableNow``) and wait. Returns the query and
     the output folder (under the shared checkpoint root unless given).
 
+    T-03: a stream resumes from its checkpoint, so one that isn't drained needs
+    ``out_dir`` or ``checkpoint``: a new folder at every start would skip or send
+    again whatever came meanwhile.
+
     ``sink``: a function given each routed micro-batch (for example a broker
     write of ``to_kafka(batch)``) used instead of the topic table; the metric
     deltas are stored either way."""
     spark = routed.sparkSession
+    if not drain and not (out_dir or checkpoint):
+        raise ValueError("a continuous stream needs out_dir or checkpoint, so that a restart resumes it")
     out_dir = out_dir or shared_dir(spark, "stream-out")
     checkpoint = checkpoint or f"{out_dir}/_checkpoint"
     writer = routed.writeStream.foreachBatch(_write_batch(out_dir, sink)).option("checkpointLocation", checkpoint)
@@ -125,13 +122,7 @@ def run_update_stream(
     path = f"{out_dir}/updates"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     if drain:
@@ -154,13 +145,16 @@ def read_latest(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame
 
 
 def read_topic_table(spark: SparkSession, out_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{out_dir}/topics")
+    """The stored rows with ``dest_topic`` and ``batch_id``; names read back as they
+    were (the schema is stated, not inferred from folder names)."""
+    schema = T.StructType([*TOPIC_TABLE.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{out_dir}/topics").drop(TOPIC_FOLDER)
 
 
 def read_stream_metrics(spark: SparkSession, out_dir: str, after_batch: int = -1) -> DataFrame:
     """Fold the stored deltas into per-(side, topic) metrics (M-07 epoch by
     ``after_batch``)."""
-    return metrics_since_batch(spark.read.parquet(f"{out_dir}/metrics"), after_batch)
+    return metrics_since_batch(spark.read.schema(_DELTAS).parquet(f"{out_dir}/metrics"), after_batch)
 
 
 def run_broker_stream(
@@ -176,29 +170,26 @@ def run_broker_stream(
     at-least-once into the broker (a replayed batch may be sent again),
     never the at-most-once of committing before processing.
     """
-    spark = projected.sparkSession
-    checkpoint = checkpoint or shared_dir(spark, f"{fmt}-sink") + "/_checkpoint"
+    if not checkpoint:
+        raise ValueError("a broker stream needs a checkpoint folder, so that a restart resumes it")
     writer = projected.writeStream.format(fmt).options(**options).option("checkpointLocation", checkpoint)
     if processing_time:
         writer = writer.trigger(processingTime=processing_time)
     return writer.start()
 
 
-def stream_report(spark: SparkSession, query: StreamingQuery, out_dir: str) -> dict:
-    """M-13: the report at stop: uptime (first to last progress of the run)
-    and both sides folded from the stored deltas, keyed by topic."""
-    from datetime import datetime
-
-    from relayspark.operators.metrics import report_dict
-
-    progress = query.recentProgress
-    uptime = 0.0
-    if progress:
-        fmt = "%Y-%m-%dT%H:%M:%S.%fZ"
-        first = datetime.strptime(progress[0]["timestamp"], fmt)
-        last = datetime.strptime(progress[-1]["timestamp"], fmt)
-        uptime = (last - first).total_seconds() + progress[-1]["batchDuration"] / 1000.0
-    m = read_stream_metrics(spark, out_dir).withColumn("rate_per_second", F.lit(None).cast("double"))
-    if uptime > 0:
-        m = m.withColumn("rate_per_second", F.col("message_count") / F.lit(uptime))
-    return report_dict(m, uptime)
+def stream_uptime(spark: SparkSession, out_dir: str) -> DataFrame:
+    """One row: seconds that the stream ran, over all its runs (each from its start
+    to the end of its last batch); NULL if no batch is stored."""
+    runs = spark.read.schema(_RUNS).parquet(f"{out_dir}/runs").groupBy("run").agg((F.max("ended") - F.min("began")).alias("s"))
+    return runs.agg(F.sum("s").alias("uptime_seconds"))
+
+
+def stream_report(spark: SparkSession, out_dir: str, uptime_seconds: float | None = None, after_batch: int = -1) -> DataFrame:
+    """M-13: both sides folded from the stored deltas, with the rate over the
+    stream's uptime (measured, unless given; without one the rate is NULL):
+    side, topic, message_count, total_bytes, error_count, last_message_time,
+    uptime_seconds, rate_per_second. One row per side and topic, not collected."""
+    up = F.lit(float(uptime_seconds)) if uptime_seconds is not None else stream_uptime(spark, out_dir).scalar()
+    report = read_stream_metrics(spark, out_dir, after_batch).withColumn("uptime_seconds", up.cast("double"))
+    return report.withColumn("rate_per_second", F.when(F.col("uptime_seconds") > 0, F.col("message_count") / F.col("uptime_seconds")))

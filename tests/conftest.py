@@ -13,8 +13,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("local[4]", 8, app_name="relayspark-tests")
+def spark(tmp_path_factory):
+    state = str(tmp_path_factory.mktemp("state"))
+    s = build_session("local[4]", 8, app_name="relayspark-tests", extra={"spark.checkpoint.dir": state})
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

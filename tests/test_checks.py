@@ -52,8 +52,7 @@ def test_bounded_read_matches_brute_force(spark, make):
         assert got == brute_first(rows, n)
 
 
-def test_salted_top_n_matches_brute_force(spark, make, monkeypatch):
-    monkeypatch.setattr(checks, "GROUP_LIMIT_THRESHOLD", 2)
+def test_salted_top_n_matches_brute_force(spark, make):
     t = table(make, 60)
     rows = t.collect()
     got = {}

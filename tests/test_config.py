@@ -84,7 +84,12 @@ def test_fan_config_with_mock_source(spark, tmp_path):
 
 
 def test_option_mapping():
-    assert _starting("earliest") == "earliest" and _starting(None) == "latest" and _starting("-1") == "latest"
+    assert _starting("kafka", "earliest") == "earliest" and _starting("kafka", None) == "latest"
+    # An Event Hubs client's start of a partition, its default.
+    assert _starting("eventhubs", "-1") == _starting("eventhubs", None) == "earliest" and _starting("eventhubs", "@latest") == "latest"
+    for kind, value in (("kafka", "none"), ("kafka", "17"), ("eventhubs", "12345"), ("pulsar", "somewhere")):
+        with pytest.raises(ValueError):
+            _starting(kind, value)
     ns, cs, hub = _eventhubs_parts({"connection_string": "Endpoint=sb://myns.servicebus.windows.net/;SharedAccessKeyName=k;EntityPath=hub1"})
     assert (ns, hub) == ("myns", "hub1")
     assert callable(broker_sink({"type": "kafka", "connection": {"bootstrap_servers": ["a:1", "b:2"]}}))

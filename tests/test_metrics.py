@@ -11,7 +11,6 @@ from relayspark.operators.metrics import (
     loss_check,
     metrics_report,
     metrics_since_batch,
-    report_dict,
     source_metrics,
     windowed_errors,
     windowed_throughput,
@@ -80,10 +79,10 @@ def test_null_destination_is_destination_error(spark, make):
 def test_report_and_counters(spark, make):
     df = fan(make([sized(256, "topic-a", "d1"), msg(None, topic="topic-a")]), HEADER)
     rep = metrics_report(source_metrics(df, elapsed=1.0), destination_metrics(df, elapsed=1.0))
-    d = report_dict(rep, 1.0)
-    assert d["source_metrics"]["topic-a"]["message_count"] == 1
-    assert d["source_metrics"]["topic-a"]["error_count"] == 1
-    assert d["destination_metrics"]["d1"]["total_bytes"] == 256
+    d = {(r["side"], r["topic"]): r for r in rep.collect()}
+    assert d["source", "topic-a"]["message_count"] == 1
+    assert d["source", "topic-a"]["error_count"] == 1
+    assert d["destination", "d1"]["total_bytes"] == 256
     rows = {(r["metric"], r["topic"]): r["value"] for r in counter_rows(rep).collect()}
     assert rows == {
         ("relay.source.messages", "topic-a"): 1,

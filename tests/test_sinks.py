@@ -75,6 +75,6 @@ def test_topic_table_read_back_prunes_partitions(spark, make, tmp_path):
     df = read_topic_table_source(spark, path, ["t2"])
     plan = plan_text(df)
     line = next(x for x in plan.splitlines() if x.startswith("PartitionFilters"))
-    assert "dest_topic" in line and "= t2)" in line
+    assert "topic_folder" in line and "tt2" in line
     rows = df.collect()
     assert [(r["topic"], bytes(r["payload"])) for r in rows] == [("t2", b"p2")]

@@ -109,22 +109,3 @@ def test_kafka_binding_needs_connector(spark):
     with pytest.raises(Exception) as exc:
         read_topics(spark, "kafka", kafka_reader_options("localhost:9", ["t"]), streaming=False)
     assert "kafka" in str(exc.value).lower()
-
-
-def test_spread_is_a_noop_on_well_split_inputs(spark, tmp_path):
-    """Re-splitting happens only for under-split scans; a table with enough
-    splits is read without any exchange."""
-    from relayspark.session import plan_text
-    from relayspark.sources.tables import read_table
-
-    sf = str(tmp_path / "sf")
-    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(16).write.parquet(f"{sf}/events.parquet")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
-        wide = read_table(spark, sf, "events")
-        assert "Exchange" not in plan_text(wide)
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    narrow = read_table(spark, SF_SMALL, "events")
-    assert "Exchange" in plan_text(narrow)

@@ -72,7 +72,7 @@ def test_restart_no_duplicates(spark, tmp_path):
 
 
 def test_replayed_batch_overwrites(spark, tmp_path):
-    """T-06: writing the same batch id twice leaves one copy (dynamic overwrite)."""
+    """T-06: writing the same batch id twice leaves one copy."""
     from relayspark.streaming.runner import _write_batch
 
     out = str(tmp_path / "out")
@@ -190,18 +190,24 @@ def test_topic_files_in_partition_offset_order(spark, tmp_path):
     assert checked > 0
 
 
-def test_stream_report_at_stop(spark, tmp_path):
-    """M-13: uptime and both sides after the stream ends."""
+def test_stream_report_over_two_runs(spark, tmp_path):
+    """M-13: uptime is that of all runs, however many batches; rates follow it."""
     from relayspark.streaming import stream_report
+    from relayspark.streaming.runner import stream_uptime
 
     src = split_events(spark, tmp_path, parts=2)
-    q, out = run_stream(fan(event_stream(spark, src), HEADER), out_dir=str(tmp_path / "rep"))
-    rep = stream_report(spark, q, out)
-    assert rep["uptime_seconds"] > 0
+    out = str(tmp_path / "rep")
+    run_stream(fan(event_stream(spark, src), HEADER), out_dir=out)
+    first = stream_uptime(spark, out).first()[0]
+    run_stream(fan(event_stream(spark, src), HEADER), out_dir=out)  # idle: nothing new
+    assert stream_uptime(spark, out).first()[0] == first > 0
+    rep = {(r["side"], r["topic"]): r for r in stream_report(spark, out).collect()}
     total = spark.read.parquet(src).count()
-    src_side = rep["source_metrics"]["events"]
-    assert src_side["message_count"] + src_side["error_count"] == total
-    assert sum(v["message_count"] for v in rep["destination_metrics"].values()) == src_side["message_count"]
+    side = rep["source", "events"]
+    assert side["message_count"] + side["error_count"] == total
+    assert side["uptime_seconds"] == first and side["rate_per_second"] == side["message_count"] / first
+    assert sum(r["message_count"] for (s, _), r in rep.items() if s == "destination") == side["message_count"]
+    assert stream_report(spark, out, uptime_seconds=0.0).first()["rate_per_second"] is None
 
 
 def test_broker_stream_needs_connector(spark, tmp_path):
