@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -315,19 +315,20 @@ def fit(
     others train the network. With one label only, that label is returned."""
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(learn & F.col("id").isNotNull() & F.col("label").isin(0, 1))
     marked = marked.groupBy("id").agg(F.max("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = marked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * train_rows + calibrate_rows)
+    ranked = marked.withColumn("h", F.xxhash64("id"))
+    most = 3 * train_rows + calibrate_rows
+    chosen = ranked.where("label = 0").orderBy("h", "id").limit(most).union(ranked.where("label = 1").orderBy("h", "id").limit(most))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.length("text") <= 8 * CALIBRATE_WORDS)
-    long_too = (F.col("place") <= calibrate_rows) | (F.length("text") <= 12 * TRAIN_WORDS)
-    rows = texts.join(chosen, "id").where(long_too).select("label", "place", "text").collect()
-    rows.sort(key=lambda r: (r["place"], r["label"], r["text"]))
+    # At most twice that many ids; long texts serve calibration alone.
+    rows = texts.join(F.broadcast(chosen), "id").where((F.length("text") <= 12 * TRAIN_WORDS) | (F.pmod("h", F.lit(8)) == 0)).select("id", "h", "label", "text").collect()
+    rows.sort(key=lambda r: (r["h"], r["id"], r["text"]))
     kinds = {r["label"] for r in rows}
     if len(kinds) < 2:
         return float(next(iter(kinds), 0))
-    held = [r for r in rows if r["place"] <= calibrate_rows]
-    rest = [r for r in rows if r["place"] > calibrate_rows and len(r["text"].split()) <= TRAIN_WORDS]
+    held = [r for kind in (0, 1) for r in [r for r in rows if r["label"] == kind and r["h"] % 8 == 0][:calibrate_rows]]
+    rest = [r for r in rows if r["h"] % 8 != 0 and len(r["text"].split()) <= TRAIN_WORDS]
     used = [r for kind in (0, 1) for r in [r for r in rest if r["label"] == kind][: train_rows * (2 - kind)]]
-    if len({r["label"] for r in used}) < 2:  # few labels: all serve for both
+    if min(sum(r["label"] == kind for r in part) for part in (used, held) for kind in (0, 1)) < 20:  # few labels: all serve for both
         used = held = rows
     net = train([r["text"] for r in used], np.array([r["label"] for r in used], np.float32))
     logits = np.concatenate([text_logits(net, [r["text"] for r in held[a : a + 64]]) for a in range(0, len(held), 64)])
