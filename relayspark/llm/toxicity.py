@@ -227,29 +227,28 @@ def text_logits(net: Network, texts: list[str | None] | pa.Array) -> np.ndarray:
     return np.maximum.reduceat(logit, np.searchsorted(row, np.arange(len(texts))))
 
 
-def _log_odds(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, n_slots: int) -> np.ndarray:
-    """Log odds of the labels of texts that hold a slot, drawn to 0 where few do."""
-    pairs = np.unique(rows * n_slots + slots)
-    rows, slots = pairs // n_slots, pairs % n_slots
-    ones = np.bincount(slots, weights=labels[rows] == 1, minlength=n_slots)
-    zeros = np.bincount(slots, weights=labels[rows] == 0, minlength=n_slots)
-    odds = np.log((ones + 1) / ((labels == 1).sum() + 2)) - np.log((zeros + 1) / ((labels == 0).sum() + 2))
-    return (odds * (ones + zeros) / (ones + zeros + PRIOR_TEXTS)).astype(np.float32)
-
-
-def _seed_tables(net: Network, texts: list[str], labels: np.ndarray) -> None:
-    """Start the first column of each table at the log odds of its slots, so
-    that training begins from what words and stems say by themselves."""
-    distinct, rows, codes = _coded(texts)
-    if not len(distinct):
-        return
-    slot, grams, n = word_inputs(distinct)
-    pairs = np.unique(rows * len(distinct) + codes)
-    rows, codes = pairs // len(distinct), pairs % len(distinct)
-    net.p["word"][:, 0] += _log_odds(rows, slot[codes], labels, WORD_SLOTS)
-    first = np.cumsum(n) - n
-    step = np.arange(n[codes].sum()) - np.repeat(np.cumsum(n[codes]) - n[codes], n[codes])
-    net.p["gram"][:, 0] += _log_odds(np.repeat(rows, n[codes]), grams[np.repeat(first[codes], n[codes]) + step], labels, GRAM_SLOTS)
+def _seed_tables(net: Network, texts: list[str], labels: np.ndarray, batch: int = 64) -> None:
+    """Start the first column of each table at the log odds of the labels of texts
+    that hold a slot, drawn to 0 where few do, so that training begins from what
+    words and stems say by themselves."""
+    held = {"word": np.zeros((2, WORD_SLOTS)), "gram": np.zeros((2, GRAM_SLOTS))}
+    for a in range(0, len(texts), batch):
+        distinct, rows, codes = _coded(texts[a : a + batch])
+        if not len(distinct):
+            continue
+        slot, grams, n = word_inputs(distinct)
+        pairs = np.unique(rows * len(distinct) + codes)
+        rows, codes = pairs // len(distinct), pairs % len(distinct)
+        n, first = n[codes], (np.cumsum(n) - n)[codes]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        for name, of, slots in (("word", rows, slot[codes]), ("gram", np.repeat(rows, n), grams[np.repeat(first, n) + step])):
+            size = held[name].shape[1]
+            pairs = np.unique(of * size + slots)
+            for label in (0, 1):
+                held[name][label] += np.bincount((pairs % size)[labels[a + pairs // size] == label], minlength=size)
+    for name, (zeros, ones) in held.items():
+        odds = np.log((ones + 1) / ((labels == 1).sum() + 2)) - np.log((zeros + 1) / ((labels == 0).sum() + 2))
+        net.p[name][:, 0] += (odds * (ones + zeros) / (ones + zeros + PRIOR_TEXTS)).astype(np.float32)
 
 
 def train(texts: list[str], labels: np.ndarray, rounds: int = 4, batch: int = 24, rate: float = 0.01, table_rate: float = 0.5, l2: float = 1e-4, seed: int = 7) -> Network:
@@ -331,7 +330,7 @@ def fit(
     if min(sum(r["label"] == kind for r in part) for part in (used, held) for kind in (0, 1)) < 20:  # few labels: all serve for both
         used = held = rows
     net = train([r["text"] for r in used], np.array([r["label"] for r in used], np.float32))
-    logits = np.concatenate([text_logits(net, [r["text"] for r in held[a : a + 64]]) for a in range(0, len(held), 64)])
+    logits = np.concatenate([text_logits(net, [r["text"] for r in held[a : a + 16]]) for a in range(0, len(held), 16)])
     calibrate(net, logits, np.array([r["label"] for r in held]))
     return net
 
