@@ -9,18 +9,20 @@ Two sets link when ``100 * intersection >= share * union``. What is compared:
    ``n - ceil(share * n) + 1`` of each, so nodes are grouped by these. The first
    shingle that two sets share bounds their overlap by what each has from there
    on; a pair counts only in groups where that is enough.
-3. Tiles. Members of a group are cut into size bands; only sets of one band or
-   of neighbouring ones can link. Parity bitmaps of hashed shingles bound the
-   overlap from above: differing bits are at most the symmetric difference. Who
-   passes is compared exactly, by intersection of sorted arrays. First, each node
-   is tried with one leader of its own and of the next band: the one with the
-   most left from the shingle on, which of many copies is the least changed.
-4. Components of the links found so far join nodes. Groups that still hold several
-   components are compared in full, in tiles of two blocks: nodes outside the
-   group's largest component against all of neighbouring bands. Links within
-   a component can't change the result, so every link between components is
-   found, while a group of thousands of near copies costs about one comparison
-   for each.
+3. Candidates. A group of at most SMALL members gives all its pairs that sizes
+   allow. In larger groups, members are cut into size bands (only sets of one
+   band or of neighbouring ones can link), and each node is first tried with a
+   leader of its own and of the next band: the one with the most left from the
+   shingle on, which of many copies is the least changed. Parity bitmaps of
+   hashed shingles bound the overlap of every pair from above: differing bits are
+   at most the symmetric difference. Who passes is compared exactly, by
+   intersection of sorted arrays; first each node with its closest candidate,
+   then whatever pairs still join two components.
+4. Tiles. Large groups that still hold several components are compared in full, in
+   tiles of two blocks of neighbouring size bands: nodes outside the group's
+   largest component against all, by bitmap and then exactly. Links within a
+   component can't change the result, so every link between components is found,
+   while a group of thousands of near copies costs about one comparison for each.
 
 A shingle that very many sets hold is spread over several buckets, and its parts
 meet through their least nodes; no task gathers all of such a group.
@@ -49,13 +51,18 @@ from relayspark.llm.common import materialize, shared_dir, slices, split_words,
 
 SHINGLE_WORDS, SHARE = 5, 75
 #: Cells of the table of counts (a byte each when sent to the tasks).
-CELLS = 1 << 20
+CELLS = 1 << 21
 #: Prefix shingles in a bucket, about.
 BUCKET_KEYS = 800_000
 #: Holders of a shingle from which it is spread over buckets, and how far above the mean count.
 HOT_HOLDERS, HOT_TIMES = 2048, 16
-#: Words (of 64 bits) of a bitmap.
-BITMAP_WORDS = 16
+#: Words (of 64 bits) of a bitmap at least and at most; between, it has a bit or
+#: more for each shingle, so that it bounds the overlap of long texts, too.
+BITMAP_WORDS, BITMAP_MOST = 16, 2048
+#: Members of a group whose pairs are all tried.
+SMALL = 12
+#: Partners of a node whose sets meet in one task.
+PARTNERS = 256
 #: Members of a group in one block when compared in full.
 BLOCK = 2048
 #: Ids that are sent to all tasks at most, to pick the texts that are compared.
@@ -105,7 +112,7 @@ def set_name(s: np.ndarray) -> bytes:
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64) % CELLS
+    return (h >> np.uint64(40)).astype(np.int64) % CELLS
 
 
 def _counts(texts: DataFrame) -> np.ndarray:
@@ -119,14 +126,14 @@ def _counts(texts: DataFrame) -> np.ndarray:
             for part in slices(batch, "text"):
                 total += np.bincount(_cells(shingles(part.column("text"))[0]), minlength=CELLS)
         if total.any():
-            blobs = [total[i * size : (i + 1) * size].astype("<i8").tobytes() for i in range(parts)]
+            blobs = [total[i * size : (i + 1) * size].astype("<i4").tobytes() for i in range(parts)]
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(parts), pa.int32()), "counts": pa.array(blobs, pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts")):
-                sums[part] = sums.get(part, 0) + np.frombuffer(blob.as_buffer(), "<i8")
+                sums[part] = sums.get(part, np.zeros(size, np.int64)) + np.frombuffer(blob.as_buffer(), "<i4")
         yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
 
     schema = "part int, counts binary"
@@ -137,6 +144,16 @@ def _counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _ranks(counts: np.ndarray) -> np.ndarray:
+    """Order of cells from rare to frequent, in a byte: steps of one standard
+    deviation of the cells' chance load, then eighths of a doubling. A shingle
+    stands out as soon as its own count does from that noise, so prefixes stay
+    rare however many shingles share the table."""
+    mean = counts.mean()
+    z = np.maximum((counts - mean) / np.sqrt(mean + 1), 0)
+    return np.minimum(np.where(z < 64, z, 64 + 8 * np.log2(np.maximum(z, 64) / 64)), 255).astype(np.uint8)
+
+
 def prefix(s: np.ndarray, ranks: np.ndarray, share: int) -> np.ndarray:
     """The first shingles of a set, rare cells first, that a linked set must meet."""
     n = len(s)
@@ -149,12 +166,14 @@ def _sets(sent, share: int):
         ranks = sent.value[0]
         for batch in batches:
             for part in slices(batch, "text"):
-                n, names, keys = [], [], []
+                n, names, keys, bits = [], [], [], []
                 for s in shingle_sets(part.column("text")):
                     n.append(len(s))
                     names.append(set_name(s) if len(s) else None)
                     keys.append(prefix(s, ranks, share).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(keys, pa.binary())], names=["id", "n", "name", "keys"])
+                    bits.append(bitmap(s).tobytes() if len(s) else None)
+                blobs = [pa.array(x, pa.binary()) for x in (names, keys, bits)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), *blobs], names=["id", "n", "name", "keys", "bits"])
 
     return sets
 
@@ -200,11 +219,24 @@ def _packed(kind: str, *columns: np.ndarray) -> Iterator[dict]:
         yield {"kind": kind, **{c: x[i : i + _FOUND_ROWS].astype("<i8").tobytes() for c, x in zip("abc", columns)}}
 
 
+def _all_pairs(count: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within the chosen ones of groups that lie end to end."""
+    begin = np.cumsum(count) - count
+    x, y = [], []
+    for n in np.unique(count[which]):
+        i, j = np.triu_indices(n, 1)
+        at = begin[which & (count == n)]
+        x.append((at[:, None] + i).ravel())
+        y.append((at[:, None] + j).ravel())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *x]), np.concatenate([none, *y])
+
+
 def _group_bucket(sent, share: int):
     def group(table: pa.Table) -> pa.Table:
-        """Groups of one bucket: their members (group, node, shingles left from
-        this one on), first pairs (two nodes, most overlap), and leaders of
-        spread groups."""
+        """Groups of one bucket: pairs to try (two nodes, most overlap); of large
+        groups, the members (group, node, shingles left from this one on);
+        leaders of spread groups."""
         salts = sent.value[1]
         keys, node, size, place = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in _DEALT.items())
         left = size - place
@@ -223,22 +255,27 @@ def _group_bucket(sent, share: int):
         name = np.where(hot, keys[begin], name).view(np.int64)
         rows, of = np.repeat(keep, count), np.repeat(np.arange(len(begin)), count)
         node, size, left, band, of = node[rows], size[rows], left[rows], band[rows], of[rows]
+        kept, hot = count[keep], hot[keep]
+        small = (kept <= SMALL) & ~hot
         out: list[dict] = []
         if len(node):
+            x, y = _all_pairs(kept, small)
+            large = ~np.repeat(small, kept)
             first = np.concatenate([[True], (of[1:] != of[:-1]) | (band[1:] != band[:-1])])
             starts, run = np.flatnonzero(first), np.cumsum(first) - 1
             after = np.append(starts[1:], 0)
             near = (of[after] == of[starts]) & (band[after] == band[starts] + 1)
-            x = np.concatenate([np.arange(len(node)), np.flatnonzero(near[run])])
-            y = np.concatenate([starts[run], after[run[near[run]]]])
+            next_to = np.flatnonzero(near[run] & large)
+            x = np.concatenate([x, np.flatnonzero(large), next_to])
+            y = np.concatenate([y, starts[run[large]], after[run[next_to]]])
             most = np.minimum(left[x], left[y])
             fits = (x != y) & (100 * most >= share * (size[x] + size[y] - most))
             x, y, most = x[fits], y[fits], most[fits]
             pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), -most], 1), axis=0)
             once = np.ones(len(pairs), bool)
             once[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(1)
-            out += [*_packed("pair", *pairs[once].T), *_packed("member", name[of], node, left)]
-            lead = hot[of] & first
+            out += [*_packed("pair", *pairs[once].T), *_packed("member", name[of][large], node[large], left[large])]
+            lead = np.repeat(hot, kept) & first
             out += _packed("leader", name[of][lead], node[lead], left[lead])
         return pa.Table.from_pylist(out, schema=pa.schema([("kind", pa.string()), *((c, pa.binary()) for c in "abc")]))
 
@@ -253,24 +290,27 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmap(s: np.ndarray) -> np.ndarray:
     """Parity of the number of shingles at each hashed bit."""
-    bits = np.bincount((s & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    words = BITMAP_WORDS
+    while 64 * words < len(s) and words < BITMAP_MOST:
+        words *= 2
+    bits = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the texts that carry the set name they were picked for."""
-    for batch in batches:
-        for part in slices(batch, "text"):
-            sets = list(shingle_sets(part.column("text")))
-            at = [i for i, (s, name) in enumerate(zip(sets, part.column("name").to_pylist())) if len(s) and set_name(s) == name]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "node": part.column("node").take(pa.array(at, pa.int64())),
-                    "n": pa.array([len(sets[i]) for i in at], pa.int64()),
-                    "bits": pa.array([bitmap(sets[i]).tobytes() for i in at], pa.binary()),
-                    "set": pa.array([sets[i].tobytes() for i in at], pa.binary()),
-                }
-            )
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each) of fewer words: a set's parities at the lower bits."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def _differing(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Differing bits of pairs of bitmaps, in the smaller one's size."""
+    out = np.zeros(len(a), np.int64)
+    size = np.array([(len(x) // 8, len(y) // 8) for x, y in zip(a, b)]).reshape(-1, 2)
+    for p, q in np.unique(size, axis=0):
+        at = np.flatnonzero((size[:, 0] == p) & (size[:, 1] == q))
+        x, y = (folded(np.frombuffer(b"".join(side[i] for i in at), np.uint64).reshape(len(at), -1), min(p, q)) for side in (a, b))
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
 
 
 def may_link(n: np.ndarray, m: np.ndarray, differing: np.ndarray, share: int, most: np.ndarray) -> np.ndarray:
@@ -285,38 +325,75 @@ def _bounded(share: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS) for c in ("a_bits", "b_bits")]
-            differing = np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int64)
-            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a_n", "b_n"))
-            yield batch.select(["a", "b"]).filter(pa.array(may_link(n, m, differing, share, batch.column("most").to_numpy(zero_copy_only=False))))
+            differing = _differing(batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist())
+            n, m, most = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a_n", "b_n", "most"))
+            fits = pa.array(may_link(n, m, differing, share, most))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differing)], names=["a", "b", "differing"]).filter(fits)
 
     return bound
 
 
-def _exact(share: int):
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("a_set").to_pylist(), batch.column("b_set").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= share * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+def _close(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
+    """(a, b, differing) of the pairs (a, b, most) that bitmaps allow."""
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits")), side)
+    return pairs.mapInArrow(_bounded(share), "a long, b long, differing long")
 
-    return exact
 
+_MEET = "a long, salt int, lead boolean, node long, shingles binary"
 
-def _beside(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
-    return pairs
+
+def _met_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the texts that carry the set name they were picked for."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets = list(shingle_sets(part.column("text")))
+            at = [i for i, (s, name) in enumerate(zip(sets, part.column("name").to_pylist())) if len(s) and set_name(s) == name]
+            held = part.select(["a", "salt", "lead", "node"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["a", "salt", "lead", "node", "shingles"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int, bounded: bool = False) -> DataFrame:
-    """Pairs (a, b) that link: by bitmap, then by exact intersection."""
-    if not bounded:
-        pairs = _beside(pairs, sets, ["n", "bits"]).mapInArrow(_bounded(share), "a long, b long")
-    return _beside(pairs, sets, ["set"]).mapInArrow(_exact(share), "a long, b long")
+def _intersect(share: int):
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted rows, each set's exact overlap with the lead set before it."""
+        lead, held = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("a", "salt", "lead", "node", "shingles")]
+            for a, salt, is_lead, node, blob in zip(*columns):
+                s = np.frombuffer(blob, np.uint64)
+                if is_lead:
+                    lead, held = (a, salt), s
+                elif lead == (a, salt):
+                    both = len(np.intersect1d(held, s, assume_unique=True))
+                    if 100 * both >= share * (len(held) + len(s) - both):
+                        found.append((a, node))
+            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return intersect
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
+    """Those of the pairs (a, b) that link, by exact intersection of sorted arrays.
+
+    The sets of a node's partners meet its own in one task; a node of many
+    partners meets them in several. Only texts of the pairs are read into sets.
+    """
+    pairs = materialize(pairs.select("a", "b").distinct())
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"))
+    partners = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"))
+    wanted = materialize(leads.union(partners).join(nodes.select("node", "name", F.col("least").alias("id")), "node").where("id is not null"))
+    picked = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "id").select("a", "salt", "lead", "node", "name", "text")
+    met = picked.mapInArrow(_met_sets, _MEET).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
+    return materialize(met.mapInArrow(_intersect(share), "a long, b long").distinct())
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose nodes are in two components."""
+    for side in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side, "left")
+    return pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -361,12 +438,14 @@ def _compare_tiles(share: int):
         for table in _runs(batches, _TILE):
             node, label, n, left = (table.column(c).to_numpy() for c in ("node", "label", "n", "left"))
             outer = table.column("outer").to_numpy(zero_copy_only=False)
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+            blobs = table.column("bits").to_pylist()
+            words = min(map(len, blobs)) // 8
+            bits = np.concatenate([folded(np.frombuffer(x, np.uint64)[None], words) for x in blobs])
             one, other = np.flatnonzero(outer), np.flatnonzero(~outer)
             for begin in range(0, len(one), 32):
                 i = one[begin : begin + 32]
                 differing = np.zeros((len(i), len(other)), np.int64)
-                for w in range(BITMAP_WORDS):
+                for w in range(words):
                     differing += np.bitwise_count(bits[i, w][:, None] ^ bits[other, w][None, :])
                 most = np.minimum(left[i][:, None], left[other][None, :])
                 fits = (label[i][:, None] != label[other][None, :]) & may_link(n[i][:, None], n[other][None, :], differing, share, most)
@@ -380,12 +459,12 @@ def _compare_tiles(share: int):
 _TILE = ["name", "outer_band", "outer_block", "band", "block"]
 
 
-def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
     """Pairs left to compare: members of one group, of several components."""
     labelled = members.join(labels, "node", "left").select("name", "node", "left", F.coalesce("label", "node").alias("label"))
     several = labelled.groupBy("name").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("name")
     rows = labelled.join(several, "name").groupBy("name", "node").agg(F.max("left").alias("left"), F.first("label").alias("label"))
-    rows = materialize(rows.join(sets.select("node", "n", "bits"), "node").withColumn("band", F.floor(F.ln("n") / float(np.log(100 / share)) + 1e-9).cast("int")))
+    rows = materialize(rows.join(nodes.select("node", "n", "bits"), "node").withColumn("band", F.floor(F.ln("n") / float(np.log(100 / share)) + 1e-9).cast("int")))
     largest = rows.groupBy("name", "label").agg(F.count("*").alias("k")).groupBy("name").agg(F.max_by("label", F.struct("k", "label")).alias("largest"))
     sized = rows.join(largest, "name").groupBy("name", "largest", "band").agg(F.count("*").alias("k"), F.count_if(F.col("label") != F.col("largest")).alias("k_outer"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -426,15 +505,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = texts.schema["id"].dataType.simpleString()
 
     counts = _counts(texts)
-    ranks = np.log2(counts + 1).astype(np.uint8)
+    ranks = _ranks(counts)
     salts = np.log2(np.maximum(counts / max(HOT_HOLDERS, HOT_TIMES * counts.mean()), 1)).astype(np.uint8)
     sent = spark.sparkContext.broadcast((ranks, salts))
 
-    rows = _written(spark, texts.mapInArrow(_sets(sent, share), f"id {kind}, n long, name binary, keys binary"), "shingle-sets")
-    classes = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"))
-    nodes = _written(spark, classes.select(F.monotonically_increasing_id().alias("node"), "name", "least", "n"), "shingle-classes")
+    rows = _written(spark, texts.mapInArrow(_sets(sent, share), f"id {kind}, n long, name binary, keys binary, bits binary"), "shingle-sets")
+    classes = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    nodes = _written(spark, classes.select(F.monotonically_increasing_id().alias("node"), "name", "least", "n", "bits"), "shingle-classes")
 
-    keys = rows.where("name is not null").groupBy("name").agg(F.first("keys").alias("keys")).join(nodes, "name")
+    keys = rows.where("name is not null").groupBy("name").agg(F.first("keys").alias("keys")).join(nodes.drop("bits"), "name")
     total = rows.agg(F.sum(F.floor(F.octet_length("keys") / 8))).first()[0] or 0
     buckets = int(total // BUCKET_KEYS) + 1
     dealt = keys.select("node", "n", "keys").mapInArrow(_to_buckets(sent, buckets), "bucket int, keys binary, nodes binary, sizes binary, places binary")
@@ -446,17 +525,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = leaders.join(lead, "name").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), F.col("left").alias("most"))
     pairs = unpacked("pair").select("a", "b", (-F.col("c")).alias("most")).union(across).groupBy("a", "b").agg(F.max("most").alias("most"))
 
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", "name", F.col("least").alias("id")).where("id is not null")
-    wanted = materialize(wanted)
-    few = wanted.count() <= SENT_IDS
-    picked = texts.join(F.broadcast(wanted) if few else wanted, "id").select("node", "name", "text")
-    sets = _written(spark, picked.mapInArrow(_named_sets, "node long, n long, bits binary, set binary").dropDuplicates(["node"]), "shingle-arrays")
-
-    links = materialize(_verified(pairs, sets, share))
+    close = materialize(_close(pairs, nodes, share))
+    both = close.union(close.select("b", "a", "differing")).toDF("node", "partner", "differing")
+    closest = both.groupBy("node").agg(F.min_by("partner", F.struct("differing", "partner")).alias("partner"))
+    links = _linked(closest.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")), nodes, texts, share)
     labels = components(links)
-    more = materialize(_verified(_rest(members, labels, sets, share), sets, share, bounded=True))
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    for more in (lambda: _apart(close, labels), lambda: _rest(members, labels, nodes, share)):
+        found_links = _linked(more(), nodes, texts, share)
+        if found_links.limit(1).count():
+            links = materialize(links.union(found_links))
+            labels = components(links)
 
     joined = nodes.join(labels, "node", "left").select("name", "least", F.coalesce("label", "node").alias("label"))
     named = joined.join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("name", "component_id")
