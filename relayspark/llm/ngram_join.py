@@ -530,11 +530,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     closest = both.groupBy("node").agg(F.min_by("partner", F.struct("differing", "partner")).alias("partner"))
     links = _linked(closest.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")), nodes, texts, share)
     labels = components(links)
-    for more in (lambda: _apart(close, labels), lambda: _rest(members, labels, nodes, share)):
-        found_links = _linked(more(), nodes, texts, share)
-        if found_links.limit(1).count():
-            links = materialize(links.union(found_links))
-            labels = components(links)
+    # What both rounds find is put together once: few jobs, little for the driver to keep.
+    apart = _apart(close, labels).union(_rest(members, labels, nodes, share))
+    more = _linked(apart, nodes, texts, share)
+    if more.limit(1).count():
+        labels = components(links.union(more))
 
     joined = nodes.join(labels, "node", "left").select("name", "least", F.coalesce("label", "node").alias("label"))
     named = joined.join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("name", "component_id")
