@@ -3,7 +3,7 @@
 Runs each query at $BENCH_SF_DIR (default /root/testdata/sf0.1) on
 local[$BENCH_CPUS] (default 8). Every query is executed in full through the
 ``noop`` sink (no collect to the driver). Each query runs once on sf0.001 to
-warm the JVM, then three times at the target scale; the fastest run is
+warm the JVM, then twice at the target scale; the fastest run is
 reported (single runs of ~1 s vary by tens of percent on a shared host). A few
 queries also run over COPIES times the events, in many files, where fixed job
 cost no longer hides the cost of a row. Prints one JSON line.
@@ -50,7 +50,7 @@ HEADLINE = [
     "stream_windowed_throughput",  # M-09 streamed, update mode + watermark
 ]
 
-COPIES = 40
+COPIES = 20
 LARGE = ["fan_header_metrics", "fan_payload_forms", "egress_payload_route", "priority_tag", "one_to_one_route", "metrics_report", "bounded_read", "stream_fan_drain"]
 
 
@@ -86,9 +86,9 @@ def main() -> None:
     for name in HEADLINE:
         if os.path.isdir(warm_dir):
             run(spark, name, warm_dir)
-        times[name] = round(min(run(spark, name, sf_dir) for _ in range(3)), 3)
+        times[name] = round(min(run(spark, name, sf_dir) for _ in range(2)), 3)
     n_large = write_large(spark, sf_dir, f"{folder}/large")
-    large = {name: round(min(run(spark, name, f"{folder}/large") for _ in range(2)), 3) for name in LARGE}
+    large = {name: round(min(run(spark, name, f"{folder}/large") for _ in range(1)), 3) for name in LARGE}
     rows = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("events", "documents", "conversations")}
     events, docs = rows["events"], rows["documents"]
     # Input rows each query reads.
