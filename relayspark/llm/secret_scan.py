@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and credentials whose parts stand apart.
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern.
-Beside them, weak candidates (short access identifiers, bare 40-character
-secrets, service endpoints) are linked by an interval join: each candidate opens
+Beside them, weak candidates (access identifiers that are short or of other
+prefixes, bare 40-character secrets, service endpoints) are linked by an interval join: each candidate opens
 the interval of its scope around it, and is reported only if the parts that
 complete it lie in that interval. A sorted sweep over a text's parts finds, for
 each part, the nearest part of each other sort on either side; work is linear in
@@ -37,8 +37,8 @@ _SCAN = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 
 #: Parts that count only together: kind, pattern, sort of part, sorts it needs.
 WEAK_KINDS = [
-    ("weak_access", r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA|AGPA)[A-Z0-9]{8,15}(?![A-Za-z0-9])", "access", ["secret"]),
-    ("weak_secret", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", "secret", ["access"]),
+    ("weak_access", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,15}|(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{8,})(?![A-Za-z0-9])", "access", ["secret"]),
+    ("weak_secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", "secret", ["access"]),
     ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?", "endpoint", ["access", "secret"]),
 ]
 

@@ -244,6 +244,28 @@ def test_secrets_equal_brute_force_and_need_complements(documents, none):
     assert scan_secrets(none).collect() == []
 
 
+def test_pairs_of_credentials_without_spaces(documents):
+    """KEY=secret, and full-length ids of other prefixes than AKIA."""
+    session = "ASIAIOSFODNN7EXAMPLE"
+    texts = [
+        (1, f"AWS_ACCESS_KEY_ID={AKIA}\nAWS_SECRET_ACCESS_KEY={SECRET}\n"),
+        (2, f"{session} {SECRET}"),
+        (3, f"AWS_ACCESS_KEY_ID={session}\nAWS_SECRET_ACCESS_KEY={SECRET}\nhttps://sts.example.com"),
+        (4, f"x={SECRET} alone, id {session[:11]}"),
+        (5, f"{session} alone"),
+        (6, f"{AKIA} and x={SECRET}= with padding"),
+    ]
+    got = {r["doc_id"]: [(s["kind"], t[s["start"] : s["end"]]) for s in r["spans"]] for r in scan_secrets(documents(texts)).collect() for t in [dict(texts)[r["doc_id"]]]}
+    assert got == {
+        1: [("access", AKIA), ("weak_secret", SECRET)],
+        2: [("weak_access", session), ("weak_secret", SECRET)],
+        3: [("weak_access", session), ("weak_secret", SECRET), ("endpoint", "https://sts.example.com")],
+        4: [],
+        5: [],
+        6: [("access", AKIA)],
+    }
+
+
 def test_native_operators_run_no_python(spark):
     stored = [scan_secrets(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))]
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
