@@ -6,17 +6,19 @@ keeps goes on whole; all stages but the last return the columns of documents.
 
 1. toxicity: documents that the classifier rejects go; it learns from the labels
    of the rows given (of their crc32 folds 0 and 2).
-2. near_duplicates: of each component of documents that link (five-word shingles,
-   similarity of 0.75 or more), the one with the smallest id stays; of equal
-   rows of one id, one stays. Documents without words have empty sets and stay.
-3. decontamination: documents that the benchmark contaminates go.
+2. near_duplicates: of each component of rows that link (five-word shingles,
+   similarity of 0.75 or more), one row stays: that of the smallest id (rows
+   without an id come last), then of the least hash of its text. Rows without
+   words have empty sets and stay; of equal rows of one id, one.
+3. decontamination: rows whose text the benchmark contaminates go.
 4. secrets: spans of secrets are replaced by a mark, and n_chars is counted anew;
    no document goes.
 5. pieces: each document's SentencePiece ids.
 
 Defined results: null texts pass stages 1 to 4 as they are and have no ids; empty
-tables give empty results; additional columns go through stages 1 to 4; a
-document without an id can't be named by stages 2 and 3, and stays.
+tables give empty results; additional columns go through stages 1 to 4;
+rows are judged by id and text, so that rows of one id with other texts and rows
+without an id have verdicts of their own.
 """
 
 from __future__ import annotations
@@ -43,22 +45,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows but those whose id and text are among (doc_id, text_hash)."""
+    named = gone.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text")).distinct()
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_text")), "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     found = jaccard_components(docs.select("doc_id", "text"))
-    # A row stays if it names its component; without an id it can't, and stays.
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    # The first row of a component is named by id and hash; others go.
+    kept = _without(docs, found.where("not (component_id <=> doc_id and component_hash = text_hash)"))
     once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
     copies = kept.select(*docs.columns, F.row_number().over(once).alias("own_copy_number"))
-    return copies.where("own_copy_number = 1 or doc_id is null").select(docs.columns)
+    # Without an id and words nothing says that rows are copies.
+    wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    return copies.where((F.col("own_copy_number") == 1) | wordless).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     found = find_benchmark(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, found.where("contaminated")).select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -306,7 +306,7 @@ def _merged(spans_col: str):
 def find_benchmark(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items (ids, in order), spans
+    """Per document: id, text_hash (xxhash64), n_words, n_hit, n_items, items (ids, in order), spans
     (of words to remove: start, end exclusive), contaminated (n_hit > 0 and
     20 * n_hit >= n_words)."""
     spark = docs.sparkSession
@@ -329,5 +329,5 @@ def find_benchmark(
         )
         found = found.withColumn("copy", F.explode("copies")).drop("copy", "copies")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    found = found.select("id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), "spans")
+    found = found.select("id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), "spans")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)

@@ -173,7 +173,7 @@ def _sets(sent, share: int):
                     keys.append(prefix(s, ranks, share).tobytes() if len(s) else None)
                     bits.append(bitmap(s).tobytes() if len(s) else None)
                 blobs = [pa.array(x, pa.binary()) for x in (names, keys, bits)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), *blobs], names=["id", "n", "name", "keys", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(n, pa.int64()), *blobs], names=["id", "text_hash", "n", "name", "keys", "bits"])
 
     return sets
 
@@ -383,7 +383,7 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) ->
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"))
     partners = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"))
-    wanted = materialize(leads.union(partners).join(nodes.select("node", "name", F.col("least").alias("id")), "node").where("id is not null"))
+    wanted = materialize(leads.union(partners).join(nodes.select("node", "name", F.col("least.id").alias("id")), "node").where("id is not null"))
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "id").select("a", "salt", "lead", "node", "name", "text")
     met = picked.mapInArrow(_met_sets, _MEET).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
     return materialize(met.mapInArrow(_intersect(share), "a long, b long").distinct())
@@ -498,19 +498,22 @@ def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
-    """(id, n_shingles, component_id) for each row: the set's size and the
-    smallest id that links reach, the row's own included."""
+    """(id, n_shingles, component_id, text_hash, component_hash) for each row: the
+    set's size and the smallest id that links reach, the row's own included; the
+    hash (xxhash64) of its text and that of the component's first row by id (rows
+    without an id last) and hash, whose id is component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
 
     counts = _counts(texts)
     ranks = _ranks(counts)
     salts = np.log2(np.maximum(counts / max(HOT_HOLDERS, HOT_TIMES * counts.mean()), 1)).astype(np.uint8)
     sent = spark.sparkContext.broadcast((ranks, salts))
 
-    rows = _written(spark, texts.mapInArrow(_sets(sent, share), f"id {kind}, n long, name binary, keys binary, bits binary"), "shingle-sets")
-    classes = rows.where("name is not null").groupBy("name").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    rows = _written(spark, hashed.mapInArrow(_sets(sent, share), f"id {kind}, text_hash long, n long, name binary, keys binary, bits binary"), "shingle-sets")
+    classes = rows.where("name is not null").groupBy("name").agg(F.min(F.struct(F.isnull("id").alias("unnamed"), "id", "text_hash")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     nodes = _written(spark, classes.select(F.monotonically_increasing_id().alias("node"), "name", "least", "n", "bits"), "shingle-classes")
 
     keys = rows.where("name is not null").groupBy("name").agg(F.first("keys").alias("keys")).join(nodes.drop("bits"), "name")
@@ -537,7 +540,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = components(links.union(more))
 
     joined = nodes.join(labels, "node", "left").select("name", "least", F.coalesce("label", "node").alias("label"))
-    named = joined.join(joined.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("name", "component_id")
+    named = joined.join(joined.groupBy("label").agg(F.min("least").alias("first")), "label").select("name", "first")
+    own = F.col("first").isNull()
     return rows.join(named, "name", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(own, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+        "text_hash",
+        F.when(own, F.col("text_hash")).otherwise(F.col("first.text_hash")).alias("component_hash"),
     )

@@ -47,7 +47,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @register()

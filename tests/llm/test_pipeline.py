@@ -59,6 +59,24 @@ def test_stages(spark, tmp_path):
     assert set(sizes["pieces"]) == set(sizes["secrets"]) and {9001, 9002, 9003} <= {i for i in sizes["pieces"] if i is not None}
 
 
+def test_rows_of_one_id_and_rows_without_an_id_have_their_own_verdicts(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda n=60: [rng.choice("abcdefgh") + str(rng.randrange(999)) for _ in range(n)]
+    near = lambda words: " ".join([*words[:50], "changed", *words[51:]])
+    a, b, c, d, item = text(), text(), text(), text(), text(20)
+    full = {k: " ".join(v) for k, v in zip("abcd", (a, b, c, d))}
+    dirty = " ".join(text(20) + item)
+    spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1, 0.5, 1, "x", 2, 3) for i, t in rows], DOCS)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    rows = [(1, full["a"]), (3, near(a)), (3, full["b"]), (7, near(b)), (3, full["c"]), (9, near(c)), (None, full["d"]), (None, full["d"]), (5, full["d"]), (None, None), (None, None), (None, " "), (None, " ")]
+    kept = left(corpus_pipeline.near_duplicates(spark, table(rows), str(tmp_path)))
+    assert kept == sorted([(1, full["a"]), (3, full["b"]), (3, full["c"]), (5, full["d"]), (None, None), (None, None), (None, " "), (None, " ")], key=str)
+    rows = [(4, full["a"]), (4, dirty), (None, dirty), (None, full["b"]), (6, None), (None, None)]
+    kept = left(corpus_pipeline.decontamination(spark, table(rows), str(tmp_path)))
+    assert kept == sorted([(4, full["a"]), (None, full["b"]), (6, None), (None, None)], key=str)
+
+
 def test_stages_of_an_empty_table(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
