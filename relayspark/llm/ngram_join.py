@@ -32,8 +32,8 @@ shingle); nothing else is approximate.
 
 Defined results: null texts, empty texts and texts without words have an empty
 set, link with nothing and are their own component; equal rows share a component;
-rows of one id but other texts are compared each; a row without an id links
-with equal rows only, and a component without any id has a null name.
+rows of one id but other texts are compared each, and rows without an id like all
+others; a component without any id has a null name.
 """
 
 from __future__ import annotations
@@ -383,8 +383,10 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) ->
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"))
     partners = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"))
-    wanted = materialize(leads.union(partners).join(nodes.select("node", "name", F.col("least.id").alias("id")), "node").where("id is not null"))
-    picked = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "id").select("a", "salt", "lead", "node", "name", "text")
+    first = nodes.select("node", "name", F.col("least.id").alias("of_id"), F.col("least.text_hash").alias("of_text"))
+    wanted = materialize(leads.union(partners).join(first, "node"))
+    named = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
+    picked = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, named).select("a", "salt", "lead", "node", "name", "text")
     met = picked.mapInArrow(_met_sets, _MEET).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
     return materialize(met.mapInArrow(_intersect(share), "a long, b long").distinct())
 
@@ -531,11 +533,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     close = materialize(_close(pairs, nodes, share))
     both = close.union(close.select("b", "a", "differing")).toDF("node", "partner", "differing")
     closest = both.groupBy("node").agg(F.min_by("partner", F.struct("differing", "partner")).alias("partner"))
-    links = _linked(closest.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")), nodes, texts, share)
+    links = _linked(closest.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")), nodes, hashed, share)
     labels = components(links)
     # What both rounds find is put together once: few jobs, little for the driver to keep.
     apart = _apart(close, labels).union(_rest(members, labels, nodes, share))
-    more = _linked(apart, nodes, texts, share)
+    more = _linked(apart, nodes, hashed, share)
     if more.limit(1).count():
         labels = components(links.union(more))
 

@@ -47,6 +47,17 @@ def test_components_equal_brute_force(documents):
     assert found(jaccard_components(documents(docs))) == brute.jaccard(docs)
 
 
+def test_rows_without_an_id_link_like_all_others(documents):
+    """A chain of near copies of which all but the ends have no id."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*(f"x{j}" for j in range(k)), *words[k:]]) for k in range(0, 21, 2)]
+    rows = [(9 if k == 0 else 4 if k == len(texts) - 1 else None, t) for k, t in enumerate(texts)]
+    got = jaccard_components(documents(rows + [rows[1], (None, "another text of no id at all")])).collect()
+    want = {i: c for i, (_, c) in brute.jaccard(list(enumerate(texts))).items()}
+    assert set(want.values()) == {0} and brute.jaccard([(0, texts[0]), (1, texts[-1])])[1][1] == 1
+    assert sorted(str(r["component_id"]) for r in got) == ["4"] * 12 + ["None"]
+
+
 def test_components_in_spread_groups_and_small_tiles(documents, monkeypatch):
     """Every shingle counts as hot and every block is tiny: same result."""
     for name, value in (("HOT_HOLDERS", 2), ("HOT_TIMES", 0), ("BLOCK", 3), ("BUCKET_KEYS", 300), ("SENT_IDS", 0), ("SMALL", 2), ("PARTNERS", 2)):
