@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relayspark.llm import language, toxicity
 from relayspark.llm.common import fold, read
 from relayspark.llm.decontaminate import find_benchmark
+from relayspark.llm.filter_audit import audit_filters
 from relayspark.llm.lm_score import lm_scores
 from relayspark.llm.ngram_join import jaccard_components
 from relayspark.llm.pieces import decode_pieces, encode_pieces
@@ -139,3 +140,32 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("piece_ids").alias("ids_hash"),
         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"),
     )
+
+
+@register(
+    r"""
+    WITH one AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 CASE WHEN len(w) < 200 THEN 1 ELSE 0 END AS a,
+                 CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 1 ELSE 0 END AS b,
+                 CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 1 ELSE 0 END AS c,
+                 CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 1 ELSE 0 END AS d,
+                 CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 1 ELSE 0 END AS e
+          FROM d LEFT JOIN one USING (doc_id)),
+    f AS (SELECT part, [a, b, c, d, e] AS v, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+    l(x) AS (VALUES (1), (2), (3), (4), (5)),
+    o AS (SELECT [p.x, q.x, r.x, s.x, u.x] AS ord FROM l p, l q, l r, l s, l u WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+    steps AS (SELECT array_to_string(list_transform(ord, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, x AS step, ord[x] AS own, ord[1:x - 1] AS before FROM o, l),
+    j AS (SELECT part, filter_order, step, v[own] = 1 AS fails, len(list_filter(before, lambda i: v[i] = 1)) > 0 AS gone, list_sum(v) = 1 AS alone, n, good, toxic, own FROM f, steps),
+    r AS (SELECT part, filter_order, step, any_value(own) AS own, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept,
+                 CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+                 CAST(coalesce(sum(n) FILTER (fails AND alone), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost,
+                 CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+          FROM j GROUP BY part, filter_order, step)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+    """
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
