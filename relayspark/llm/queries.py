@@ -14,6 +14,7 @@ from relayspark.llm.filter_audit import audit_filters
 from relayspark.llm.lm_score import lm_scores
 from relayspark.llm.ngram_join import jaccard_components
 from relayspark.llm.pieces import decode_pieces, encode_pieces
+from relayspark.llm.prefix_trie import rebuilt_paths, trie_nodes, turn_paths
 from relayspark.llm.secret_scan import BASE_KINDS, base_digest, scan_secrets
 from relayspark.llm.token_files import token_table
 from relayspark.llm.topk import top_k
@@ -169,3 +170,28 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@register(
+    r"""
+    WITH t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS w
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    h AS (SELECT conv_id, w, conv_id - conv_id % 5 AS base,
+                 xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+                     lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)::UBIGINT[]),
+                     lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)), 4294967295::UBIGINT) % 9 AS h FROM t),
+    s AS (SELECT h.conv_id, list_concat(coalesce(b.w[1:h], []), h.w[h + 1:]) AS s FROM h LEFT JOIN t b ON b.conv_id = h.base),
+    m AS (SELECT conv_id, d, sha256(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN sha256(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS pk,
+                 CASE WHEN d > 0 THEN strlen(s[d].x) ELSE 0 END AS size, d = len(s) AS fin FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM s)),
+    n AS (SELECT k, any_value(d) AS depth, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+                 sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (fin), '')) AS ends_sha256 FROM m GROUP BY k),
+    c AS (SELECT pk AS k, count(*) AS n_children FROM n WHERE pk IS NOT NULL GROUP BY pk),
+    a AS (SELECT m.k, sum((n.n_convs - 1) * n.size) AS saved_tokens, count(*) FILTER (c.k IS NULL) AS n_leaves
+          FROM n LEFT JOIN c ON c.k = n.k JOIN m ON m.conv_id = n.conv_id AND m.d <= n.depth GROUP BY m.k)
+    SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, a.n_leaves,
+           CAST(a.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+    FROM n JOIN a USING (k) LEFT JOIN c USING (k) LEFT JOIN n p ON p.k = n.pk
+    """
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_nodes(rebuilt_paths(turn_paths(read(spark, sf_dir, "conversations"))))
