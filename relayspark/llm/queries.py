@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relayspark.llm import language, toxicity
 from relayspark.llm.common import fold, read
 from relayspark.llm.decontaminate import find_benchmark
+from relayspark.llm.disclosure import KINDS, find_personal_data
 from relayspark.llm.filter_audit import audit_filters
 from relayspark.llm.lm_score import lm_scores
 from relayspark.llm.ngram_join import jaccard_components
@@ -195,3 +196,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_nodes(rebuilt_paths(turn_paths(read(spark, sf_dir, "conversations"))))
+
+
+@register()
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = base_digest(F.col("spans"), KINDS)
+    return find_personal_data(read(spark, sf_dir, "documents")).select(
+        "doc_id", *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), base_digest(F.col("spans")).alias("spans")
+    )
