@@ -3,24 +3,25 @@
 Protected entities are the base matches: addresses of mail and machines, card and
 telephone numbers. Removing them isn't enough where other terms of the corpus tell
 which entity is meant. How strongly a term t reveals an entity c is estimated from
-the segments of the whole corpus (sentences, of SEGMENT_WORDS words at most; equal
-segments count once, so copies prove nothing):
+co-occurrence in all rows of the corpus:
 
     disclosure(t, c) = PMI(t; c) - IC(g(c)) = log2(n(t, c) n(g) / (n(t) n(c)))
 
 g(c) is what may be known of c: its closest generalisation (domain, top level; the
 first parts of an address; the first digits) that holds at least GROUP entities of
-the corpus, or else its kind. n counts segments; the size of the corpus cancels. A
-term whose disclosure is EXCESS_BITS or more, over SUPPORT segments in common with
-the entity, is generalised (digits masked, or cut to its first letters) where that
-form stays below the threshold, and removed where it doesn't. Entities themselves
-are replaced by g(c).
-
-The corpus is read twice. The first pass finds entities and the terms of their
-segments, which are counted per entity and term. n(t) is at least the number of
-entities' segments that hold t, so common words drop out before the second pass,
-which counts the remaining candidates in all texts (a bitmap of BITS bits of their
-hashes, an exact join behind it). No count is sampled, no group is held in one task.
+the corpus, or else its kind. n counts rows (of t and c: with both in one segment, a
+sentence, cut after SEGMENT_WORDS words); the size of the corpus cancels. A term
+whose disclosure is EXCESS_BITS or more is generalised (digits masked, or cut to its
+first letters) where that form stays below the threshold, and removed where it
+doesn't. It must share SUPPORT different segments with the entity, so copies of one
+sentence prove nothing. Entities themselves are replaced by g(c).
+
+The first pass finds entities and the terms of their segments, which are counted per
+entity and term. n(t) is at least the number of rows with t beside any entity, which
+most words fail already; a second pass counts what is left in all texts (found by a
+bitmap of BITS bits of hashes, counted by term), a third finds the places of the
+disclosing terms. No count is sampled, no group is held in one task, and the passes
+send counts and matches only, never texts.
 
 Terms are words without outer punctuation, letters A-Z lower-cased, of TERM_CHARS
 characters or more; words that overlap a base match aren't terms.
@@ -34,12 +35,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +55,7 @@ TERM = "term"
 
 #: Words of a segment at most; characters of a term at least.
 SEGMENT_WORDS, TERM_CHARS = 64, 3
-#: Segments that a term and an entity must share, entities of a generalisation.
+#: Different segments a term and an entity must share, entities of a generalisation.
 SUPPORT, GROUP = 3, 5
 #: Bits beyond its generalisation that a term may not tell of an entity.
 EXCESS_BITS = 1.0
@@ -165,17 +168,18 @@ class _Words:
         return _segment_hash(self.words[begin:end]), sorted(terms - {None})
 
 
-_SPAN = "id {id}, text_hash long, kind string, start long, end long"
-_MENTION = _SPAN + ", entity string, levels array<string>, segment long, terms array<string>"
+_MENTION = "row long, id {id}, text_hash long, kind string, start long, end long, entity string, levels array<string>, segment long, terms array<string>"
 
 
 def _mentions(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each base match, with the terms of its segment."""
+    """One row for each base match, with its document's number and the terms of
+    its segment."""
     strings = pa.list_(pa.string())
-    types = [kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), strings, pa.int64(), strings]
-    names = ["id", "text_hash", "kind", "start", "end", "entity", "levels", "segment", "terms"]
+    types = [pa.int64(), kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), strings, pa.int64(), strings]
+    names = ["row", "id", "text_hash", "kind", "start", "end", "entity", "levels", "segment", "terms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows, held = [], 0
@@ -184,12 +188,13 @@ def _mentions(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     matches = base_matches(text)
                     if not matches:
                         continue
+                    row += 1
                     words, known = _Words(text, matches), {}
                     for name, start, end, entity in matches:
                         number = words.segment_at(start)
                         if number not in known:
                             known[number] = words.segment_terms(number)
-                        rows.append((key.as_py(), hashed.as_py(), name, start, end, entity, generalisations(name, entity), *known[number]))
+                        rows.append((row, key.as_py(), hashed.as_py(), name, start, end, entity, generalisations(name, entity), *known[number]))
                         held += 1 + len(known[number][1])
                     if held > 200_000:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
@@ -200,36 +205,57 @@ def _mentions(kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _hits(kind: pa.DataType, bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _held(batch: pa.RecordBatch, bitmap) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(terms, term, row): each row's distinct terms among those in the bitmap."""
+    words, row = split_words(batch.column("text"))
+    if len(words) == 0:
+        return [], row, row
+    distinct, codes = word_codes(words)
+    terms = pc.ascii_lower(pc.ascii_trim(distinct, characters=_OUTER)).to_pylist()
+    wanted = bitmap.value[_term_bits(terms)]
+    place: dict[str, int] = {}
+    number = np.array([place.setdefault(t, len(place)) if w else -1 for t, w in zip(terms, wanted.tolist())], np.int64)[codes]
+    some = number >= 0
+    pairs = np.unique(row[some] * max(len(place), 1) + number[some])
+    return list(place), pairs % max(len(place), 1), pairs // max(len(place), 1)
+
+
+def _counted(bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(term, n): rows that hold a term, summed while there are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[str] = Counter()
+
+        def done() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                terms, term, _ = _held(batch, bitmap)
+                total.update(dict(zip(terms, np.bincount(term, minlength=len(terms)).tolist())))
+                if len(total) > 500_000:
+                    yield done()
+                    total.clear()
+        yield done()
+
+    return run
+
+
+def _places(kind: pa.DataType, bitmap) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Occurrences of words whose term is in the bitmap."""
-    types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-    names = ["id", "text_hash", "start", "end", "term", "segment"]
-
-    def wanted(batch: pa.RecordBatch) -> np.ndarray:
-        """Rows that hold such a word."""
-        words, row = split_words(batch.column("text"))
-        if len(words) == 0:
-            return np.zeros(0, np.int64)
-        distinct, codes = word_codes(words)
-        terms = pc.ascii_lower(pc.ascii_trim(distinct, characters=_OUTER)).to_pylist()
-        return np.unique(row[bitmap.value[_term_bits(terms)][codes]])
+    types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = ["id", "text_hash", "start", "end", "term"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 rows = []
-                for i in wanted(batch).tolist():
+                for i in np.unique(_held(batch, bitmap)[2]).tolist():
                     key, hashed, text = (batch.column(c)[i].as_py() for c in ("id", "text_hash", "text"))
                     words = _Words(text, base_matches(text))
-                    terms = [None if k in words.taken else term_of(w) for k, w in enumerate(words.words)]
-                    some = [k for k, t in enumerate(terms) if t is not None]
-                    some = np.array(some, np.int64)[bitmap.value[_term_bits([terms[k] for k in some])]].tolist() if some else []
-                    hashes: dict[int, int] = {}
-                    for k in some:
-                        n = bisect_right(words.begins, k) - 1
-                        if n not in hashes:
-                            hashes[n] = _segment_hash(words.words[words.begins[n] : words.begins[n + 1]])
-                        rows.append((key, hashed, words.start[k], words.end[k], terms[k], hashes[n]))
+                    terms = [(k, t) for k, w in enumerate(words.words) if k not in words.taken and (t := term_of(w))]
+                    found = bitmap.value[_term_bits([t for _, t in terms])]
+                    rows += [(key, hashed, words.start[k], words.end[k], t) for (k, t), f in zip(terms, found.tolist()) if f]
                     if len(rows) > 65536:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                         rows = []
@@ -239,12 +265,22 @@ def _hits(kind: pa.DataType, bitmap) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def _chosen_levels(mentions: DataFrame) -> DataFrame:
-    """(entity, n_c, level, n_g): segments of an entity, its generalisation and
-    the segments of that."""
-    of = mentions.select("entity", "segment", F.posexplode("levels").alias("step", "level"))
-    stats = of.groupBy("level").agg(F.count_distinct("segment").alias("n_g"), F.count_distinct("entity").alias("entities"))
-    own = mentions.groupBy("entity").agg(F.count("*").alias("n_c"))
+def _bitmap(terms: DataFrame):
+    """The terms' bitmap, sent to all machines; None for no terms."""
+    bits = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(1 << BITS)).alias("bit")).distinct().toLocalIterator()]
+    if not bits:
+        return None
+    whole = np.zeros(1 << BITS, bool)
+    whole[bits] = True
+    return terms.sparkSession.sparkContext.broadcast(whole)
+
+
+def chosen_levels(mentions: DataFrame) -> DataFrame:
+    """(entity, n_c, level, n_g): rows that hold an entity, its generalisation and
+    the rows that hold any entity of that."""
+    of = mentions.select("entity", "row", F.posexplode("levels").alias("step", "level"))
+    stats = of.groupBy("level").agg(F.count_distinct("row").alias("n_g"), F.count_distinct("entity").alias("entities"))
+    own = mentions.groupBy("entity").agg(F.count_distinct("row").alias("n_c"))
     steps = of.select("entity", "step", "level").distinct().join(stats, "level")
     # Steps grow coarser; the last is the kind, whatever it holds.
     fit = F.when((F.col("entities") >= GROUP) | ~F.contains("level", F.lit(" ")), F.struct("step", "level", "n_g"))
@@ -255,35 +291,28 @@ def _disclosure(common: str, of_term: str) -> Column:
     return F.log2(F.col(common) * F.col("n_g") / (F.col(of_term) * F.col("n_c")))
 
 
-def disclosing_terms(rows: DataFrame, mentions: DataFrame, levels: DataFrame, arrow: pa.DataType, id_type: str) -> tuple[DataFrame, DataFrame]:
-    """(term, bits, replacement) of the terms that disclose an entity, and the
-    occurrences of all candidates."""
-    spark = rows.sparkSession
-    terms = mentions.select("entity", "segment", F.explode("terms").alias("term"))
-    near = terms.groupBy("term").agg(F.count_distinct("segment").alias("n_near"))
-    pairs = terms.groupBy("entity", "term").agg(F.count("*").alias("n_tc")).where(F.col("n_tc") >= SUPPORT)
+def disclosing_terms(rows: DataFrame, mentions: DataFrame, levels: DataFrame) -> DataFrame:
+    """(term, bits, replacement) of the terms that disclose an entity."""
+    beside = materialize(mentions.select("entity", "row", "segment", F.explode("terms").alias("term")))
+    near = beside.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
+    pairs = beside.groupBy("entity", "term").agg(F.count_distinct("segment").alias("support"), F.count_distinct("row").alias("n_tc")).where(F.col("support") >= SUPPORT)
     candidates = pairs.join(levels, "entity").join(near, "term").where(_disclosure("n_tc", "n_near") >= EXCESS_BITS)
     candidates = materialize(candidates.withColumn("general", general_term(F.col("term"))))
-
-    bits = [r[0] for r in candidates.select(F.pmod(F.xxhash64("term"), F.lit(1 << BITS)).alias("bit")).distinct().toLocalIterator()]
-    schema = f"id {id_type}, text_hash long, start long, end long, term string, segment long"
-    if not bits:
-        none = spark.createDataFrame([], schema)
-        return spark.createDataFrame([], "term string, bits double, replacement string"), none
-    bitmap = np.zeros(1 << BITS, bool)
-    bitmap[bits] = True
-    hits = materialize(rows.mapInArrow(_hits(arrow, spark.sparkContext.broadcast(bitmap)), schema))
-    counts = hits.join(candidates.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("segment").alias("n_t"))
-    found = candidates.join(counts, "term").withColumn("bits", _disclosure("n_tc", "n_t")).where(F.col("bits") >= EXCESS_BITS)
-
-    # A general form is safe if the entities' segments alone show that it is.
+    bitmap = _bitmap(candidates)
+    if bitmap is None:
+        return candidates.selectExpr("term", "0D AS bits", "general AS replacement")
+    counts = rows.mapInArrow(_counted(bitmap), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    found = materialize(candidates.join(counts, "term").withColumn("bits", _disclosure("n_tc", "n_t")).where(F.col("bits") >= EXCESS_BITS))
+    bitmap.unpersist()
+
+    # A general form is safe if the rows beside entities alone show that it is.
     forms = found.select("entity", "general", "n_c", "n_g").distinct()
-    spread = terms.withColumn("general", general_term(F.col("term"))).join(forms.select("general").distinct(), "general", "left_semi").select("entity", "segment", "general").distinct()
-    with_entity = spread.groupBy("entity", "general").agg(F.count("*").alias("n_fc"))
-    of_form = spread.groupBy("general").agg(F.count_distinct("segment").alias("n_f"))
+    spread = beside.withColumn("general", general_term(F.col("term"))).join(forms.select("general").distinct(), "general", "left_semi")
+    with_entity = spread.groupBy("entity", "general").agg(F.count_distinct("row").alias("n_fc"))
+    of_form = spread.groupBy("general").agg(F.count_distinct("row").alias("n_f"))
     safe = forms.join(with_entity, ["entity", "general"]).join(of_form, "general").select("entity", "general", (_disclosure("n_fc", "n_f") < EXCESS_BITS).alias("safe"))
     each = found.join(safe, ["entity", "general"]).groupBy("term").agg(F.max("bits").alias("bits"), F.max("general").alias("general"), F.min("safe").alias("safe"))
-    return each.select("term", "bits", F.when(F.col("safe"), F.col("general")).otherwise("").alias("replacement")), hits
+    return materialize(each.select("term", "bits", F.when(F.col("safe"), F.col("general")).otherwise("").alias("replacement")))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,13 +326,18 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     arrow, id_type = to_arrow_type(type_), type_.simpleString()
     some = rows.where(F.rlike("text", F.lit("[0-9@]")))
     base = materialize(some.mapInArrow(_mentions(arrow), _MENTION.format(id=id_type)))
-    mentions = materialize(base.groupBy("entity", "segment").agg(F.min("levels").alias("levels"), F.min("terms").alias("terms")))
-    levels = materialize(_chosen_levels(mentions))
-    terms, hits = disclosing_terms(rows.where("text is not null"), mentions, levels, arrow, id_type)
+    mentions = base.select("row", "entity", "levels", "segment", "terms").dropDuplicates(["row", "entity", "segment"])
+    levels = materialize(chosen_levels(mentions))
+    whole = rows.where("text is not null")
+    terms = disclosing_terms(whole, mentions, levels)
+    bitmap = _bitmap(terms)
 
     kept = base.select("id", "text_hash", "kind", "start", "end", "entity").distinct()
     own = kept.join(levels.select("entity", F.concat(F.lit("["), "level", F.lit("]")).alias("replacement")), "entity")
-    added = hits.join(terms, "term").select("id", "text_hash", F.lit(TERM).alias("kind"), "start", "end", "replacement").distinct()
+    added = own.select("id", "text_hash", "kind", "start", "end", "replacement").limit(0)
+    if bitmap is not None:
+        places = whole.mapInArrow(_places(arrow, bitmap), f"id {id_type}, text_hash long, start long, end long, term string")
+        added = places.join(terms, "term").select("id", "text_hash", F.lit(TERM).alias("kind"), "start", "end", "replacement").distinct()
     spans = own.select(*added.columns).union(added)
     rank = F.array_position(F.array(*map(F.lit, [*KINDS, TERM])), F.col("kind"))
     span = F.struct(rank.alias("rank"), "start", "end", "kind", "replacement")

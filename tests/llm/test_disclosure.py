@@ -71,53 +71,47 @@ def term(word):
 
 
 def plain_terms(texts):
-    """{text: [(start, end, replacement)]} by the definition, over distinct segments."""
-    places, segs, near = {}, {}, {}
-    for text in set(texts):
-        spans = plain(text)
-        found, cut, seg = [], [], []
+    """{text: [(start, end, replacement)]} by the definition, over all rows."""
+    places = {}
+    n_t, n_c, n_tc, n_g, members, n_fc, n_f, support = (defaultdict(set) for _ in range(8))
+    kinds = {}
+    for row, text in enumerate(texts):
+        spans = base_matches(text)
+        cut, seg = [], []
         for w in words_of(text):
             seg.append(w)
             if w[2][-1] in ".!?" or len(seg) == 64:
                 cut.append(seg)
                 seg = []
+        places[text] = found = defaultdict(list)
         for seg in [*cut, seg]:
-            key = " ".join(w[2] for w in seg)
-            mine = {}
+            mine = {term(w) for s, e, w in seg if term(w) and not any(s < b and a < e for _, a, b, _ in spans)}
             for s, e, w in seg:
-                if term(w) and not any(s < b and a < e for _, a, b in spans):
-                    mine.setdefault(term(w), []).append((s, e))
-            found.append((key, mine))
-            segs.setdefault(key, set()).update(mine)
-            if seg:
-                for kind, a, b in spans:
-                    if seg[0][0] <= a < seg[-1][1]:
-                        entity = next(m[3] for m in base_matches(text) if m[:3] == (kind, a, b))
-                        near.setdefault(key, set()).add((kind, entity))
-        places[text] = found
-    n_t, n_c, n_tc, n_g, members, n_fc, n_f = (defaultdict(set) for _ in range(7))
-    for key, terms in segs.items():
-        for t in terms:
-            n_t[t].add(key)
-        for kind, entity in near.get(key, ()):
-            n_c[entity].add(key)
-            for g in d.generalisations(kind, entity):
-                n_g[g].add(key)
-                members[g].add(entity)
-            for t in terms:
-                n_tc[t, entity].add(key)
-                n_fc[general(t), entity].add(key)
-                n_f[general(t)].add(key)
-    kinds = {entity: kind for found in near.values() for kind, entity in found}
+                if not any(s < b and a < e for _, a, b, _ in spans):
+                    found[term(w)].append((s, e))
+                if term(w):
+                    n_t[term(w)].add(row)
+            for kind, a, b, entity in spans:
+                if seg and seg[0][0] <= a < seg[-1][1]:
+                    kinds[entity] = kind
+                    n_c[entity].add(row)
+                    for g in d.generalisations(kind, entity):
+                        n_g[g].add(row)
+                        members[g].add(entity)
+                    for t in mine:
+                        n_tc[t, entity].add(row)
+                        support[t, entity].add(" ".join(w[2] for w in seg))
+                        n_fc[general(t), entity].add(row)
+                        n_f[general(t)].add(row)
     told = defaultdict(list)
     for (t, entity), common in n_tc.items():
         g = next(g for g in d.generalisations(kinds[entity], entity) if len(members[g]) >= d.GROUP or " " not in g)
         bits = math.log2(len(common) * len(n_g[g]) / (len(n_t[t]) * len(n_c[entity])))
-        if len(common) >= d.SUPPORT and bits >= d.EXCESS_BITS:
+        if len(support[t, entity]) >= d.SUPPORT and bits >= d.EXCESS_BITS:
             form = math.log2(len(n_fc[general(t), entity]) * len(n_g[g]) / (len(n_f[general(t)]) * len(n_c[entity])))
             told[t].append(form < d.EXCESS_BITS)
     return {
-        text: sorted((s, e, general(t) if all(told[t]) else "") for _, mine in found for t, at in mine.items() if t in told for s, e in at)
+        text: sorted((s, e, general(t) if all(told[t]) else "") for t, at in found.items() if t in told for s, e in at)
         for text, found in places.items()
     }
 
