@@ -11,9 +11,10 @@ g(c) is what may be known of c: its closest generalisation (domain, top level; t
 first parts of an address; the first digits) that holds at least GROUP entities of
 the corpus, or else its kind. n counts rows (of t and c: with both in one segment, a
 sentence, cut after SEGMENT_WORDS words); the size of the corpus cancels. A term
-whose disclosure is EXCESS_BITS or more is generalised (digits masked, or cut to its
-first letters) where that form stays below the threshold, and removed where it
-doesn't. It must share SUPPORT different segments with the entity, so copies of one
+discloses c if it tells EXCESS_BITS or more beyond g(c) and leaves RESIDUAL_BITS or
+less of c open: IC(c) - PMI(t; c) = -log2 P(c | t). It is generalised (digits masked,
+or cut to its first letters) where that form doesn't disclose c, and removed where it
+does. It must share SUPPORT different segments with the entity, so copies of one
 sentence prove nothing. Entities themselves are replaced by g(c).
 
 The first pass finds entities and the terms of their segments, which are counted per
@@ -57,8 +58,9 @@ TERM = "term"
 SEGMENT_WORDS, TERM_CHARS = 64, 3
 #: Different segments a term and an entity must share, entities of a generalisation.
 SUPPORT, GROUP = 3, 5
-#: Bits beyond its generalisation that a term may not tell of an entity.
-EXCESS_BITS = 1.0
+#: A disclosing term tells so many bits of an entity beyond its generalisation at
+#: least, and leaves so many open at most.
+EXCESS_BITS, RESIDUAL_BITS = 1.0, 1.0
 #: Bits of the candidates' bitmap (2^22).
 BITS = 22
 
@@ -291,18 +293,23 @@ def _disclosure(common: str, of_term: str) -> Column:
     return F.log2(F.col(common) * F.col("n_g") / (F.col(of_term) * F.col("n_c")))
 
 
+def _discloses(common: str, of_term: str) -> Column:
+    left_open = F.log2(F.col(of_term) / F.col(common))
+    return (_disclosure(common, of_term) >= EXCESS_BITS) & (left_open <= RESIDUAL_BITS)
+
+
 def disclosing_terms(rows: DataFrame, mentions: DataFrame, levels: DataFrame) -> DataFrame:
     """(term, bits, replacement) of the terms that disclose an entity."""
     beside = materialize(mentions.select("entity", "row", "segment", F.explode("terms").alias("term")))
     near = beside.groupBy("term").agg(F.count_distinct("row").alias("n_near"))
     pairs = beside.groupBy("entity", "term").agg(F.count_distinct("segment").alias("support"), F.count_distinct("row").alias("n_tc")).where(F.col("support") >= SUPPORT)
-    candidates = pairs.join(levels, "entity").join(near, "term").where(_disclosure("n_tc", "n_near") >= EXCESS_BITS)
+    candidates = pairs.join(levels, "entity").join(near, "term").where(_discloses("n_tc", "n_near"))
     candidates = materialize(candidates.withColumn("general", general_term(F.col("term"))))
     bitmap = _bitmap(candidates)
     if bitmap is None:
         return candidates.selectExpr("term", "0D AS bits", "general AS replacement")
     counts = rows.mapInArrow(_counted(bitmap), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    found = materialize(candidates.join(counts, "term").withColumn("bits", _disclosure("n_tc", "n_t")).where(F.col("bits") >= EXCESS_BITS))
+    found = materialize(candidates.join(counts, "term").withColumn("bits", _disclosure("n_tc", "n_t")).where(_discloses("n_tc", "n_t")))
     bitmap.unpersist()
 
     # A general form is safe if the rows beside entities alone show that it is.
@@ -310,7 +317,7 @@ def disclosing_terms(rows: DataFrame, mentions: DataFrame, levels: DataFrame) ->
     spread = beside.withColumn("general", general_term(F.col("term"))).join(forms.select("general").distinct(), "general", "left_semi")
     with_entity = spread.groupBy("entity", "general").agg(F.count_distinct("row").alias("n_fc"))
     of_form = spread.groupBy("general").agg(F.count_distinct("row").alias("n_f"))
-    safe = forms.join(with_entity, ["entity", "general"]).join(of_form, "general").select("entity", "general", (_disclosure("n_fc", "n_f") < EXCESS_BITS).alias("safe"))
+    safe = forms.join(with_entity, ["entity", "general"]).join(of_form, "general").select("entity", "general", (~_discloses("n_fc", "n_f")).alias("safe"))
     each = found.join(safe, ["entity", "general"]).groupBy("term").agg(F.max("bits").alias("bits"), F.max("general").alias("general"), F.min("safe").alias("safe"))
     return materialize(each.select("term", "bits", F.when(F.col("safe"), F.col("general")).otherwise("").alias("replacement")))
 

@@ -106,10 +106,13 @@ def plain_terms(texts):
     told = defaultdict(list)
     for (t, entity), common in n_tc.items():
         g = next(g for g in d.generalisations(kinds[entity], entity) if len(members[g]) >= d.GROUP or " " not in g)
-        bits = math.log2(len(common) * len(n_g[g]) / (len(n_t[t]) * len(n_c[entity])))
-        if len(support[t, entity]) >= d.SUPPORT and bits >= d.EXCESS_BITS:
-            form = math.log2(len(n_fc[general(t), entity]) * len(n_g[g]) / (len(n_f[general(t)]) * len(n_c[entity])))
-            told[t].append(form < d.EXCESS_BITS)
+
+        def discloses(both, alone):
+            bits = math.log2(len(both) * len(n_g[g]) / (len(alone) * len(n_c[entity])))  # noqa: B023
+            return bits >= d.EXCESS_BITS and math.log2(len(alone) / len(both)) <= d.RESIDUAL_BITS
+
+        if len(support[t, entity]) >= d.SUPPORT and discloses(common, n_t[t]):
+            told[t].append(not discloses(n_fc[general(t), entity], n_f[general(t)]))
     return {
         text: sorted((s, e, general(t) if all(told[t]) else "") for t, at in found.items() if t in told for s, e in at)
         for text, found in places.items()
