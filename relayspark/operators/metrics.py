@@ -8,6 +8,8 @@ costs one row per task on the wire, not a third of the data.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,21 @@ METRIC_COLUMNS = [
 def _with_rate(agg: DataFrame, elapsed) -> DataFrame:
     """Add ``rate_per_second``. Without ``elapsed``, it is the replayed event-time
     span: the least and greatest time over all groups of the aggregate, as a
-    scalar (partial minima and maxima; no task sees all groups)."""
+    scalar (partial minima and maxima; no task sees all groups).
+
+    The input is read once: the result and the span each use all columns of the
+    aggregate, so that nothing is pruned from either and the exchange below it is
+    reused. The span takes its extremes from structs of all columns; the result
+    names the times in a condition that no group meets."""
+    count = F.col("message_count")
     if elapsed is None:
-        span = (F.max(F.unix_micros("__tmax")) - F.min(F.unix_micros("__tmin"))) / F.lit(1e6)
-        elapsed = agg.agg(span.alias("elapsed")).scalar()
-    out = agg.withColumn("rate_per_second", _rate(F.col("message_count"), elapsed))
+        count = F.when(F.col("__tmin") > F.col("__tmax"), F.lit(None)).otherwise(count)
+        rest = [c for c in agg.columns if c not in ("__tmin", "__tmax")]
+        # A null time is the least of all, so the first time is a greatest, too.
+        last = F.max(F.struct(F.unix_micros("__tmax").alias("at"), *rest))["at"]
+        first = -F.max(F.struct((-F.unix_micros("__tmin")).alias("at"), *rest))["at"]
+        elapsed = agg.agg(((last - first) / F.lit(1e6)).alias("elapsed")).scalar()
+    out = agg.withColumn("rate_per_second", _rate(count, elapsed))
     return out.drop("__tmin", "__tmax")
 
 
@@ -112,41 +124,41 @@ def metrics_report(source: DataFrame, destination: DataFrame) -> DataFrame:
 def _two_sided(routed: DataFrame, keys: list[str]) -> DataFrame:
     """Both sides of the metrics from one read of the routed rows.
 
-    Each row yields a source entry (keyed by ``topic``, sized before
-    processing) and a destination entry (keyed by ``dest_topic``, sized after
-    processing, only when delivered). Only small columns are doubled, never
-    the payload, and one partial + final aggregate serves both sides, so the
-    input is read once.
+    Rows are first folded per pair of topic and destination, with the measures of
+    both sides (sized before processing, and after it for what is delivered). Only
+    these few rows are doubled into a source and a destination entry and folded
+    again by side and topic.
     """
     ok = delivered(routed)
     failed = F.col("error").isNull() & ~ok
     ts = F.col("timestamp")
-    src = F.struct(
-        F.lit("source").alias("side"),
-        F.col("topic").alias("topic"),
-        F.col("source_size").isNotNull().alias("counted"),
-        F.col("source_size").alias("size"),
-        F.col("error").isNotNull().alias("failed"),
-        ts.alias("ts"),
-    )
-    dst = F.struct(
-        F.lit("destination").alias("side"),
-        F.col("dest_topic").alias("topic"),
-        ok.alias("counted"),
-        F.when(ok, message_size()).alias("size"),
-        failed.alias("failed"),
-        ts.alias("ts"),
+    pairs = routed.groupBy(*keys, "topic", "dest_topic").agg(
+        F.count("source_size").alias("s_count"),
+        F.sum("source_size").alias("s_bytes"),
+        F.count("error").alias("s_errors"),
+        F.max(F.when(F.col("source_size").isNotNull(), ts)).alias("s_last"),
+        F.count_if(ok).alias("d_count"),
+        F.sum(F.when(ok, message_size())).alias("d_bytes"),
+        F.count_if(failed).alias("d_errors"),
+        F.max(F.when(ok, ts)).alias("d_last"),
+        F.min(ts).alias("tmin"),
+        F.max(ts).alias("tmax"),
     )
-    entries = routed.select(*keys, F.inline(F.array(src, dst)))
-    agg = entries.groupBy(*keys, "side", "topic").agg(
-        F.count_if(F.col("counted")).alias("message_count"),
-        F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("total_bytes"),
-        F.count_if(F.col("failed")).alias("error_count"),
-        F.max(F.when(F.col("counted"), F.col("ts"))).alias("last_message_time"),
-        F.min("ts").alias("__tmin"),
-        F.max("ts").alias("__tmax"),
+
+    def entry(side: str, topic: str) -> Column:
+        of = side[0]
+        measures = [F.col(f"{of}_{m}").alias(m) for m in ("count", "bytes", "errors", "last")]
+        return F.struct(F.lit(side).alias("side"), F.col(topic).alias("topic"), *measures, "tmin", "tmax")
+
+    entries = pairs.select(*keys, F.inline(F.array(entry("source", "topic"), entry("destination", "dest_topic"))))
+    return entries.groupBy(*keys, "side", "topic").agg(
+        F.sum("count").cast("bigint").alias("message_count"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("total_bytes"),
+        F.sum("errors").cast("bigint").alias("error_count"),
+        F.max("last").alias("last_message_time"),
+        F.min("tmin").alias("__tmin"),
+        F.max("tmax").alias("__tmax"),
     )
-    return agg
 
 
 def _drop_empty(agg: DataFrame) -> DataFrame:
@@ -216,8 +228,8 @@ def _event_windows(df: DataFrame, window: str, slide: str | None) -> DataFrame:
     in the per-batch metric deltas only."""
     if df.isStreaming:
         return df.withColumn("w", F.window("timestamp", window, slide) if slide else F.window("timestamp", window))
-    length = int(_seconds(window) * 1_000_000)
-    step = int(_seconds(slide) * 1_000_000) if slide else length
+    length = _micros(df, window)
+    step = _micros(df, slide) if slide else length
     micros = F.unix_micros("timestamp")
     last = (micros - F.pmod(micros, F.lit(step))).cast("bigint")
     at = lambda start: F.struct(F.timestamp_micros(start).alias("start"), F.timestamp_micros(start + F.lit(length)).alias("end"))
@@ -227,7 +239,8 @@ def _event_windows(df: DataFrame, window: str, slide: str | None) -> DataFrame:
     return df.withColumn("w", F.explode_outer(F.when(micros.isNotNull(), F.transform(starts, at))))
 
 
-def _windowed(df: DataFrame, topic_col: str, value: Column, name: str, window: str, slide: str | None, seconds: float) -> DataFrame:
+def _windowed(df: DataFrame, topic_col: str, value: Column, name: str, window: str, slide: str | None) -> DataFrame:
+    seconds = _micros(df, window) / 1e6
     return (
         _event_windows(df, window, slide)
         .groupBy("w", F.col(topic_col).alias("topic"))
@@ -241,16 +254,22 @@ def _windowed(df: DataFrame, topic_col: str, value: Column, name: str, window: s
     )
 
 
-def _seconds(interval: str) -> float:
-    n, unit = interval.split()
-    mult = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
-    return float(n) * mult[unit.rstrip("s")]
+def _micros(df: DataFrame, interval: str) -> int:
+    """Microseconds of an interval in any form that Spark reads. Months have no
+    fixed length and are refused, as Spark's own windows do."""
+    text = interval.replace("'", "")
+    if re.search(r"\b(month|year)s?\b", text, re.IGNORECASE):
+        raise ValueError(f"a window of {interval!r} has no fixed length; use days or less")
+    micros = df.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL '{text}')").first()[0]
+    if micros <= 0:
+        raise ValueError(f"a window needs a positive length, not {interval!r}")
+    return micros
 
 
 def windowed_throughput(routed: DataFrame, window: str = "5 minutes", slide: str | None = None, watermark: str | None = None) -> DataFrame:
     """M-09: messages per second per source topic in event-time windows."""
     df = routed.withWatermark("timestamp", watermark) if watermark else routed
-    return _windowed(df, "topic", F.count("source_size"), "messages_per_second", window, slide, _seconds(window))
+    return _windowed(df, "topic", F.count("source_size"), "messages_per_second", window, slide)
 
 
 def windowed_volume(processed: DataFrame, window: str = "5 minutes", slide: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -258,14 +277,14 @@ def windowed_volume(processed: DataFrame, window: str = "5 minutes", slide: str
     df = processed.withWatermark("timestamp", watermark) if watermark else processed
     size = F.sum(F.when(delivered(processed), message_size()))
     # Groups without a delivered row (only the NULL destination) are dropped after the aggregate.
-    out = _windowed(df, "dest_topic", size, "bytes_per_second", window, slide, _seconds(window))
+    out = _windowed(df, "dest_topic", size, "bytes_per_second", window, slide)
     return out.filter(F.col("bytes_per_second").isNotNull())
 
 
 def windowed_errors(routed: DataFrame, window: str = "5 minutes", slide: str | None = None, watermark: str | None = None) -> DataFrame:
     """M-11: source errors per second per source topic."""
     df = routed.withWatermark("timestamp", watermark) if watermark else routed
-    return _windowed(df, "topic", F.count("error"), "errors_per_second", window, slide, _seconds(window))
+    return _windowed(df, "topic", F.count("error"), "errors_per_second", window, slide)
 
 
 def loss_check(report: DataFrame, routes) -> DataFrame:

@@ -122,10 +122,18 @@ def subscribe(df: DataFrame, topics: Iterable[str]) -> DataFrame:
 
 def route_table(routes: DataFrame) -> DataFrame:
     """F-06 for a DataFrame route table, computed once: with a ``pos`` column the
-    last row per source topic wins; without one a repeated source topic has no
-    defined winner and is refused."""
+    last row per source topic wins; rows of one ``pos`` that name different
+    destinations, or a repeated source topic without ``pos``, have no defined
+    winner and are refused."""
     if "pos" in routes.columns:
-        return materialize(routes.groupBy("source_topic").agg(F.max_by("destination_topic", "pos").alias("destination_topic")))
+        named = F.coalesce(F.concat(F.lit("t"), "destination_topic"), F.lit(""))
+        at = routes.groupBy("source_topic", "pos").agg(F.min("destination_topic").alias("destination_topic"), F.min(named).alias("a"), F.max(named).alias("b"))
+        # A null position comes before all others.
+        last = at.groupBy("source_topic").agg(F.max(F.struct("pos", "a", "b", "destination_topic")).alias("r"))
+        table = materialize(last.select("source_topic", "r.destination_topic", (F.col("r.a") != F.col("r.b")).alias("tie")))
+        if table.where("tie").limit(1).count():
+            raise ValueError("the route table has rows of one source topic and one 'pos' with different destinations")
+        return table.drop("tie")
     table = materialize(routes.select("source_topic", "destination_topic").distinct())
     if table.groupBy("source_topic").count().where("count > 1").limit(1).count():
         raise ValueError("the route table repeats a source topic; give it a 'pos' column (the last one wins)")

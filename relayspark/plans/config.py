@@ -24,7 +24,9 @@ topic table at ``connection.path``, MESSAGE schema; optional
 
 from __future__ import annotations
 
+import json
 import re
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +36,7 @@ from relayspark.operators.processors import process
 from relayspark.operators.routing import fan, funnel, one_to_one, subscribe
 from relayspark.schema import MESSAGE
 from relayspark.session import configure
-from relayspark.sinks.egress import to_eventhubs, to_kafka, to_pubsub, to_pulsar, write_broker
+from relayspark.sinks.egress import in_source_order, to_eventhubs, to_kafka, to_pubsub, to_pulsar, write_broker
 from relayspark.sources.bindings import eventhubs_reader_options, kafka_reader_options, read_topics
 from relayspark.sources.synthetic import synthetic_stream
 from relayspark.streaming.runner import run_stream
@@ -49,11 +51,27 @@ def _servers(conn: Mapping) -> str:
 _MAPPED = {"bootstrap_servers", "group_id", "auto_offset_reset", "starting_position", "connection_string", "eventhub_name", "consumer_group", "sasl_plain_username", "sasl_plain_password", "fail_on_data_loss"}
 
 
+# Client settings that Spark sets itself (it reads and writes bytes and
+# keeps offsets in the checkpoint) and refuses, and settings of Python clients alone.
+_SET_BY_SPARK = ["auto.offset.reset", "auto.commit.interval.ms", "enable.auto.commit", "interceptor.classes", "key.deserializer", "key.serializer", "value.deserializer", "value.serializer"]
+_PYTHON_ONLY = ["api.version", "api.version.auto.timeout.ms", "consumer.timeout.ms", "loop", "selector"]
+
+
 def _client_options(conn: Mapping) -> dict[str, str]:
-    """Client settings as options of Spark's Kafka connector."""
-    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
-    own = {k: text(v) for k, v in conn.items() if k not in _MAPPED and v is not None}
-    opts = {(k if k.startswith("kafka.") else f"kafka.{k.replace('_', '.')}"): v for k, v in own.items()}
+    """Client settings as options of Spark's Kafka connector. Settings without a
+    meaning there are left out with a warning; a value that isn't text, a number or
+    a truth value is refused."""
+    opts = {}
+    for k, v in conn.items():
+        if k in _MAPPED or v is None:
+            continue
+        name = k.removeprefix("kafka.").replace("_", ".")
+        if name in _SET_BY_SPARK or name in _PYTHON_ONLY:
+            warnings.warn(f"client setting {k!r} is left out: {'Spark sets it itself' if name in _SET_BY_SPARK else 'it belongs to another client'}", stacklevel=2)
+            continue
+        if not isinstance(v, (str, int, float)):
+            raise ValueError(f"client setting {k!r} needs text, a number or true/false, not {type(v).__name__}")
+        opts[k if k.startswith("kafka.") else f"kafka.{name}"] = str(v).lower() if isinstance(v, bool) else str(v)
     if conn.get("sasl_plain_username"):
         opts["kafka.sasl.jaas.config"] = (
             "org.apache.kafka.common.security.plain.PlainLoginModule required "
@@ -112,6 +130,8 @@ def read_source(spark: SparkSession, system: Mapping, topics: list[str], max_per
         return read_topics(spark, "eventhubs", opts)
     if kind == "pulsar":
         opts = {"service.url": conn["service_url"], "topics": ",".join(topics), "startingOffsets": _starting(kind, conn.get("starting_position"))}
+        if isinstance(opts["startingOffsets"], dict):
+            opts["startingOffsets"] = json.dumps(opts["startingOffsets"])
         if conn.get("subscription_name"):
             opts["predefinedSubscription"] = conn["subscription_name"]
         if max_per_trigger:
@@ -128,6 +148,8 @@ def read_source(spark: SparkSession, system: Mapping, topics: list[str], max_per
         # A message count does not translate to files: a stored table is
         # limited by ``connection.max_files_per_trigger`` when given.
         reader = spark.readStream.schema(MESSAGE)
+        if max_per_trigger and not conn.get("max_files_per_trigger"):
+            warnings.warn("max_per_trigger counts messages and doesn't limit a stored table: set connection.max_files_per_trigger", stacklevel=2)
         if conn.get("max_files_per_trigger"):
             reader = reader.option("maxFilesPerTrigger", int(conn["max_files_per_trigger"]))
         return subscribe(reader.parquet(conn["path"]), topics)
@@ -196,8 +218,13 @@ def flow_from_config(spark: SparkSession, cfg: Mapping) -> tuple[DataFrame, Mapp
 def start_from_config(spark: SparkSession, cfg: Mapping, out_dir: str | None = None, drain: bool = False, processing_time: str | None = None):
     """Start the configured relay: returns ``(query, out_dir)``; metric deltas
     (and, for ``mock`` / ``table`` destinations, the topic table) are under
-    ``out_dir``."""
+    ``out_dir``. ``preserve_order``: a broker gets each source partition's messages
+    in order of their offsets (T-04), for one shuffle of every batch."""
     routed, destination = flow_from_config(spark, cfg)
     conn = destination.get("connection", {}) or {}
     out_dir = out_dir or cfg.get("state_path") or (conn.get("path") if destination["type"] == "table" else None)
-    return run_stream(routed, out_dir=out_dir, drain=drain, processing_time=processing_time, sink=broker_sink(destination))
+    sink = broker_sink(destination)
+    if sink is not None and cfg.get("preserve_order"):
+        send = sink
+        sink = lambda batch: send(in_source_order(batch))
+    return run_stream(routed, out_dir=out_dir, drain=drain, processing_time=processing_time, sink=sink)

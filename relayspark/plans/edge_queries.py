@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from relayspark.operators.metrics import destination_metrics, loss_check, topic_report, windowed_throughput
 from relayspark.operators.processors import priority_tag, process
 from relayspark.operators.routing import fan, one_to_one
+from relayspark.operators.runs import loss_runs as runs_of_loss
 from relayspark.plans.catalog import EV, HEADER, PAYLOAD_K, _window_cols, register
 from relayspark.session import shared_dir
 from relayspark.sinks.egress import deliverable, to_kafka, write_topics
-from relayspark.sources.replay import read_topic_table_source, replay_from
-from relayspark.sources.tables import documents_messages, events_messages, read_table, stream_table
+from relayspark.sources.replay import index_positions, read_topic_table_source, replay_from, replay_stored
+from relayspark.sources.tables import documents_messages, events_messages, events_to_messages, read_table, stream_table
 
 # Payload, destination by member ``k`` (None: a JSON null; payloads without the
 # member and other JSON go to 'default'), and the priority tag of member ``p``
@@ -214,3 +215,66 @@ def replay_repeated_starts(spark, sf_dir):
     starts = last.select("topic", "partition", F.explode(F.array(F.col("last") - 100, F.col("last") - 300, F.col("last") - 100)).alias("start_offset"))
     kept = replay_from(m, starts)
     return kept.groupBy("topic", F.col("partition").alias("msg_partition")).agg(F.count("*").alias("messages"))
+
+
+# Names of 300 characters and more, by event type.
+_LONG = "repeat(event_type || '/', CAST(60 + 300 * (event_id % 2) AS INTEGER))"
+
+
+@register(
+    "topic_table_long_names",
+    f"""WITH l AS (SELECT {_LONG} AS topic FROM events)
+SELECT how, topic, count(*)::BIGINT AS message_count FROM l, (VALUES ('batch'), ('stream'), ('subscribed')) AS h(how) GROUP BY ALL""",
+)
+def topic_table_long_names(spark, sf_dir):
+    """K-05, S-07: destination names that no folder can hold, through a topic table,
+    a stream's topic table and a subscription."""
+    from relayspark.streaming.runner import read_topic_table, run_stream
+
+    def named(events: DataFrame) -> DataFrame:
+        messages = events_to_messages(events, topic=None, faults=False)
+        name = F.expr(_LONG.replace("event_type", "topic").replace("event_id", "offset"))
+        return messages.withColumn("payload", F.encode(F.concat(F.lit('{"k": "'), name, F.lit('"}')), "UTF-8"))
+
+    path = shared_dir(spark, "topic-names")
+    write_topics(fan(named(read_table(spark, sf_dir, "events")), PAYLOAD_K), path)
+    _, out = run_stream(fan(named(stream_table(spark, sf_dir, "events")), PAYLOAD_K))
+    count = lambda df, how: df.groupBy("topic").agg(F.count("*").alias("message_count")).select(F.lit(how).alias("how"), "topic", "message_count")
+    whole = read_topic_table_source(spark, path)
+    names = [r["topic"] for r in whole.select("topic").distinct().collect()]
+    parts = count(whole, "batch").union(count(read_topic_table(spark, out).drop("topic").withColumnRenamed("dest_topic", "topic"), "stream"))
+    return parts.union(count(read_topic_table_source(spark, path, names), "subscribed"))
+
+
+_PLACED = "SELECT event_type AS topic, CAST(event_id % 4 AS INTEGER) AS partition, event_id AS o FROM events"
+
+
+@register(
+    "loss_runs",
+    f"""WITH m AS ({_PLACED})
+SELECT topic, partition, count(*)::BIGINT AS sent, (count(*) FILTER (o % 97 <> 5))::BIGINT AS received, (count(*) FILTER (o % 97 = 5))::BIGINT AS lost,
+       (count(*) FILTER (o % 89 = 3 AND o % 97 <> 5))::BIGINT AS duplicated, 0::BIGINT AS unexpected
+FROM m GROUP BY 1, 2""",
+)
+def loss_runs(spark, sf_dir):
+    """M-12 by offsets: lost and duplicated messages don't cancel out."""
+    sent = events_messages(spark, sf_dir, topic=None)
+    kept = sent.where("offset % 97 <> 5")
+    return runs_of_loss(sent, kept.unionByName(kept.where("offset % 89 = 3")))
+
+
+@register(
+    "replay_pruned",
+    f"""WITH m AS ({_PLACED}), half AS (SELECT (max(event_id) // 2)::BIGINT AS h FROM events)
+SELECT topic, partition, count(*)::BIGINT AS message_count, min(o)::BIGINT AS first_offset FROM m, half WHERE partition <> 1 OR o >= h GROUP BY 1, 2""",
+)
+def replay_pruned(spark, sf_dir):
+    """S-08 on a stored topic table through its position index."""
+    path = shared_dir(spark, "topic-positions")
+    events = events_messages(spark, sf_dir, topic=None, faults=False)
+    write_topics(fan(events, HEADER), path)
+    index_positions(spark, path)
+    half = events.agg(F.max("offset")).first()[0] // 2
+    starts = {(r["topic"], 1): half for r in events.select("topic").distinct().collect()}
+    out = replay_stored(spark, path, starts)
+    return out.groupBy("topic", "partition").agg(F.count("*").alias("message_count"), F.min("offset").alias("first_offset"))

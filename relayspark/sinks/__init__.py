@@ -2,6 +2,7 @@
 
 from relayspark.sinks.egress import (
     deliverable,
+    in_source_order,
     to_kafka,
     to_pulsar,
     to_eventhubs,
@@ -12,6 +13,7 @@ from relayspark.sinks.egress import (
 
 __all__ = [
     "deliverable",
+    "in_source_order",
     "to_kafka",
     "to_pulsar",
     "to_eventhubs",

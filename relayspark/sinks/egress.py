@@ -78,13 +78,23 @@ def to_pubsub(routed: DataFrame, project: str) -> DataFrame:
 
 # A topic table keeps the destination as an ordinary column, beside a folder
 # column that holds it in URL form after a letter: any name (empty, numeric, a
-# date, with slashes) is a folder name that reads back as the same text.
+# date, with slashes) is a folder name. A name whose folder would be longer than
+# file systems allow goes into a folder named by its hash; the column tells names
+# of one folder apart, so neither length nor a collision changes what is read.
 TOPIC_FOLDER = "topic_folder"
 TOPIC_TABLE = T.StructType([*MESSAGE.fields, T.StructField("dest_topic", T.StringType()), T.StructField(TOPIC_FOLDER, T.StringType())])
 
 
+#: Bytes of a folder's name that a topic may take; file systems allow 255, of
+#: which the column's name and "=" take 13.
+FOLDER_BYTES = 230
+
+
 def topic_folder(topic: Column) -> Column:
-    return F.concat(F.lit("t"), F.url_encode(topic))
+    url = F.url_encode(topic)
+    # In a folder's name Spark writes % and * as three characters each.
+    written = F.length(url) + 2 * F.regexp_count(url, F.lit("[%*]"))
+    return F.when(written < FOLDER_BYTES, F.concat(F.lit("t"), url)).otherwise(F.concat(F.lit("h"), F.sha2(topic, 256)))
 
 
 def topic_rows(routed: DataFrame) -> DataFrame:
@@ -100,6 +110,16 @@ def write_topics(routed: DataFrame, path: str, mode: str = "append") -> None:
     topic_rows(routed).write.mode(mode).partitionBy(TOPIC_FOLDER).parquet(path)
 
 
+def in_source_order(routed: DataFrame) -> DataFrame:
+    """T-04 for a broker: every source partition in one task, offsets ascending.
+
+    Needed where a read splits a partition (``minPartitions``) or a join has moved
+    messages: tasks write at the same time, and only rows of one task keep their
+    order. A partition is then written by one task, as its order demands; rows
+    without a position come first, in no order."""
+    return routed.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
+
+
 def write_broker(projected: DataFrame, fmt: str, options: dict[str, str]) -> None:
     """Batch write of a projection to a broker connector (``kafka`` etc.)."""
     projected.write.format(fmt).options(**options).save()

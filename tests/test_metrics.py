@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from relayspark.operators.metrics import (
@@ -12,6 +13,7 @@ from relayspark.operators.metrics import (
     metrics_report,
     metrics_since_batch,
     source_metrics,
+    topic_report,
     windowed_errors,
     windowed_throughput,
     windowed_volume,
@@ -196,3 +198,23 @@ def test_metrics_without_event_time(spark):
 
     rep = topic_report(fan(documents_messages(spark, SF_SMALL), {"type": "header", "key": "lang"})).collect()
     assert rep and all(r["rate_per_second"] == 0.0 and r["last_message_time"] is None for r in rep)
+
+
+@pytest.mark.parametrize("report", [topic_report, source_metrics, destination_metrics])
+def test_reports_read_their_input_once(spark, report):
+    """The rate's span comes from the same aggregate as the rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(0, 6000, 1, 3).selectExpr(
+        "cast(id as string) AS k", "encode(cast(id as string), 'UTF-8') AS payload", "map('h', cast(id % 3 as string)) AS headers", "concat('t', id % 5) AS topic",
+        "cast(null as string) AS key", "0 AS partition", "id AS offset", "timestamp_seconds(1700000000 + id) AS timestamp",
+    ).drop("k")
+    seen = rows.mapInArrow(count, rows.schema)
+    out = report(fan(seen, {"type": "header", "key": "h"})).collect()
+    assert read.value == 6000
+    assert abs(sum(r["rate_per_second"] for r in out) - (2 if report is topic_report else 1) * 6000 / 5999) < 1e-9
