@@ -278,3 +278,34 @@ def replay_pruned(spark, sf_dir):
     starts = {(r["topic"], 1): half for r in events.select("topic").distinct().collect()}
     out = replay_stored(spark, path, starts)
     return out.groupBy("topic", "partition").agg(F.count("*").alias("message_count"), F.min("offset").alias("first_offset"))
+
+
+@register(
+    "stream_compacted",
+    f"""WITH {EV},
+src AS (SELECT 'events' AS topic, count(size)::BIGINT AS message_count, sum(size)::BIGINT AS total_bytes, count(error)::BIGINT AS error_count FROM evs),
+dst AS (SELECT dest_topic AS topic, count(*)::BIGINT AS message_count, sum(size)::BIGINT AS total_bytes, 0::BIGINT AS error_count FROM evs WHERE error IS NULL GROUP BY dest_topic)
+SELECT 'source' AS side, * FROM src UNION ALL SELECT 'destination' AS side, * FROM dst""",
+)
+def stream_compacted(spark, sf_dir):
+    """M-07, T-06: totals of a stream of 16 batches whose deltas became blocks."""
+    from relayspark.sources.tables import EVENTS_SCHEMA
+    from relayspark.streaming.runner import read_stream_metrics, run_stream
+
+    parts = shared_dir(spark, "event-parts")
+    read_table(spark, sf_dir, "events").repartition(16).write.mode("overwrite").parquet(parts)
+    events = spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(parts)
+    _, out = run_stream(fan(events_to_messages(events), HEADER), compact_every=3)
+    return read_stream_metrics(spark, out).select("side", "topic", "message_count", "total_bytes", "error_count")
+
+
+@register("stream_report_idle", "SELECT count(*)::BIGINT AS topics, 0::BIGINT AS messages, 0::DOUBLE AS last_recorded FROM events WHERE event_type = 'no such topic'")
+def stream_report_idle(spark, sf_dir):
+    """M-13: the report of a stream that no message came to."""
+    from relayspark.operators.routing import subscribe
+    from relayspark.streaming.runner import run_stream, stream_report
+
+    messages = subscribe(events_to_messages(stream_table(spark, sf_dir, "events"), topic=None), ["no such topic"])
+    _, out = run_stream(fan(messages, HEADER))
+    totals = (F.coalesce(F.sum(c), F.lit(0)) for c in ("message_count", "last_recorded"))
+    return stream_report(spark, out).agg(F.count("*").alias("topics"), *(t.alias(n) for t, n in zip(totals, ("messages", "last_recorded"))))

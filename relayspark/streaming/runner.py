@@ -6,6 +6,7 @@ destination), the per-topic metric deltas of both sides, and when the batch ran.
 Each write overwrites the whole folder of its ``batch_id``, so a batch replayed
 after a failure leaves neither duplicates nor rows of destinations that the
 replay no longer has: exactly-once into files, with the checkpoint beside them.
+Deltas and times are compacted as the stream runs (``deltas``).
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from relayspark.operators.metrics import batch_deltas, metrics_since_batch
+from relayspark.operators.metrics import batch_deltas
 from relayspark.session import shared_dir
 from relayspark.sinks.egress import TOPIC_FOLDER, TOPIC_TABLE, topic_rows
+from relayspark.streaming.deltas import EVERY, RUNS, DeltaStore, fold
 
 TOTALS_NAME = "relay_totals"
 
@@ -37,15 +39,13 @@ def with_totals(routed: DataFrame, name: str = TOTALS_NAME) -> DataFrame:
     )
 
 
-_DELTAS = "side string, topic string, message_count long, total_bytes long, error_count long, last_message_time timestamp, batch_id long"
-_RUNS = "run string, began double, ended double, batch_id long"
-
-
-def _write_batch(out_dir: str, sink=None):
-    run, began = uuid.uuid4().hex, time.time()
+def _write_batch(out_dir: str, sink=None, compact_every: int = EVERY, clock=time.time):
+    run, began, store = uuid.uuid4().hex, clock(), []
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        at = lambda name: f"{out_dir}/{name}/batch_id={batch_id}"
+        spark = batch.sparkSession
+        if not store:
+            store.append(DeltaStore(spark, out_dir, compact_every))
         b = batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()
         try:
             if sink is not None:
@@ -53,10 +53,12 @@ def _write_batch(out_dir: str, sink=None):
                 # batch is sent again (at-least-once), its deltas overwritten.
                 sink(b.drop("batch_id"))
             else:
-                topic_rows(b).write.mode("overwrite").partitionBy(TOPIC_FOLDER).parquet(at("topics"))
-            batch_deltas(b).drop("batch_id").write.mode("overwrite").parquet(at("metrics"))
-            times = batch.sparkSession.createDataFrame([(run, began, time.time())], "run string, began double, ended double")
-            times.write.mode("overwrite").parquet(at("runs"))
+                topic_rows(b).write.mode("overwrite").partitionBy(TOPIC_FOLDER).parquet(f"{out_dir}/topics/batch_id={batch_id}")
+            now = clock()
+            # M-05: when the last message was recorded, by the relay's clock.
+            recorded = F.when(F.col("message_count") > 0, F.lit(float(now)))
+            times = spark.createDataFrame([(run, float(began), float(now))], RUNS)
+            store[0].add(batch_id, batch_deltas(b).withColumn("last_recorded", recorded), times)
         finally:
             b.unpersist()
 
@@ -71,6 +73,8 @@ def run_stream(
     processing_time: str | None = None,
     query_name: str | None = None,
     sink=None,
+    compact_every: int = EVERY,
+    clock=time.time,
 ) -> tuple[StreamingQuery, str]:
     """T-01 / T-02 / T-06: start the stream; with ``drain`` read what is
     available, then stop (``availableNow``) and wait. Returns the query and
@@ -82,13 +86,14 @@ def run_stream(
 
     ``sink``: a function given each routed micro-batch (for example a broker
     write of ``to_kafka(batch)``) used instead of the topic table; the metric
-    deltas are stored either way."""
+    deltas are stored either way, and ``compact_every`` batches of them become a
+    block (see ``deltas``). ``clock``: seconds of the relay's clock (M-05)."""
     spark = routed.sparkSession
     if not drain and not (out_dir or checkpoint):
         raise ValueError("a continuous stream needs out_dir or checkpoint, so that a restart resumes it")
     out_dir = out_dir or shared_dir(spark, "stream-out")
     checkpoint = checkpoint or f"{out_dir}/_checkpoint"
-    writer = routed.writeStream.foreachBatch(_write_batch(out_dir, sink)).option("checkpointLocation", checkpoint)
+    writer = routed.writeStream.foreachBatch(_write_batch(out_dir, sink, compact_every, clock)).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)
     if drain:
@@ -153,8 +158,8 @@ def read_topic_table(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def read_stream_metrics(spark: SparkSession, out_dir: str, after_batch: int = -1) -> DataFrame:
     """Fold the stored deltas into per-(side, topic) metrics (M-07 epoch by
-    ``after_batch``)."""
-    return metrics_since_batch(spark.read.schema(_DELTAS).parquet(f"{out_dir}/metrics"), after_batch)
+    ``after_batch``). No rows if no batch is stored."""
+    return fold(DeltaStore(spark, out_dir).deltas(after_batch)).drop("last_recorded")
 
 
 def run_broker_stream(
@@ -181,15 +186,17 @@ def run_broker_stream(
 def stream_uptime(spark: SparkSession, out_dir: str) -> DataFrame:
     """One row: seconds that the stream ran, over all its runs (each from its start
     to the end of its last batch); NULL if no batch is stored."""
-    runs = spark.read.schema(_RUNS).parquet(f"{out_dir}/runs").groupBy("run").agg((F.max("ended") - F.min("began")).alias("s"))
-    return runs.agg(F.sum("s").alias("uptime_seconds"))
+    return DeltaStore(spark, out_dir).runs().agg(F.sum(F.col("ended") - F.col("began")).alias("uptime_seconds"))
 
 
 def stream_report(spark: SparkSession, out_dir: str, uptime_seconds: float | None = None, after_batch: int = -1) -> DataFrame:
     """M-13: both sides folded from the stored deltas, with the rate over the
     stream's uptime (measured, unless given; without one the rate is NULL):
     side, topic, message_count, total_bytes, error_count, last_message_time,
-    uptime_seconds, rate_per_second. One row per side and topic, not collected."""
+    last_recorded (M-05: seconds of the relay's clock at the last message, 0 if
+    there was none), uptime_seconds, rate_per_second. One row per side and topic,
+    not collected; no rows if no batch is stored."""
     up = F.lit(float(uptime_seconds)) if uptime_seconds is not None else stream_uptime(spark, out_dir).scalar()
-    report = read_stream_metrics(spark, out_dir, after_batch).withColumn("uptime_seconds", up.cast("double"))
+    report = fold(DeltaStore(spark, out_dir).deltas(after_batch)).withColumn("last_recorded", F.coalesce("last_recorded", F.lit(0.0)))
+    report = report.withColumn("uptime_seconds", up.cast("double"))
     return report.withColumn("rate_per_second", F.when(F.col("uptime_seconds") > 0, F.col("message_count") / F.col("uptime_seconds")))
