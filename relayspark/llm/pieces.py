@@ -18,6 +18,7 @@ space. Decoding gives back every text exactly. Other columns stay as they are.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ LITERAL = "\ufdd0"
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_BELOW = 10.0
 #: Segments that a task keeps, and the longest one worth keeping.
-CACHE_SEGMENTS, CACHE_CHARS = 300_000, 64
+CACHE_SEGMENTS, CACHE_CHARS = 200_000, 32
 
 _SEGMENT = re.compile(" +[^ ]*")
 
@@ -51,6 +52,7 @@ class PieceModel(dict):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.size = model.get_piece_size()
         self.automaton = ahocorasick.Automaton()
+        self.before: dict[str, bytes] = {}
         self.byte_ids = np.zeros(256, "<i4")
         self.raw: list[bytes] = []
         worst = 0.0
@@ -71,28 +73,30 @@ class PieceModel(dict):
     def best(self, segment: str) -> tuple[list[int], float]:
         """Ids of the best way through a segment, and its score."""
         text = segment.replace(SPACE, LITERAL).replace(" ", SPACE)
-        n = len(text)
-        score, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-        at = 0  # scores up to here are final
-
-        def close(upto: int) -> None:
-            nonlocal at
-            while at < upto:
-                at += 1
-                if back[at][1] < 0 or not single[at]:
-                    s = score[at - 1] + self.unknown
-                    if back[at][1] < 0 or s > score[at]:
-                        score[at], back[at] = s, (1, self.size)
-
-        single = [False] * (n + 1)
+        n, unknown, nothing = len(text), self.unknown, (1, self.size)
+        score, back = [0.0] * (n + 1), [nothing] * (n + 1)
+        # Matches come by their ends; at is the one being relaxed, top its best score.
+        at, top, way, single = 0, None, nothing, True
         for end, (length, value, piece) in self.automaton.iter(text):
             end += 1
-            close(end - 1)
+            if end != at:
+                if not single and (s := score[at - 1] + unknown) > top:
+                    top, way = s, nothing
+                if at:
+                    score[at], back[at] = top, way
+                for i in range(at + 1, end):
+                    score[i] = score[i - 1] + unknown
+                at, top, single = end, None, False
             s = score[end - length] + value
-            if back[end][1] < 0 or s > score[end]:
-                score[end], back[end] = s, (length, piece)
-            single[end] = single[end] or length == 1
-        close(n)
+            if top is None or s > top:
+                top, way = s, (length, piece)
+            single = single or length == 1
+        if at:
+            if not single and (s := score[at - 1] + unknown) > top:
+                top, way = s, nothing
+            score[at], back[at] = top, way
+        for i in range(at + 1, n + 1):
+            score[i] = score[i - 1] + unknown
         parts, end = [], n
         while end:
             length, piece = back[end]
@@ -101,9 +105,14 @@ class PieceModel(dict):
         return [i for p in reversed(parts) for i in p], score[n]
 
     def __missing__(self, segment: str) -> bytes:
-        ids = np.array(self.best(segment)[0], "<i4").tobytes()
+        ids = self.before.get(segment)
+        if ids is None:
+            found = self.best(segment)[0]
+            ids = struct.pack(f"<{len(found)}i", *found)
         if len(segment) <= CACHE_CHARS:
-            if len(self) >= CACHE_SEGMENTS:
+            # Two halves: what isn't used while one fills up is forgotten.
+            if len(self) >= CACHE_SEGMENTS // 2:
+                self.before = dict(self)
                 self.clear()
             self[segment] = ids
         return ids

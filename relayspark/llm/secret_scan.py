@@ -2,10 +2,12 @@
 
 Base spans are the leftmost non-overlapping matches of each kind's pattern.
 Beside them, weak candidates (access identifiers that are short or of other
-prefixes, bare 40-character secrets, service endpoints) are linked by an interval join: each candidate opens
-the interval of its scope around it, and is reported only if the parts that
-complete it lie in that interval. A sorted sweep over a text's parts finds, for
-each part, the nearest part of each other sort on either side; work is linear in
+prefixes, bare 40-character secrets, service endpoints) are linked by an interval
+join: each part opens the interval of its scope around it. An access identifier and
+a secret that lie in each other's scope are linked into a credential; candidates
+that are part of none aren't reported. An endpoint is reported if it lies in the
+scope of a linked part. Two sorted sweeps over a text's parts find the nearest part
+of each other sort on either side, then the nearest linked one; work is linear in
 the number of parts.
 
 Built-in functions only. Positions come from splitting a text at the matches and
@@ -35,11 +37,11 @@ BASE_KINDS = [
 # that find the same spans faster (short runs are never spans of these kinds).
 _SCAN = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 
-#: Parts that count only together: kind, pattern, sort of part, sorts it needs.
+#: Parts that count only together: kind, pattern, sort of part.
 WEAK_KINDS = [
-    ("weak_access", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,15}|(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{8,})(?![A-Za-z0-9])", "access", ["secret"]),
-    ("weak_secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", "secret", ["access"]),
-    ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?", "endpoint", ["access", "secret"]),
+    ("weak_access", r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{8,15}|(?:ASIA|AROA|AIDA|AGPA)[A-Z0-9]{8,})(?![A-Za-z0-9])", "access"),
+    ("weak_secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", "secret"),
+    ("endpoint", r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?", "endpoint"),
 ]
 
 #: Part that a base kind plays in a linked credential.
@@ -84,27 +86,28 @@ def found_parts(texts: DataFrame) -> DataFrame:
 
 
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Base spans, and those weak candidates whose complements lie in scope."""
+    """Base spans, weak parts of credentials and the endpoints beside these."""
     sort = F.lit(None).cast("string")
-    for kind, part in [*BASE_PART.items(), *((k, p) for k, _, p, _ in WEAK_KINDS)]:
+    for kind, part in [*BASE_PART.items(), *((k, p) for k, _, p in WEAK_KINDS)]:
         sort = F.when(F.col("kind") == kind, F.lit(part)).otherwise(sort)
-    parts = parts.withColumn("sort", sort)
     sweep = Window.partitionBy("id", "text_hash").orderBy("start", "end", "kind")
     before, after = sweep.rowsBetween(Window.unboundedPreceding, -1), sweep.rowsBetween(1, Window.unboundedFollowing)
-    near = {}
-    for part in ("access", "secret"):
-        of = F.col("sort") == part
+
+    def within(of: Column) -> Column:
+        """The nearest such part on either side is in scope."""
         gap_before = F.col("start") - F.max(F.when(of, F.col("end"))).over(before)
         gap_after = F.min(F.when(of, F.col("start"))).over(after) - F.col("end")
-        near[part] = F.least(gap_before, gap_after)
-    parts = parts.select("*", *(v.alias(f"near_{k}") for k, v in near.items()))
-    kept = F.col("kind").isin(list(BASE_PART))
-    for kind, _, _, needs in WEAK_KINDS:
-        together = F.lit(True)
-        for n in needs:
-            together = together & F.coalesce(F.col(f"near_{n}") <= scope, F.lit(False))
-        kept = kept | ((F.col("kind") == kind) & together)
-    return parts.where(kept).select("id", "text_hash", "kind", "start", "end", "found")
+        return F.coalesce(F.least(gap_before, gap_after) <= scope, F.lit(False))
+
+    parts = parts.withColumn("sort", sort)
+    beside = {"access": within(F.col("sort") == "secret"), "secret": within(F.col("sort") == "access")}
+    linked = F.lit(False)
+    for part, near in beside.items():
+        linked = F.when(F.col("sort") == part, near).otherwise(linked)
+    parts = parts.withColumn("linked", linked)
+    served = (F.col("sort") == "endpoint") & within(F.col("linked"))
+    kept = parts.withColumn("served", served).where(F.col("kind").isin(list(BASE_PART)) | F.col("linked") | F.col("served"))
+    return kept.select("id", "text_hash", "kind", "start", "end", "found")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:

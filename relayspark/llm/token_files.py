@@ -13,7 +13,8 @@ Files are written under another name and then renamed, so a task that runs again
 after an executor was lost replaces its file by an equal one.
 
 Defined results: a null text counts as empty and holds the end id alone; rows of
-equal id are ordered by text; no rows: no files, no result rows.
+equal id are ordered by the hash (xxhash64) of their text, then by text, however the
+rows are dealt; ids are integers; no rows: no files, no result rows.
 """
 
 from __future__ import annotations
@@ -179,7 +180,9 @@ def write_token_files(
 ) -> DataFrame:
     """Write the files and their manifest; returns the manifest (part, path,
     n_docs, n_ids; one row per file, parts in order of ids)."""
-    texts = text_rows(docs, id_col, text_col).repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    texts = text_rows(docs, id_col, text_col)
+    # Files are cut by (id, hash): the order within them has to be the same.
+    texts = texts.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = loaded(tokenizer_file), TaskContext.get().partitionId()

@@ -3,8 +3,9 @@
 Every shard (a run of rows of the candidate table) is multiplied with blocks of
 queries; from each tile a partial selection keeps the k best of each query, and
 the lists of tiles are merged in two levels (within a group of tiles, then
-overall). Query blocks have a fixed number of rows and are sent to the tasks one
-block at a time, so memory is bounded however many queries there are.
+overall). Query blocks have a fixed number of rows; a few are sent to the tasks at a
+time, their results are written, and they are released before the next are sent, so
+memory and plan are bounded however many queries there are.
 
 Components are turned into integers, floor(scale * x), and products are exact:
 in double precision while no partial sum can reach 2^53, in Python integers
@@ -27,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relayspark.llm.common import shared_dir
+
 #: Queries in one block; a block of 64 components takes 1 MB.
 QUERY_BLOCK = 2048
 #: Query blocks multiplied in one pass over the candidates.
@@ -58,10 +61,10 @@ def _products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     return np.clip(exact, LEAST, MOST).astype(np.int64)
 
 
-def _select(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _select(scores: np.ndarray, rows: np.ndarray, query_rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a tile (queries by candidates, ids ascending), the k best of each
-    query: rows, ids, scores."""
-    own = query_ids[:, None] == ids[None, :]
+    query: queries, candidates, scores."""
+    own = query_rows[:, None] == rows[None, :]
     low = np.where(own, LEAST, scores)
     if low.shape[1] > k:
         cut = np.partition(low, low.shape[1] - k, axis=1)[:, -k][:, None]
@@ -71,25 +74,32 @@ def _select(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int)
         chosen = above | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
     else:
         chosen = ~own
-    row, col = np.nonzero(chosen)
-    return row, ids[col], low[row, col]
+    query, col = np.nonzero(chosen)
+    return query, col, low[query, col]
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """Query blocks, a few at a time: each block is (ids, vectors) of one
-    length; rows come to the driver a partition at a time."""
-    held: dict[int, list[tuple[int, list[float]]]] = {}
-    ready: list[tuple[np.ndarray, np.ndarray]] = []
+def _blocks(queries: DataFrame, size: int) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """Query blocks, a few at a time: each block is (ids, row numbers, vectors) of
+    one length; rows come to the driver a partition at a time."""
+    held: dict[int, list] = {}
+    ready: list[tuple[np.ndarray, ...]] = []
+    whole = lambda own: tuple(map(np.array, zip(*own)))
     for r in queries.toLocalIterator():
         own = held.setdefault(len(r["v"]), [])
-        own.append((r["vec_id"], r["v"]))
+        own.append((r["vec_id"], r["row"], r["v"]))
         if len(own) == size:
-            ready.append((np.array([x for x, _ in own]), np.array([v for _, v in own])))
+            ready.append(whole(own))
             own.clear()
             if len(ready) == BLOCKS_PER_PASS:
                 yield ready
                 ready = []
-    ready += [(np.array([x for x, _ in own]), np.array([v for _, v in own])) for own in held.values() if own]
+    # At most one block of each length is left.
+    for own in held.values():
+        if own:
+            ready.append(whole(own))
+            if len(ready) == BLOCKS_PER_PASS:
+                yield ready
+                ready = []
     if ready:
         yield ready
 
@@ -108,17 +118,24 @@ def top_k(
     ``is_query`` is a condition on the column ``vec_id``.
     """
     spark = vectors.sparkSession
-    rows = whole_vectors(vectors, id_col, vector_col)
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    schema = "query_id long, vec_id long, score long, tile int"
-    lists = spark.createDataFrame([], schema)
-    for blocks in _blocks(queries, query_block):
-        sent = spark.sparkContext.broadcast([(ids, _integers(v, scale)) for ids, v in blocks])
-        lists = lists.union(rows.mapInArrow(_tiles(sent, k, scale), schema))
-    ranked = Window.partitionBy("query_id", "tile").orderBy(F.desc("score"), "vec_id")
-    merged = lists.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k).drop("place", "tile")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    folder = shared_dir(spark, "top-k")
+    # Written once, so that a row has one number wherever it is read.
+    numbered = whole_vectors(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id())
+    numbered.write.mode("overwrite").parquet(f"{folder}/rows")
+    rows = spark.read.schema("vec_id long, v array<double>, row long").parquet(f"{folder}/rows")
+    result = "query_id long, rank int, vec_id long, score long"
+    found = spark.createDataFrame([], result)
+    for n, blocks in enumerate(_blocks(rows.where(is_query), query_block)):
+        sent = spark.sparkContext.broadcast([(ids, numbers, _integers(v, scale)) for ids, numbers, v in blocks])
+        lists = rows.mapInArrow(_tiles(sent, k, scale), "query_row long, query_id long, vec_id long, score long, tile int")
+        ranked = Window.partitionBy("query_row", "tile").orderBy(F.desc("score"), "vec_id")
+        merged = lists.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= k).drop("place", "tile")
+        ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        best = merged.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        best.write.mode("overwrite").parquet(f"{folder}/found/pass={n}")
+        sent.destroy()
+        found = spark.read.schema(f"{result}, pass int").parquet(f"{folder}/found").drop("pass")
+    return found
 
 
 def _tiles(sent, k: int, scale: float):
@@ -127,7 +144,7 @@ def _tiles(sent, k: int, scale: float):
         for batch in batches:
             for begin in range(0, batch.num_rows, TILE_ROWS):
                 part = batch.slice(begin, TILE_ROWS)
-                ids = part.column("vec_id").to_numpy(zero_copy_only=False)
+                ids, numbers = (part.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
                 lists = part.column("v")
                 flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
                 size, first = np.diff(ends), ends[:-1] - ends[0]
@@ -135,16 +152,17 @@ def _tiles(sent, k: int, scale: float):
                     at = np.flatnonzero(size == n)
                     at = at[np.argsort(ids[at], kind="stable")]
                     shard = _integers(flat[first[at][:, None] + np.arange(n)], scale)
-                    for query_ids, queries in sent.value:
+                    for query_ids, query_rows, queries in sent.value:
                         if queries.shape[1] != n:
                             continue
-                        row, found, scores = _select(_products(queries, shard), ids[at], query_ids, k)
+                        query, found, scores = _select(_products(queries, shard), numbers[at], query_rows, k)
                         yield pa.RecordBatch.from_pydict(
                             {
-                                "query_id": pa.array(query_ids[row], pa.int64()),
-                                "vec_id": pa.array(found, pa.int64()),
+                                "query_row": pa.array(query_rows[query], pa.int64()),
+                                "query_id": pa.array(query_ids[query], pa.int64()),
+                                "vec_id": pa.array(ids[at][found], pa.int64()),
                                 "score": pa.array(scores, pa.int64()),
-                                "tile": pa.array(np.full(len(row), tile % MERGE_GROUPS), pa.int32()),
+                                "tile": pa.array(np.full(len(query), tile % MERGE_GROUPS), pa.int32()),
                             }
                         )
                 tile += 1

@@ -111,13 +111,11 @@ def page(url, rules, default="allow"):
 
 
 def top_k(vectors, k=10, scale=1024):
-    """Of rows (id, vector) that take part."""
+    """Of rows (id, vector) that take part; rows of one id are apart."""
     ok = [(i, [math.floor(scale * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    out, seen = [], {}
-    for i, v in ok:
+    out = []
+    for n, (i, v) in enumerate(ok):
         if i % 100 == 0:
-            seen[i] = min(seen.get(i, v), v)
-    for i, v in seen.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in ok if j != i and len(w) == len(v))[:k]
-        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(ok) if m != n and len(w) == len(v))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return sorted(out)

@@ -104,6 +104,32 @@ def test_top_k_equals_brute_force_with_ties(spark, monkeypatch):
         assert got == brute.top_k([(i, v) for i, v, *_ in rows])
 
 
+def test_rows_of_one_id_are_candidates_of_each_other(spark):
+    rows = [(100, [1.0, 0.0], 0, 1, "v"), (100, [0.5, 0.0], 0, 1, "v"), (3, [0.25, 0.0], 0, 1, "v"), (100, [1.0, 0.0], 0, 1, "v")]
+    got = sorted(tuple(r) for r in top_k(vectors(spark, rows).repartition(3), F.col("vec_id") % 100 == 0).collect())
+    assert got == brute.top_k([(i, v) for i, v, *_ in rows]) and len(got) == 9
+
+
+def test_many_query_blocks_are_released(spark, monkeypatch):
+    """Blocks are sent a few at a time, and one pass at a time is held."""
+    held, most = set(), []
+    broadcast = type(spark.sparkContext).broadcast
+
+    def counted(self, value):
+        sent = broadcast(self, value)
+        held.add(sent)
+        most.append(len(held))
+        destroy = sent.destroy
+        sent.destroy = lambda *a: (held.discard(sent), destroy(*a))
+        return sent
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", counted)
+    monkeypatch.setattr(topk, "BLOCKS_PER_PASS", 2)
+    rows = [(100 * i, [float(i % 9), 1.0], 0, 1, "v") for i in range(12)]
+    assert top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0, query_block=2).count() == 120
+    assert len(most) == 3 and max(most) == 1 and not held
+
+
 def test_top_k_of_huge_components_and_of_nothing(spark):
     rows = [(0, [3e8, 1.0], 0, 1, "v"), (1, [2e8, 1.0], 0, 1, "v"), (2, [-2e8, 0.5], 0, 1, "v")]
     floats = [(i, [float(np.float32(x)) for x in v]) for i, v, *_ in rows]

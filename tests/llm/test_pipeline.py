@@ -84,3 +84,21 @@ def test_stages_of_an_empty_table(spark, tmp_path):
     held = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, held, sf).collect() == []
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """Names that stages or operators use themselves go through all stages."""
+    docs, labels, items = planted()
+    sf = str(tmp_path)
+    more = "score double, documents_score double, predicted int, of_id long, of_text long, own_copy_number int, secret_spans string, spans string, row string, place int, id long, text_hash long, c0 string"
+    rows = [(i, t, None, 0.25, 0.75, 3, 4, 5, 6, "a", "b", "c", 7, 8, 9, "d") for i, t in docs]
+    held = spark.createDataFrame(rows, f"doc_id long, text string, n_chars int, {more}")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, held, sf)
+        assert out.columns == held.columns
+        out.write.parquet(f"{sf}/{name}")
+        held = spark.read.parquet(f"{sf}/{name}")
+    kept = held.collect()
+    assert kept and {tuple(r)[3:] for r in kept} == {rows[0][3:]} and {r["doc_id"] for r in kept} >= {3000} and len(kept) == len({r["doc_id"] for r in kept})

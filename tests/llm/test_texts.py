@@ -12,9 +12,9 @@ from relayspark.llm import language, lm_score, pieces, toxicity
 from relayspark.llm.common import fold
 from relayspark.llm.lm_score import lm_scores
 from relayspark.llm.pieces import PieceModel, decode_pieces, encode_pieces
-from relayspark.llm.queries import URL_RULES, tokenizer_path
+from relayspark.llm.queries import URL_RULES, op6_url_filters, tokenizer_path
 from relayspark.llm.secret_scan import base_digest, redact, scan_secrets
-from relayspark.llm.token_files import BATCH_SEQUENCES, SEQUENCE, TokenFile, WordEncoder, read_token_files, write_token_files
+from relayspark.llm.token_files import BATCH_SEQUENCES, SEQUENCE, TokenFile, WordEncoder, read_token_files, token_table, write_token_files
 from relayspark.llm.url_filter import filter_urls
 from relayspark.session import plan_text
 from tests.conftest import SF_SMALL
@@ -289,12 +289,38 @@ def test_pairs_of_credentials_without_spaces(documents):
     }
 
 
+def test_endpoints_need_a_linked_pair(documents):
+    """An endpoint between two parts that are out of each other's scope."""
+    session, far = "ASIAIOSFODNN7EXAMPLE", "x " * 145
+    texts = [
+        (1, f"{session} {far}https://a.example.com {far}{'0a' * 16}"),
+        (2, f"{session} {'0a' * 16} {far}https://a.example.com"),
+        (3, f"{session} {'0a' * 16} {far}{far}https://a.example.com"),
+        (4, f"https://a.example.com {SECRET} {far}{session}"),
+    ]
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in scan_secrets(documents(texts)).collect()}
+    assert got == {1: ["hex"], 2: ["weak_access", "hex", "endpoint"], 3: ["weak_access", "hex"], 4: ["endpoint", "weak_secret", "weak_access"]}
+
+
 def test_native_operators_run_no_python(spark):
     stored = [scan_secrets(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))]
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    stored.append(filter_urls(spark.read.parquet(f"{SF_SMALL}/pages.parquet"), rules))
+    stored.append(op6_url_filters(spark, SF_SMALL))
     for df in stored:
-        assert not any(x in plan_text(df) for x in ("MapInArrow", "EvalPython", "Pandas", "FlatMapGroups", "BatchEval"))
+        assert not any(x in plan_text(df) for x in ("ExistingRDD", "MapInArrow", "EvalPython", "Pandas", "FlatMapGroups", "BatchEval"))
+
+
+def test_ids_of_equal_rows_start_at_the_same_places(documents, spark):
+    """However the rows of one id are dealt to files."""
+    rows = [(7, f"text {i % 40} {'word ' * (i % 5)}") for i in range(600)] + [(3, "first"), (9, "last")]
+    starts = set()
+    for n in (1, 2, 4):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            out = token_table(documents(rows).repartition(3), tokenizer_path("word_bpe_49k.json"), end_id=2).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+        starts.add(tuple(sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in out)))
+    assert len(starts) == 1
 
 
 def test_redaction(documents):
