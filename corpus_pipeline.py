@@ -18,7 +18,8 @@ keeps goes on whole; all stages but the last return the columns of documents.
 Defined results: null texts pass stages 1 to 4 as they are and have no ids; empty
 tables give empty results; additional columns go through stages 1 to 4;
 rows are judged by id and text, so that rows of one id with other texts and rows
-without an id have verdicts of their own.
+without an id have verdicts of their own; of rows of equal id and text that differ in
+other columns, stage 2 keeps the one of least hash; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,50 +37,60 @@ from relayspark.llm.toxicity import fit, score_toxicity
 from relayspark.session import configure
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The columns under numbers: no name that a stage adds can clash with them."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, id, text_hash): each row whole, with what decisions name it by."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     model = fit(docs, read(spark, sf_dir, "labels"), fold("id", 3) != 1)
-    # Columns of the documents that have the names of the results step aside.
-    aside = {c: f"documents_{c}" for c in ("score", "predicted") if c in docs.columns}
-    kept = score_toxicity(docs.withColumnsRenamed(aside), model).where("predicted = 0").drop("score", "predicted")
-    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
+    scored = score_toxicity(_numbered(docs), model, text_col=f"c{docs.columns.index('text')}")
+    return scored.where("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows but those whose id and text are among (doc_id, text_hash)."""
     named = gone.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text")).distinct()
-    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_text")), "left_anti")
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
+    return _keyed(docs).join(named, same, "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     found = jaccard_components(docs.select("doc_id", "text"))
     # The first row of a component is named by id and hash; others go.
-    kept = _without(docs, found.where("not (component_id <=> doc_id and component_hash = text_hash)"))
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
-    copies = kept.select(*docs.columns, F.row_number().over(once).alias("own_copy_number"))
-    # Without an id and words nothing says that rows are copies.
-    wordless = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
-    return copies.where((F.col("own_copy_number") == 1) | wordless).select(docs.columns)
+    kept = _keyed(_without(docs, found.where("not (component_id <=> doc_id and component_hash = text_hash)")))
+    # Without an id and words nothing says that rows are copies: each is its own.
+    wordless = F.col("id").isNull() & ~F.coalesce(F.col("row.text").rlike("[^ \\t-\\r]"), F.lit(False))
+    once = Window.partitionBy("id", "text_hash").orderBy(F.xxhash64("row"))
+    copies = kept.where(~wordless).select("row", F.row_number().over(once).alias("place")).where("place = 1")
+    return copies.select("row").union(kept.where(wordless).select("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     found = find_benchmark(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated")).select(docs.columns)
+    return _without(docs, found.where("contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     found = scan_secrets(docs.select("doc_id", "text"))
-    spans = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text")).agg(F.first("spans").alias("secret_spans"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_text")), "left")
-    clean = F.when(F.col("secret_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("secret_spans")))
-    cleaned = joined.withColumn("text", clean)
+    spans = found.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_text")).agg(F.first("spans").alias("spans"))
+    joined = _keyed(docs).join(spans, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text")), "left")
+    hit = F.col("spans").isNotNull()
+    clean = joined.select("row", "spans", F.when(hit, redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")).alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("secret_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return cleaned.select(docs.columns)
+        changed["n_chars"] = F.when(hit, F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return clean.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

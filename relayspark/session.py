@@ -12,14 +12,19 @@ from pyspark.sql import SparkSession
 # Fixed settings every query depends on:
 # - a repeated header key keeps its last value (a Python dict build does that),
 # - a repeated JSON object key keeps its last value (json.loads does that),
-# - event times are read and written as UTC wall clock.
+# - event times are read and written as UTC wall clock,
+# - batches that go to Python are bounded in bytes, as messages and texts may be long.
 REQUIRED_CONF = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
+#: Bytes of a Parquet row group, which each writing task holds; 32 MB unless set.
+ROW_GROUP = "parquet.block.size"
+
 _SHIP_LOCK = threading.Lock()
 
 
@@ -28,6 +33,8 @@ def configure(spark: SparkSession) -> SparkSession:
     session-settable) and make the package importable by Python workers."""
     for key, value in REQUIRED_CONF.items():
         spark.conf.set(key, value)
+    if spark.conf.get(ROW_GROUP, None) is None:
+        spark.conf.set(ROW_GROUP, str(32 << 20))
     ship_package(spark)
     return spark
 
