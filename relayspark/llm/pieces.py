@@ -36,7 +36,7 @@ LITERAL = "\ufdd0"
 #: An unknown character scores this much less than the worst piece.
 UNKNOWN_BELOW = 10.0
 #: Segments that a task keeps, and the longest one worth keeping.
-CACHE_SEGMENTS, CACHE_CHARS = 200_000, 32
+CACHE_SEGMENTS, CACHE_CHARS = 300_000, 32
 
 _SEGMENT = re.compile(" +[^ ]*")
 
@@ -73,12 +73,13 @@ class PieceModel(dict):
     def best(self, segment: str) -> tuple[list[int], float]:
         """Ids of the best way through a segment, and its score."""
         text = segment.replace(SPACE, LITERAL).replace(" ", SPACE)
-        n, unknown, nothing = len(text), self.unknown, (1, self.size)
+        n, unknown, nothing = len(text), self.unknown, (1, 0.0, self.size)
         score, back = [0.0] * (n + 1), [nothing] * (n + 1)
         # Matches come by their ends; at is the one being relaxed, top its best score.
         at, top, way, single = 0, None, nothing, True
-        for end, (length, value, piece) in self.automaton.iter(text):
+        for end, match in self.automaton.iter(text):
             end += 1
+            length, value, _ = match
             if end != at:
                 if not single and (s := score[at - 1] + unknown) > top:
                     top, way = s, nothing
@@ -89,8 +90,9 @@ class PieceModel(dict):
                 at, top, single = end, None, False
             s = score[end - length] + value
             if top is None or s > top:
-                top, way = s, (length, piece)
-            single = single or length == 1
+                top, way = s, match
+            if length == 1:
+                single = True
         if at:
             if not single and (s := score[at - 1] + unknown) > top:
                 top, way = s, nothing
@@ -99,7 +101,7 @@ class PieceModel(dict):
             score[i] = score[i - 1] + unknown
         parts, end = [], n
         while end:
-            length, piece = back[end]
+            length, _, piece = back[end]
             end -= length
             parts.append([piece] if piece < self.size else self.byte_ids[list(segment[end].encode())].tolist())
         return [i for p in reversed(parts) for i in p], score[n]
