@@ -4,23 +4,29 @@ A word's input has two parts: an embedding of the word itself and the mean
 embedding of its character n-grams (bytes, with marks at both ends), both in
 hashed tables, so that unseen forms of a known stem are recognised. Windows of
 words overlap; the network reads each in both directions, an attention layer
-weighs its states and inputs, and a window's logit is a linear function of the
-weighted mean. A text's logit is that of its highest window; its score is the logistic
-of the calibrated logit.
-
-The network is trained in numpy on a bounded sample of labelled rows (see
-``fit``); on part of the sample, which the gradient doesn't see, the logit is
-calibrated. Scoring takes all windows of whole texts. The inputs of a word's
-gates are computed once per distinct word of a slice.
+weighs its states, and a window's logit is a linear function of the weighted mean
+of states: words reach it through the recurrent states alone. A text's logit is
+that of its highest window; its score is the logistic of the calibrated logit.
+
+The network is trained in numpy on windows drawn by hash from whole texts of a
+bounded sample of labelled rows (see ``fit``). Training starts from embeddings
+whose first column holds label log odds and from one unit a direction that reads
+this column; all of it is then trained. On part of the sample, which the gradient
+doesn't see, the logit is calibrated. Calibration and scoring take all windows of
+whole texts. The inputs of a word's gates are computed once per distinct word of a
+slice.
 
 Defined results: null texts and texts without words score as one empty window;
 equal texts get equal scores; without labels of both kinds, all texts get
 score 0 (or the only label there is); a null label counts as no label, and
-of several labels of one id the highest counts.
+of several labels of one id the highest counts; of several labelled texts of one
+id the network learns from that of least hash; with fewer than FEW rows of a label
+to train or to calibrate on, all rows of the sample serve for both.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,11 +34,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relayspark.llm.common import slices, split_words, word_codes
+from relayspark.llm.common import materialize, slices, split_words, word_codes
 
 #: Words of a window, words between two windows' starts.
 WINDOW, STRIDE = 32, 24
@@ -42,13 +49,15 @@ WORD_SLOTS, GRAM_SLOTS, WORD_DIM, GRAM_DIM, STATES = 1 << 17, 1 << 15, 6, 10, 8
 TABLES = ("word", "gram")
 #: Bytes of a character n-gram.
 GRAMS = (3, 4)
-#: Log odds of a slot count in full from many times so many texts on.
-PRIOR_TEXTS = 8
+#: Log odds of a slot are drawn to 0 as if so large a share of the texts more held it.
+PRIOR_SHARE = 0.05
 #: Bytes of text scored at once.
 SLICE = 2 << 20
-#: Bounds of the sample: rows of each label to train on (of at most so many
-#: words) and to calibrate on (of any length up to that many).
-TRAIN_ROWS, TRAIN_WORDS, CALIBRATE_ROWS, CALIBRATE_WORDS = 900, 400, 400, 20_000
+#: Bounds of the sample: toxic rows to train on (and twice as many others), windows
+#: of each, bytes of a window, rows of each label to calibrate on.
+TRAIN_ROWS, TRAIN_WINDOWS, WINDOW_BYTES, CALIBRATE_ROWS = 900, 24, 8192, 400
+#: Rows of a label below which training and calibration share them.
+FEW = 20
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: In calibration, weight of a clean text taken for toxic against the reverse.
@@ -96,13 +105,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def _first_columns(value: float) -> np.ndarray:
-    """Weights of a word's input that read the first column of each table."""
-    w = np.zeros(WORD_DIM + GRAM_DIM, np.float32)
-    w[[0, WORD_DIM]] = value
-    return w
-
-
 @dataclass
 class Network:
     """Parameters, by name; ``scale`` and ``shift`` calibrate a text's logit."""
@@ -116,7 +118,7 @@ class Network:
         rng = np.random.default_rng(seed)
         d, h = WORD_DIM + GRAM_DIM, STATES
         draw = lambda *shape, s: (rng.standard_normal(shape) * s).astype(np.float32)
-        return Network(
+        net = Network(
             {
                 "word": draw(WORD_SLOTS, WORD_DIM, s=0.02),
                 "gram": draw(GRAM_SLOTS, GRAM_DIM, s=0.02),
@@ -127,10 +129,16 @@ class Network:
                 "v": draw(2 * h, s=0.3),
                 "o": draw(2 * h, s=0.5),
                 "c": np.zeros(1, np.float32),
-                "look": _first_columns(1.0),
-                "say": _first_columns(0.5),
             }
         )
+        # The first unit of each direction starts as a reader of the tables' first column.
+        p = net.p
+        p["x"][:, [0, WORD_DIM], 2 * h] = 1.5
+        p["b"][:, 0, 0] = -1.0
+        p["a"][[0, h], 0] = 1.0
+        p["v"][0] = 1.0
+        p["o"][[0, h]] = 2.0
+        return net
 
     def embed(self, slot: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Inputs of distinct words; one more row, of zeros, for padding."""
@@ -162,27 +170,23 @@ class Network:
         # Both directions' states at each word, backward ones in reading order.
         s = np.concatenate([states[:, 0], states[::-1, 1]], axis=2).transpose(1, 0, 2)
         mixed = np.tanh(s @ p["a"])
-        say = (inputs @ p["say"])[codes]
-        e = np.where(codes != pad, mixed @ p["v"] + (inputs @ p["look"])[codes], -1e9)
+        e = np.where(codes != pad, mixed @ p["v"], -1e9)
         e = np.exp(e - e.max(1, keepdims=True))
         weight = e / e.sum(1, keepdims=True)
         pooled = (weight[:, None, :] @ s)[:, 0]
-        logit = pooled @ p["o"] + (weight * say).sum(1) + p["c"][0]
-        return (logit, (both, held, s, mixed, weight, pooled, say)) if keep else logit
+        logit = pooled @ p["o"] + p["c"][0]
+        return (logit, (both, held, s, mixed, weight, pooled)) if keep else logit
 
     def backward(self, inputs: np.ndarray, codes: np.ndarray, cache, d_logit: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the parameters above the embeddings, and of the inputs."""
         p, h, pad = self.p, STATES, len(inputs) - 1
-        both, held, s, mixed, weight, pooled, say = cache
+        both, held, s, mixed, weight, pooled = cache
         g = {"o": pooled.T @ d_logit, "c": np.array([d_logit.sum()], np.float32)}
         d_pooled = d_logit[:, None] * p["o"]
-        d_weight = (s @ d_pooled[:, :, None])[..., 0] + say * d_logit[:, None]
+        d_weight = (s @ d_pooled[:, :, None])[..., 0]
         d_s = weight[..., None] * d_pooled[:, None, :]
         d_e = weight * (d_weight - (weight * d_weight).sum(1, keepdims=True))
         d_e[codes == pad] = 0
-        direct = np.stack([np.bincount(codes.ravel(), weights=x.ravel(), minlength=len(inputs)) for x in (d_e, weight * d_logit[:, None])]).astype(np.float32)
-        direct[:, pad] = 0
-        g["look"], g["say"] = direct @ inputs
         g["v"] = (mixed * d_e[..., None]).sum((0, 1))
         d_mixed = d_e[..., None] * p["v"] * (1 - mixed * mixed)
         g["a"] = s.reshape(-1, 2 * h).T @ d_mixed.reshape(-1, 2 * h)
@@ -206,7 +210,7 @@ class Network:
         d_gates[:, pad] = 0
         g["b"] = d_gates.sum(1, keepdims=True)
         g["x"] = inputs.T @ d_gates
-        d_inputs = (d_gates @ p["x"].transpose(0, 2, 1)).sum(0) + np.outer(direct[0], p["look"]) + np.outer(direct[1], p["say"])
+        d_inputs = (d_gates @ p["x"].transpose(0, 2, 1)).sum(0)
         return g, d_inputs[:-1]
 
 
@@ -227,6 +231,17 @@ def text_logits(net: Network, texts: list[str | None] | pa.Array) -> np.ndarray:
     return np.maximum.reduceat(logit, np.searchsorted(row, np.arange(len(texts))))
 
 
+def drawn_windows(text: str, most: int) -> list[str]:
+    """At most ``most`` windows of a whole text, those of least hash (of the
+    window's number and words), in the text's order; every place of a text of
+    any length is as likely. Windows beyond WINDOW_BYTES aren't drawn."""
+    words = split_words(pa.array([text], pa.string()))[0].to_pylist()
+    count = max(-(-(len(words) - (WINDOW - STRIDE)) // STRIDE), 1)
+    all_of = (" ".join(words[STRIDE * i : STRIDE * i + WINDOW]) for i in range(count))
+    keyed = ((zlib.crc32(f"{i} {w}".encode()), i, w) for i, w in enumerate(all_of) if len(w) <= WINDOW_BYTES)
+    return [w for _, w in sorted((i, w) for _, i, w in heapq.nsmallest(most, keyed))] or [""]
+
+
 def _seed_tables(net: Network, texts: list[str], labels: np.ndarray, batch: int = 64) -> None:
     """Start the first column of each table at the log odds of the labels of texts
     that hold a slot, drawn to 0 where few do, so that training begins from what
@@ -248,26 +263,29 @@ def _seed_tables(net: Network, texts: list[str], labels: np.ndarray, batch: int
                 held[name][label] += np.bincount((pairs % size)[labels[a + pairs // size] == label], minlength=size)
     for name, (zeros, ones) in held.items():
         odds = np.log((ones + 1) / ((labels == 1).sum() + 2)) - np.log((zeros + 1) / ((labels == 0).sum() + 2))
-        net.p[name][:, 0] += (odds * (ones + zeros) / (ones + zeros + PRIOR_TEXTS)).astype(np.float32)
+        net.p[name][:, 0] += (odds * (ones + zeros) / (ones + zeros + PRIOR_SHARE * len(texts))).astype(np.float32)
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 4, batch: int = 24, rate: float = 0.01, table_rate: float = 0.5, l2: float = 1e-4, seed: int = 7) -> Network:
-    """Adam on the logistic loss of texts; a text's logit while training is the
-    soft maximum of its windows', so every window gets a share of the gradient."""
+def train(texts: list[list[str]], labels: np.ndarray, rounds: int = 4, batch: int = 24, rate: float = 0.01, table_rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> Network:
+    """Adam on the logistic loss of texts, each given by its windows (of at most
+    WINDOW words); a text's logit while training is the soft maximum of its
+    windows', so every window gets a share of the gradient."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
-    _seed_tables(net, texts, labels)
+    _seed_tables(net, [" ".join(t) for t in texts], labels)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in TABLES}
     step, balance = 0, np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9))
     for _ in range(rounds):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             at = order[a : a + batch]
-            distinct, rows, codes = _coded([texts[i] for i in at])
+            given = [w for i in at for w in texts[i]]
+            distinct, rows, codes = _coded(given)
             if not len(distinct):
                 continue
             slot, grams, n = word_inputs(distinct)
             inputs = net.embed(slot, grams, n)
-            held, row = windows(rows, codes, len(at), len(distinct))
+            held, _ = windows(rows, codes, len(given), len(distinct))
+            row = np.repeat(np.arange(len(at)), [len(texts[i]) for i in at])
             logit, cache = net.forward(inputs, held, keep=True)
             first = np.searchsorted(row, np.arange(len(at)))
             top = np.maximum.reduceat(logit, first)
@@ -309,32 +327,77 @@ def fit(
     train_rows: int = TRAIN_ROWS, calibrate_rows: int = CALIBRATE_ROWS,
 ) -> Network | float:
     """Learn from the rows that ``learn`` (a condition on the column ``id``)
-    allows, of each label at most ``3 * train_rows + calibrate_rows`` ids, those
-    of least hash; of these, at most ``train_rows`` toxic rows and twice as many
-    others train the network. With one label only, that label is returned."""
+    allows: of each label at most ``3 * train_rows + calibrate_rows`` ids, those of
+    least hash, and of each id one text. An eighth of the ids, at most
+    ``calibrate_rows`` of each label, calibrate; of the others, at most
+    ``train_rows`` toxic ones and twice as many others train the network, each by
+    at most TRAIN_WINDOWS windows from all places of its text. Texts of any length
+    serve for both; the driver gets these windows and the calibration's logits, no
+    texts. With one label only, that label is returned."""
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(learn & F.col("id").isNotNull() & F.col("label").isin(0, 1))
-    marked = marked.groupBy("id").agg(F.max("label").alias("label"))
-    ranked = marked.withColumn("h", F.xxhash64("id"))
+    ranked = marked.groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id"))
     most = 3 * train_rows + calibrate_rows
     chosen = ranked.where("label = 0").orderBy("h", "id").limit(most).union(ranked.where("label = 1").orderBy("h", "id").limit(most))
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.length("text") <= 8 * CALIBRATE_WORDS)
-    # At most twice that many ids; long texts serve calibration alone.
-    rows = texts.join(F.broadcast(chosen), "id").where((F.length("text") <= 12 * TRAIN_WORDS) | (F.pmod("h", F.lit(8)) == 0)).select("id", "h", "label", "text").collect()
-    rows.sort(key=lambda r: (r["h"], r["id"], r["text"]))
-    kinds = {r["label"] for r in rows}
-    if len(kinds) < 2:
-        return float(next(iter(kinds), 0))
-    held = [r for kind in (0, 1) for r in [r for r in rows if r["label"] == kind and r["h"] % 8 == 0][:calibrate_rows]]
-    rest = [r for r in rows if r["h"] % 8 != 0 and len(r["text"].split()) <= TRAIN_WORDS]
-    used = [r for kind in (0, 1) for r in [r for r in rest if r["label"] == kind][: train_rows * (2 - kind)]]
-    if min(sum(r["label"] == kind for r in part) for part in (used, held) for kind in (0, 1)) < 20:  # few labels: all serve for both
-        used = held = rows
-    net = train([r["text"] for r in used], np.array([r["label"] for r in used], np.float32))
-    logits = np.concatenate([text_logits(net, [r["text"] for r in held[a : a + 16]]) for a in range(0, len(held), 16)])
-    calibrate(net, logits, np.array([r["label"] for r in held]))
+    # At most twice that many ids.
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
+    drawn = materialize(_one_each(texts.mapInArrow(_draw, _drawn_schema(texts)), "windows"))
+
+    def rows(part: str) -> list:
+        kinds = [drawn.where(part).where(f"label = {kind}").orderBy("h", "id").limit(train_rows * (2 - kind)) for kind in (0, 1)]
+        return kinds[0].unionByName(kinds[1]).select("label", "windows").collect()
+
+    def logits(net: Network, part: str) -> tuple[np.ndarray, np.ndarray]:
+        sent = texts.sparkSession.sparkContext.broadcast(net)  # of fixed size
+        kept = texts.where(part).mapInArrow(lambda batches: _logit(sent.value, batches), _logit_schema(texts))
+        got = [r for kind in (0, 1) for r in _one_each(kept, "logit").where(f"label = {kind}").orderBy("h", "id").limit(calibrate_rows).select("label", "logit").collect()]
+        sent.unpersist()
+        return np.array([r["logit"] for r in got]), np.array([r["label"] for r in got])
+
+    n = {(r["label"], r["held"]): r["count"] for r in drawn.groupBy("label", (F.pmod("h", F.lit(8)) == 0).alias("held")).count().collect()}
+    present = sorted({kind for kind, _ in n})
+    if len(present) < 2:
+        return float(present[0] if present else 0)
+    few = min(n.get((kind, held), 0) for kind in (0, 1) for held in (True, False)) < FEW
+    used = rows("true" if few else "pmod(h, 8) != 0")
+    net = train([r["windows"] for r in used], np.array([r["label"] for r in used], np.float32))
+    calibrate(net, *logits(net, "true" if few else "pmod(h, 8) = 0"))
     return net
 
 
+def _one_each(rows: DataFrame, value: str) -> DataFrame:
+    """Of each id, the row whose text has the least hash."""
+    return rows.groupBy("id", "h", "label").agg(F.min_by(value, "text_hash").alias(value))
+
+
+def _drawn_schema(texts: DataFrame) -> T.StructType:
+    return T.StructType([texts.schema["id"], texts.schema["h"], texts.schema["label"], T.StructField("text_hash", T.LongType()), T.StructField("windows", T.ArrayType(T.StringType()))])
+
+
+def _logit_schema(texts: DataFrame) -> T.StructType:
+    return T.StructType([*_drawn_schema(texts).fields[:4], T.StructField("logit", T.DoubleType())])
+
+
+def _text_hashes(texts: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+
+
+def _keyed(part: pa.RecordBatch, name: str, value: pa.Array) -> pa.RecordBatch:
+    kept = [part.column(c) for c in ("id", "h", "label")]
+    return pa.RecordBatch.from_arrays([*kept, _text_hashes(part.column("text")), value], names=["id", "h", "label", "text_hash", name])
+
+
+def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            yield _keyed(part, "windows", pa.array([drawn_windows(t, TRAIN_WINDOWS) for t in part.column("text").to_pylist()], pa.list_(pa.string())))
+
+
+def _logit(net: Network, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            yield _keyed(part, "logit", pa.array(text_logits(net, part.column("text")).astype(np.float64)))
+
+
 def score_toxicity(docs: DataFrame, model: Network | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every column of ``docs``, with score and predicted (1 from THRESHOLD on)
     in place of columns of these names."""

@@ -89,6 +89,55 @@ def test_gradient_of_the_network():
     assert slope(inputs, (2, 5)) == pytest.approx(d_inputs[2, 5], abs=2e-5)
 
 
+def _slow_logit(net, words):
+    """A window's logit by the equations, a word and a unit at a time."""
+    h, inputs = toxicity.STATES, []
+    for w in words:
+        slot, grams, _ = toxicity.word_inputs(pa.array([w]))
+        inputs.append(np.concatenate([net.p["word"][slot[0]], net.p["gram"][grams].mean(0)]).astype(np.float64))
+    sides = []
+    for k, order in ((0, inputs), (1, inputs[::-1])):
+        state, seen = np.zeros(h), []
+        for x in order:
+            gx, gs = x @ net.p["x"][k] + net.p["b"][k, 0], state @ net.p["u"][k]
+            keep, reset = (1 / (1 + np.exp(-(gx + gs)[i * h : i * h + h])) for i in (0, 1))
+            state = keep * state + (1 - keep) * np.tanh(gx[2 * h :] + reset * gs[2 * h :])
+            seen.append(state)
+        sides.append(seen[:: 1 - 2 * k])
+    states = [np.concatenate(pair) for pair in zip(*sides)]
+    e = np.exp([np.tanh(s @ net.p["a"]) @ net.p["v"] for s in states])
+    return sum(w * s for w, s in zip(e / e.sum(), states)) @ net.p["o"] + net.p["c"][0]
+
+
+def test_toxicity_equals_a_slow_network():
+    words = [f"w{i % 37}x" for i in range(131)]
+    net = toxicity.Network.fresh(3)
+    net.p["word"] *= 30
+    net.p["gram"] *= 30
+    starts = range(0, len(words) - (toxicity.WINDOW - toxicity.STRIDE), toxicity.STRIDE)
+    slow = max(_slow_logit(net, words[a : a + toxicity.WINDOW]) for a in starts)
+    assert toxicity.text_logits(net, [" ".join(words), "w1x"]).tolist() == pytest.approx([slow, _slow_logit(net, ["w1x"])], abs=1e-4)
+
+
+def test_windows_are_drawn_from_whole_texts():
+    words = [f"w{i}" for i in range(5000)]
+    drawn = toxicity.drawn_windows(" ".join(words), 24)
+    starts = [int(d.split()[0][1:]) for d in drawn]
+    assert len(drawn) == 24 and starts == sorted(starts) and all(a % toxicity.STRIDE == 0 for a in starts) and starts[0] < 1500 and starts[-1] > 3500
+    assert all(d.split() == words[a : a + toxicity.WINDOW] for a, d in zip(starts, drawn))
+    assert toxicity.drawn_windows("a b", 24) == ["a b"] and toxicity.drawn_windows("", 24) == [""]
+    assert toxicity.drawn_windows("x" * 2 * toxicity.WINDOW_BYTES, 24) == [""]
+
+
+def test_toxicity_learns_from_long_and_repeated_texts(spark, documents):
+    # The bad word is somewhere in texts of 600 words; one id has 300 further rows.
+    rows = [(i, " ".join(["zorgblat" if x and k % 40 == 7 else f"{'abcdefgh'[(i * 7 + k) % 8]}o{k % 23}" for k in range(600)]), x) for i in range(120) for x in [i % 2]]
+    docs = documents([(i, t) for i, t, _ in rows] + [(4, f"row {k}") for k in range(300)])
+    net = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id bigint, toxic int"), F.lit(True))
+    got = toxicity.score_toxicity(documents([(1, "fo1 " * 900 + "zorgblat"), (2, "fo1 " * 900)]).select("doc_id", "text"), net).collect()
+    assert {r["doc_id"]: r["predicted"] for r in got} == {1: 1, 2: 0}
+
+
 def test_windows_cover_every_word():
     for n in range(0, 120):
         held, row = toxicity.windows(np.zeros(n, np.int64), np.arange(n), 1, n)
