@@ -105,6 +105,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each place from 0 to size - 1."""
+    out, order = np.zeros((size, rows.shape[1]), np.float32), np.argsort(at, kind="stable")
+    places, first = np.unique(at[order], return_index=True)
+    out[places] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 @dataclass
 class Network:
     """Parameters, by name; ``scale`` and ``shift`` calibrate a text's logit."""
@@ -192,7 +200,7 @@ class Network:
         g["a"] = s.reshape(-1, 2 * h).T @ d_mixed.reshape(-1, 2 * h)
         d_s = d_s + d_mixed @ p["a"].T
         d_states = np.stack([d_s[..., :h].transpose(1, 0, 2), d_s[:, ::-1, h:].transpose(1, 0, 2)], axis=1)
-        d_gates = np.zeros((2, len(inputs), 3 * h), np.float32)
+        d_each = np.empty((2, WINDOW, len(codes), 3 * h), np.float32)
         g["u"], d_state = np.zeros_like(p["u"]), np.zeros_like(d_states[0])
         for t in range(WINDOW - 1, -1, -1):
             state, z, reset, rn, new, real = held[t]
@@ -202,11 +210,10 @@ class Network:
             d_z = d_real * (state - new) * z * (1 - z)
             d_reset = d_new * rn * reset * (1 - reset)
             d_r = np.concatenate([d_z, d_reset, d_new * reset], axis=2)
-            d_x = np.concatenate([d_z, d_reset, d_new], axis=2)
-            for k in (0, 1):
-                np.add.at(d_gates[k], both[k, :, t], d_x[k])
+            d_each[:, t] = np.concatenate([d_z, d_reset, d_new], axis=2)
             g["u"] += state.transpose(0, 2, 1) @ d_r
             d_state = np.where(real, d_real * z, d) + d_r @ p["u"].transpose(0, 2, 1)
+        d_gates = np.stack([_sums(both[k].T.ravel(), d_each[k].reshape(-1, 3 * h), len(inputs)) for k in (0, 1)])
         d_gates[:, pad] = 0
         g["b"] = d_gates.sum(1, keepdims=True)
         g["x"] = inputs.T @ d_gates
