@@ -273,15 +273,16 @@ def _seed_tables(net: Network, texts: list[str], labels: np.ndarray, batch: int
         net.p[name][:, 0] += (odds * (ones + zeros) / (ones + zeros + PRIOR_SHARE * len(texts))).astype(np.float32)
 
 
-def train(texts: list[list[str]], labels: np.ndarray, rounds: int = 4, batch: int = 24, rate: float = 0.01, table_rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> Network:
+def train(texts: list[list[str]], labels: np.ndarray, rounds: int = 4, steps: int = 300, batch: int = 24, rate: float = 0.01, table_rate: float = 0.2, l2: float = 1e-4, seed: int = 7) -> Network:
     """Adam on the logistic loss of texts, each given by its windows (of at most
     WINDOW words); a text's logit while training is the soft maximum of its
-    windows', so every window gets a share of the gradient."""
+    windows', so every window gets a share of the gradient. There are ``rounds``
+    rounds, or as many as make ``steps`` steps where texts are few."""
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     _seed_tables(net, [" ".join(t) for t in texts], labels)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in TABLES}
     step, balance = 0, np.where(labels == 1, 0.5 / max((labels == 1).mean(), 1e-9), 0.5 / max((labels == 0).mean(), 1e-9))
-    for _ in range(rounds):
+    for _ in range(max(rounds, -(-steps // max(-(-len(texts) // batch), 1)))):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), batch):
             at = order[a : a + batch]
