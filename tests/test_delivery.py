@@ -73,6 +73,26 @@ def test_a_hot_partition_is_folded_in_blocks(spark):
     assert len(dealt) == 2 and sum("block" in x for x in dealt) == 1
 
 
+def test_runs_and_differences_go_on_over_blocks_and_are_dealt_by_block(spark, monkeypatch):
+    """Where every message is a run of its own, no window holds a whole partition."""
+    from relayspark.operators import runs
+    from relayspark.session import plan_text
+
+    monkeypatch.setattr(runs, "BLOCK", 8)
+    top = (1 << 53) + 5
+    at = [-17, *range(-9, 30), 31, 39, 40, 47, top, top + 1]
+    sent, got = placed(spark, [("a", 0, i) for i in at]), placed(spark, [("a", 0, 16), ("a", 0, 50), ("a", 0, 16)])
+    spans = lambda df: sorted((r["first_offset"], r["last_offset"]) for r in df.collect())
+    a, b = offset_runs(sent), offset_runs(got)
+    assert spans(a) == [(-17, -17), (-9, 29), (31, 31), (39, 40), (47, 47), (top, top + 1)]
+    apart = run_differences(a, b)
+    assert spans(apart.where("kind = 'lost'")) == [(-17, -17), (-9, 15), (17, 29), (31, 31), (39, 40), (47, 47), (top, top + 1)]
+    assert spans(apart.where("kind = 'unexpected'")) == [(50, 50)]
+    plan = plan_text(loss_runs(sent, got))
+    windows = [x.split("]")[0] for x in plan.split("windowspecdefinition(")[1:]]
+    assert windows and all("block" in x or "lot" in x for x in windows)
+
+
 def test_replay_reads_only_files_at_or_after_the_start(make, spark, tmp_path):
     path = f"{tmp_path}/t"
     for begin in (0, 100, 200):
