@@ -94,7 +94,9 @@ def topic_folder(topic: Column) -> Column:
     url = F.url_encode(topic)
     # In a folder's name Spark writes % and * as three characters each.
     written = F.length(url) + 2 * F.regexp_count(url, F.lit("[%*]"))
-    return F.when(written < FOLDER_BYTES, F.concat(F.lit("t"), url)).otherwise(F.concat(F.lit("h"), F.sha2(topic, 256)))
+    # The form is never shorter than the name: a long name is not encoded to be told.
+    short = (F.octet_length(topic) < FOLDER_BYTES) & (written < FOLDER_BYTES)
+    return F.when(short, F.concat(F.lit("t"), url)).otherwise(F.concat(F.lit("h"), F.sha2(topic, 256)))
 
 
 def topic_rows(routed: DataFrame) -> DataFrame:

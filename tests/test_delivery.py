@@ -167,3 +167,14 @@ def test_table_sources_tell_that_messages_don_t_limit_them(make, spark, tmp_path
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         read_source(spark, source, ["a"], 10)
+
+
+def test_long_names_are_told_without_their_url_form(spark):
+    """The form is asked for only where the name alone may fit a folder's name."""
+    from relayspark.sinks.egress import FOLDER_BYTES, topic_folder
+
+    names = ["", "x" * (FOLDER_BYTES - 1), "x" * FOLDER_BYTES, "é" * (FOLDER_BYTES // 2), "%" * 20, "%" * 50, None]
+    out = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(topic_folder(F.col("n"))).collect()]
+    assert [x and x[0] for x in out] == ["t", "t", "h", "h", "t", "h", None]
+    condition = str(topic_folder(F.col("n"))).split("THEN")[0]
+    assert condition.index("octet_length") < condition.index("url_encode")
