@@ -494,3 +494,29 @@ def test_small_table_has_every_document(spark):
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     for name in ("op3_benchmark_decontamination", "op7_secret_scans", "op9_token_files", "op10_pieces"):
         assert QUERIES[name](spark, SF_SMALL).count() == n
+
+
+def test_parts_of_words_stay_known_when_words_are_forgotten(monkeypatch):
+    """Plain words of a batch are cut at once; only new parts are encoded."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from relayspark.llm import token_files
+
+    encoder, met = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json")), []
+
+    class Counted:
+        def tokenize(self, text, model=encoder.model):
+            met.append(text)
+            return model.tokenize(text)
+
+    whole = lambda text: encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    encoder.model = Counted()
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 4)
+    for text in ("Alpha beta2 it's", "", "\n\t", "alpha Beta7-gamma déjà 3 x\x0by", "ALPHA (beta) 日本 ÿ§ 22", "ÀÉ×÷ a\x85b Ĳ it's"):
+        ids, size = encoder.texts(pa.array([text, None, text]))
+        assert ids.tolist() == 2 * whole(text) and size.tolist() == [len(whole(text)), 0, len(whole(text))]
+    assert len(met) == len(set(met))
+    monkeypatch.setattr(token_files, "CACHE_PARTS", 2)
+    ids, _ = encoder.texts(pa.array(["delta epsilon 5", "alpha zeta"]))
+    assert ids.tolist() == whole("delta epsilon 5") + whole("alpha zeta")
