@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relayspark.llm.common import materialize, shared_dir, slices, split_words, word_codes
+from relayspark.llm.common import shared_dir, slices, split_words, word_codes
 
 SHINGLE_WORDS, SHARE = 5, 75
 #: Cells of the table of counts (a byte each when sent to the tasks).
@@ -373,22 +373,32 @@ def _intersect(share: int):
     return intersect
 
 
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: in as few tasks as its
+    bytes need (a checkpoint: in as many as wrote it, empty ones, too), and of known
+    size to joins. The driver keeps less of so many small jobs."""
+    path = shared_dir(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, share: int) -> DataFrame:
     """Those of the pairs (a, b) that link, by exact intersection of sorted arrays.
 
     The sets of a node's partners meet its own in one task; a node of many
     partners meets them in several. Only texts of the pairs are read into sets.
     """
-    pairs = materialize(pairs.select("a", "b").distinct())
+    spark = nodes.sparkSession
+    pairs = _written(spark, pairs.select("a", "b").distinct(), "linked-pairs")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
     leads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("lead"), F.col("a").alias("node"))
     partners = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("lead"), F.col("b").alias("node"))
     first = nodes.select("node", "name", F.col("least.id").alias("of_id"), F.col("least.text_hash").alias("of_text"))
-    wanted = materialize(leads.union(partners).join(first, "node"))
+    wanted = _written(spark, leads.union(partners).join(first, "node"), "linked-sets")
     named = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_text"))
     picked = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, named).select("a", "salt", "lead", "node", "name", "text")
     met = picked.mapInArrow(_met_sets, _MEET).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
-    return materialize(met.mapInArrow(_intersect(share), "a long, b long").distinct())
+    return _written(spark, met.mapInArrow(_intersect(share), "a long, b long").distinct(), "links")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -401,20 +411,32 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that links reach. Every node takes the least
     label around it and then its label's own label, until nothing changes."""
-    links = links.select("a", "b").where("a <> b")
-    both = materialize(links.union(links.select("b", "a")).distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    spark, links = links.sparkSession, links.select("a", "b").where("a <> b")
+    both = _written(spark, links.union(links.select("b", "a")).distinct(), "component-links")
+    labels = _written(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "component-labels")
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        after = materialize(step.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")))
+        after = _written(spark, step.join(jump, "next").select("node", "label", F.least("next", "far").alias("next")), "component-labels")
         changed = after.where("next <> label").limit(1).count()
         labels = after.select("node", F.col("next").alias("label"))
         if not changed:
             return labels
 
 
+def _merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, label) after more links: only the components that they join are
+    labelled anew, each by its least node."""
+    every = labels.union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min("label").alias("label"))
+    joined = more
+    for side in ("a", "b"):
+        joined = joined.join(every.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side)
+    anew = components(joined.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    anew = anew.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return every.join(anew, "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys from sorted batches."""
     held: list[pa.RecordBatch] = []
@@ -466,7 +488,8 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, share: int) -
     labelled = members.join(labels, "node", "left").select("name", "node", "left", F.coalesce("label", "node").alias("label"))
     several = labelled.groupBy("name").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("name")
     rows = labelled.join(several, "name").groupBy("name", "node").agg(F.max("left").alias("left"), F.first("label").alias("label"))
-    rows = materialize(rows.join(nodes.select("node", "n", "bits"), "node").withColumn("band", F.floor(F.ln("n") / float(np.log(100 / share)) + 1e-9).cast("int")))
+    rows = rows.join(nodes.select("node", "n", "bits"), "node").withColumn("band", F.floor(F.ln("n") / float(np.log(100 / share)) + 1e-9).cast("int"))
+    rows = _written(nodes.sparkSession, rows, "group-members")
     largest = rows.groupBy("name", "label").agg(F.count("*").alias("k")).groupBy("name").agg(F.max_by("label", F.struct("k", "label")).alias("largest"))
     sized = rows.join(largest, "name").groupBy("name", "largest", "band").agg(F.count("*").alias("k"), F.count_if(F.col("label") != F.col("largest")).alias("k_outer"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -492,13 +515,6 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, share: int) -
     return dealt.mapInArrow(_compare_tiles(share), "a long, b long").distinct()
 
 
-def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """A table written to the shared folder and read again."""
-    path = shared_dir(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE) -> DataFrame:
     """(id, n_shingles, component_id, text_hash, component_hash) for each row: the
     set's size and the smallest id that links reach, the row's own included; the
@@ -530,7 +546,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = leaders.join(lead, "name").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), F.col("left").alias("most"))
     pairs = unpacked("pair").select("a", "b", (-F.col("c")).alias("most")).union(across).groupBy("a", "b").agg(F.max("most").alias("most"))
 
-    close = materialize(_close(pairs, nodes, share))
+    close = _written(spark, _close(pairs, nodes, share), "close-pairs")
     both = close.union(close.select("b", "a", "differing")).toDF("node", "partner", "differing")
     closest = both.groupBy("node").agg(F.min_by("partner", F.struct("differing", "partner")).alias("partner"))
     links = _linked(closest.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")), nodes, hashed, share)
@@ -539,7 +555,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = _apart(close, labels).union(_rest(members, labels, nodes, share))
     more = _linked(apart, nodes, hashed, share)
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = _merged(labels, more)
 
     joined = nodes.join(labels, "node", "left").select("name", "least", F.coalesce("label", "node").alias("label"))
     named = joined.join(joined.groupBy("label").agg(F.min("least").alias("first")), "label").select("name", "first")

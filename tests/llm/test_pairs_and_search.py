@@ -66,6 +66,32 @@ def test_components_in_spread_groups_and_small_tiles(documents, monkeypatch):
     assert found(jaccard_components(documents(docs))) == brute.jaccard(docs)
 
 
+def test_small_tables_between_steps_are_read_in_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        labels = ngram_join.components(spark.createDataFrame([(i, i + 7) for i in range(200)], "a long, b long"))
+        assert labels.rdd.getNumPartitions() < 64
+        assert {r["node"]: r["label"] for r in labels.collect()} == {i: i % 7 for i in range(207)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_more_links_merge_components_as_if_all_were_given_at_once(spark):
+    rng = random.Random(5)
+    frame = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(120)]
+    more = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)] + [(400, 401), (401, 400)]
+    got = ngram_join._merged(ngram_join.components(frame(links)), frame(more)).collect()
+    every = {r["node"]: r["label"] for r in ngram_join.components(frame(links + more)).collect()}
+    assert len(got) == len({r["node"] for r in got})
+    assert {r["node"]: r["label"] for r in got if r["node"] in every} == every
+    assert all(r["node"] == r["label"] for r in got if r["node"] not in every)
+
+
 def test_components_of_odd_and_no_texts(odd, none):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_components(odd).collect()}
     assert rows == {(None, 1, None)} | {(i, n, c) for i, (n, c) in brute.jaccard(ODD_TEXTS).items()}
